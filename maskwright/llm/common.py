@@ -112,3 +112,15 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
     at = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and len(column) else np.zeros(0, np.uint8)
     return raw, at - at[0]
+
+
+def pieces(batches, column: int, most: int = 2_000_000):
+    """Arrow batches cut into runs of whole rows with about `most` bytes of a text column, so that what is worked on at
+    once stays small however long texts are."""
+    for batch in batches:
+        _, offsets = text_buffer(batch.column(column))
+        at = 0
+        while at < len(batch):
+            end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
+            yield batch.slice(at, end - at)
+            at = end

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import read, text_buffer
+from maskwright.llm.common import pieces, read, text_buffer
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -146,7 +146,7 @@ def secret_spans(docs: DataFrame, model: np.ndarray, least: float = 12.0, least_
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def scan(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             text = batch.column(1)
             may = worth_reading(*text_buffer(text))
             spans = [[{"kind": k, "start": s, "end": e} for k, s, e in spans_of(text[i].as_py() or "", model, least, least_per_char)] if may[i] else [] for i in range(len(may))]
