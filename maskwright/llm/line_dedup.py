@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import SPACES, ascii_lower, read, text_of
+from maskwright.llm.common import SPACES, ascii_lower, read, text_of, written
 
 
 def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -31,10 +31,11 @@ def line_dedup(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, id_col:
         .filter(F.length("line") >= min_chars)
         .select("doc_id", "version", "pos", F.unhex(F.md5(ascii_lower(F.col("line")))).alias("key"))
     )
-    common = (
+    common = written(
         lines.groupBy("key", "doc_id").agg(F.lit(1).alias("one"))
         .groupBy("key").agg(F.count("*").alias("docs"), F.max("doc_id").alias("last"))
-        .filter(F.col("docs") >= min_docs).select("key", "last")
+        .filter(F.col("docs") >= min_docs).select("key", "last"),
+        "common-lines",
     )
     dropped = (
         lines.join(common, "key").filter(~F.col("doc_id").eqNullSafe(F.col("last")))
