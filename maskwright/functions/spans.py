@@ -2,7 +2,7 @@
 
 Spark has no regular-expression function that returns offsets. One regexp_replace puts noncharacters around the head,
 the value and the tail of each match; the pieces between them, taken in order, give every offset by running sums. Text
-is scanned once for each pattern, and only where a necessary literal is present. Offsets are code points, from 0, end
+is scanned once for each pattern, and only where what the pattern needs is present. Offsets are code points, from 0, end
 exclusive.
 """
 
@@ -61,8 +61,8 @@ def empty() -> Column:
     return F.array().cast(SPAN)
 
 
-def pattern_spans(text: Column, pattern: str, conf: float, needs: str | None = None) -> Column:
-    """array<struct<start, end, conf>> of a Java pattern's values. needs: a pattern without which there is no match."""
+def pattern_spans(text: Column, pattern: str, conf: float) -> Column:
+    """array<struct<start, end, conf>> of a Java pattern's values."""
     pieces = F.split(F.regexp_replace(text, three_groups(pattern), f"{OPEN}$1{VALUE}$2{CLOSE}$3"), OPEN, -1)
 
     def step(acc, piece):
@@ -73,8 +73,7 @@ def pattern_spans(text: Column, pattern: str, conf: float, needs: str | None = N
         return F.struct((acc["at"] + F.length(piece) - 2).cast("int").alias("at"), F.array_append(acc["out"], span).alias("out"))
 
     first = F.struct(F.length(pieces[0]).cast("int").alias("at"), empty().alias("out"))
-    found = F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.size(pieces)), first, step, lambda acc: acc["out"])).otherwise(empty())
-    return F.when(text.rlike(needs), found).otherwise(empty()) if needs else found
+    return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.size(pieces)), first, step, lambda acc: acc["out"])).otherwise(empty())
 
 
 def value_of(text: Column, span: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DEFAULT_KEY = "maskwright"
+#: Splits a string into characters, without an empty one at the end.
+CHARACTERS = r"(?!\A)(?!\z)"
 
 #: Ready-made templates: (template, description).
 PRESETS = (
@@ -132,7 +134,7 @@ def preserving(value: Column, key: str, label: Column) -> Column:
             F.concat(acc["out"], out).alias("out"), (at + F.when(drawn.isNotNull(), 1).otherwise(0)).cast("int").alias("used"), seed_.alias("seed")
         )
 
-    return F.aggregate(F.split(value, "(?!^)"), F.struct(F.lit("").alias("out"), F.lit(0).alias("used"), seed.alias("seed")), step, lambda acc: acc["out"])
+    return F.aggregate(F.split(value, CHARACTERS), F.struct(F.lit("").alias("out"), F.lit(0).alias("used"), seed.alias("seed")), step, lambda acc: acc["out"])
 
 
 def fake(value: Column, id_: Column, n: Column, key: str, label: Column) -> Column:
@@ -144,7 +146,7 @@ def fake(value: Column, id_: Column, n: Column, key: str, label: Column) -> Colu
     )
     # fixed values: the forms of made-up values
     card = F.aggregate(
-        F.split(value, "(?!^)"), F.lit(""), lambda a, c: F.concat(a, F.when(c.rlike("[0-9０-９]"), F.when(F.length(F.regexp_replace(a, "[^0-9]", "")) == 0, "4").otherwise("1")).otherwise(c))
+        F.split(value, CHARACTERS), F.lit(""), lambda a, c: F.concat(a, F.when(c.rlike("[0-9０-９]"), F.when(F.length(F.regexp_replace(a, "[^0-9]", "")) == 0, "4").otherwise("1")).otherwise(c))
     )
     return (
         F.when(id_ == "email", F.concat(F.lit("user"), number, F.lit("@example.com")))

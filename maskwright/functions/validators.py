@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from maskwright.functions.spans import before
 
+#: Splits a string into characters, without an empty one at the end.
+CHARACTERS = r"(?!\A)(?!\z)"
 WIDE, ASCII = "０１２３４５６７８９", "0123456789"
 
 
@@ -53,7 +55,7 @@ def iban(v: Column) -> Column:
     c = F.regexp_replace(v, r"\s", "")
     turned = F.concat(F.substring(c, 5, 40), F.substring(c, 1, 4))
     code = lambda ch: F.when(ch.between("0", "9"), F.ascii(ch) - 48).otherwise(F.ascii(ch) - 55)
-    rest = F.aggregate(F.split(turned, "(?!^)"), F.lit(0), lambda r, ch: (r * F.when(ch.between("0", "9"), 10).otherwise(100) + code(ch)) % 97)
+    rest = F.aggregate(F.split(turned, CHARACTERS), F.lit(0), lambda r, ch: (r * F.when(ch.between("0", "9"), 10).otherwise(100) + code(ch)) % 97)
     return F.when(F.length(c).between(15, 34) & c.rlike(r"\A[0-9A-Z]*\z"), ok(rest == 1, F.lit(True))).otherwise(0)
 
 
@@ -95,7 +97,7 @@ def jwt(v: Column) -> Column:
 
 def entropy(v: Column) -> Column:
     """Bits of each character."""
-    chars = F.split(v, "(?!^)")
+    chars = F.split(v, CHARACTERS)
     n = F.size(chars).cast("double")
     share = lambda c: F.size(F.filter(chars, lambda x: x == c)) / n
     return F.aggregate(F.array_distinct(chars), F.lit(0.0), lambda a, c: a - share(c) * F.log2(share(c)))

@@ -22,63 +22,95 @@ from maskwright.plans.config import Config
 
 #: A resolved span: det is the index into the engine's detectors.
 RESOLVED = "array<struct<start:int,end:int,conf:double,det:int>>"
-#: Necessary conditions: without a match of these there is none of the detector's.
+@dataclass(frozen=True)
+class Need:
+    """A necessary condition for a detector: digits anywhere, text beyond ASCII, one of some literals, a pattern.
+
+    Literals are looked for in UTF-8 bytes; a pattern makes Spark decode the text, so it comes last."""
+
+    words: tuple[str, ...] = ()  # in the text in lower case
+    exact: tuple[str, ...] = ()  # in the text as it is
+    digit: bool = False
+    wide: bool = False
+    pattern: str | None = None
+
+    def test(self, text: Column, gates: Column) -> Column | None:
+        tests = [gates["digit"]] * self.digit + [gates["wide"]] * self.wide
+        any_of = [gates["low"].contains(w) for w in self.words] + [text.contains(w) for w in self.exact]
+        if any_of:
+            tests.append(reduce(lambda a, b: a | b, any_of))
+        if self.pattern:
+            tests.append(text.rlike(self.pattern))
+        return reduce(lambda a, b: a & b, tests) if tests else None
+
+
+def gates_of(text: Column) -> Column:
+    """What the conditions share, computed once for each text."""
+    return F.struct(
+        F.lower(text).alias("low"), text.rlike("[0-9０-９]").alias("digit"), (F.octet_length(text) > F.length(text)).alias("wide")
+    )
+
+
+#: Without what these ask for there is no match of the detector.
 NEEDS = {
-    "email": r"@|＠|%40|[(\[]at[)\]]",
-    "phone_intl": r"\+[1-9]",
-    "postal_code_jp": rf"〒|郵便番号|[0-9０-９]{{3}}[{S.DASHES}][0-9０-９]{{4}}",
-    "address_jp": "[都道府県]",
-    "address_jp_city": "[市区町村郡]",
-    "address_en": r"[0-9](?:\s[A-Z]|-[0-9])",
-    "my_number": "[0-9０-９]{4}",
-    "corporate_number": "[0-9０-９]{13}",
-    "residence_card_jp": "[A-Z]{2}[0-9]{8}",
-    "health_insurance_jp": "記号|番号",
-    "bank_account_jp": "口座|普通|当座|貯蓄|支店番号|店番",
-    "employee_id": "(?i)社員|従業員|職員|スタッフ|emp",
-    "us_ssn": "[0-9]-[0-9]{2}-[0-9]",
-    "iban": "[A-Z]{2}[0-9]{2}",
-    "credit_card": "[0-9０-９]{4}",
-    "card_cvv": "(?i)cvv|cvc|セキュリティコード|security code",
-    "money": "[¥￥＄$€£円]|ドル|USD|JPY|EUR",
-    "age": "(?i)[歳才]|age",
-    "ipv4": r"[0-9]\.[0-9]",
-    "ipv6": ":[0-9A-Fa-f:]*[0-9A-Fa-f:]",
-    "mac_address": r"[0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-]|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\.",
-    "url": "://",
-    "url_credentials": "://",
-    "url_secret_params": "[?&]",
-    "windows_user_path": r":[\\/]",
-    "unix_home_path": "/(?:home|Users)/",
-    "unc_path": r"\\\\",
-    "domain_user": r"\\",
-    "windows_sid": "S-1-5-21",
-    "uuid": "-[0-9a-fA-F]{4}-",
-    "private_key": "-----BEGIN",
-    "aws_access_key": "A[KSBCGIPNR][A-Z]{2}",
-    "aws_secret_key": "(?i)secret",
-    "github_token": "gh[pousr]_|github_pat_",
-    "gitlab_token": "glpat-",
-    "slack_token": "xox",
-    "slack_webhook": "hooks",
-    "google_api_key": "AIza",
-    "google_oauth_secret": "GOCSPX-",
-    "azure_key": "(?i)key",
-    "stripe_key": "k_(?:live|test)_",
-    "anthropic_key": "sk-ant-",
-    "openai_key": "sk-",
-    "huggingface_token": "hf_",
-    "npm_token": "npm_",
-    "sendgrid_key": r"SG\.",
-    "jwt": "eyJ",
-    "bearer_token": "(?i)bearer",
-    "basic_auth": "(?i)basic",
-    "password_kv": "(?i)pass|pwd|secret|api|token|private",
-    "password_ja": "パス|暗証番号|ＰＷ|ﾊﾟｽﾜｰﾄﾞ",
-    "high_entropy": r"[A-Za-z0-9+/_\-]{20}",
-    "lat_lon": r"[0-9]\.[0-9]{4}",
-    "jp_plate": r"\p{IsHan}",
-    "company_en": r"Inc|Corp|LLC|Ltd|Limited|GmbH|K\.K|PLC|LLP",
+    "email": Need(("@", "＠", "%40", "(at)", "(at]", "[at)", "[at]")),
+    "phone_jp": Need(digit=True),
+    "phone_intl": Need(("+",), digit=True),
+    "postal_code_jp": Need(digit=True, pattern=rf"〒|郵便番号|[0-9０-９]{{3}}[{S.DASHES}][0-9０-９]{{4}}"),
+    "address_jp": Need(("都", "道", "府", "県"), wide=True),
+    "address_jp_city": Need(("市", "区", "町", "村", "郡"), wide=True),
+    "address_en": Need(digit=True, pattern=r"[0-9](?:\s[A-Z]|-[0-9])"),
+    "date": Need(digit=True),
+    "age": Need(("歳", "才", "age"), digit=True),
+    "employee_id": Need(("社員", "従業員", "職員", "スタッフ", "emp")),
+    "my_number": Need(digit=True, pattern="[0-9０-９]{4}"),
+    "corporate_number": Need(digit=True, pattern="[0-9０-９]{13}"),
+    "residence_card_jp": Need(digit=True, pattern="[A-Z]{2}[0-9]{8}"),
+    "health_insurance_jp": Need(("記号", "番号"), wide=True),
+    "bank_account_jp": Need(("口座", "普通", "当座", "貯蓄", "支店番号", "店番"), wide=True),
+    "us_ssn": Need(("-",), digit=True, pattern="[0-9]-[0-9]{2}-[0-9]"),
+    "iban": Need(digit=True, pattern="[A-Z]{2}[0-9]{2}"),
+    "credit_card": Need(digit=True, pattern="[0-9０-９]{4}"),
+    "card_cvv": Need(("cvv", "cvc", "セキュリティコード", "security code"), digit=True),
+    "money": Need(digit=True, pattern="[¥￥＄$€£円]|ドル|USD|JPY|EUR"),
+    "ipv4": Need(digit=True, pattern=r"[0-9]\.[0-9]"),
+    "ipv6": Need((":",), pattern=":[0-9A-Fa-f:]*[0-9A-Fa-f:]"),
+    "mac_address": Need(pattern=r"[0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-]|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\."),
+    "url": Need(("://",)),
+    "url_credentials": Need(("://",)),
+    "url_secret_params": Need(("?", "&")),
+    "hostname": Need(("." ,), pattern=r"(?i)[a-z0-9]\.(?:com|net|org|jp|io|dev|app|cloud|ai|biz|info|co|us|uk|de|cn|kr|tw|local|internal|intranet|corp|lan|home|test|aws|gcp)"),
+    "windows_user_path": Need((":\\", ":/")),
+    "unix_home_path": Need(exact=("/home/", "/Users/")),
+    "unc_path": Need(("\\\\",)),
+    "domain_user": Need(("\\",)),
+    "windows_sid": Need(exact=("S-1-5-21",)),
+    "uuid": Need(("-",), pattern="-[0-9a-fA-F]{4}-"),
+    "private_key": Need(exact=("-----BEGIN",)),
+    "aws_access_key": Need(exact=("AKIA", "ASIA", "ABIA", "ACCA", "AGPA", "AIDA", "AIPA", "ANPA", "ANVA", "AROA", "APKA", "ASCA")),
+    "aws_secret_key": Need(("secret",)),
+    "github_token": Need(exact=("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_")),
+    "gitlab_token": Need(exact=("glpat-",)),
+    "slack_token": Need(exact=("xox",)),
+    "slack_webhook": Need(exact=("https://hooks",)),
+    "google_api_key": Need(exact=("AIza",)),
+    "google_oauth_secret": Need(exact=("GOCSPX-",)),
+    "azure_key": Need(("accountkey", "sharedaccesskey", "primarykey", "secondarykey")),
+    "stripe_key": Need(exact=("k_live_", "k_test_")),
+    "anthropic_key": Need(exact=("sk-ant-",)),
+    "openai_key": Need(exact=("sk-",)),
+    "huggingface_token": Need(exact=("hf_",)),
+    "npm_token": Need(exact=("npm_",)),
+    "sendgrid_key": Need(exact=("SG.",)),
+    "jwt": Need(exact=("eyJ",)),
+    "bearer_token": Need(("bearer",)),
+    "basic_auth": Need(("basic",)),
+    "password_kv": Need(("passw", "pass_", "passp", "pwd", "secret", "api", "token", "private")),
+    "password_ja": Need(("パス", "暗証番号", "ＰＷ", "ｐｗ", "ﾊﾟｽﾜｰﾄﾞ"), wide=True),
+    "high_entropy": Need(pattern=r"[A-Za-z0-9+/_\-]{20}"),
+    "lat_lon": Need(digit=True, pattern=r"[0-9]\.[0-9]{4}"),
+    "jp_plate": Need(digit=True, wide=True),
+    "company_en": Need(exact=("Inc", "Corp", "LLC", "Ltd", "Limited", "GmbH", "K.K", "PLC", "LLP")),
 }
 
 
@@ -170,14 +202,18 @@ class Engine:
 
     # ---- detection ----
 
-    def _candidates(self, text: Column, d: Active) -> Column:
+    def _candidates(self, text: Column, d: Active, gates: Column) -> Column:
         """array<struct<start, end, conf>> of one detector that passed its tests."""
+        need = NEEDS.get(d.id) if d.spec else None
+        if d.spec and d.spec.required and not d.spec.validator:
+            need = Need(d.spec.context)
+        test = need.test(text, gates) if need else None
+        found = self._passed(text, d)
+        return found if test is None else F.when(test, found).otherwise(S.empty())
+
+    def _passed(self, text: Column, d: Active) -> Column:
         spec = d.spec
-        needs = NEEDS.get(d.id)
-        if spec and spec.required and not spec.validator:
-            words = "(?i)" + "|".join(re.escape(w) for w in spec.context)
-            needs = words
-        found = reduce(lambda a, b: F.concat(a, b), [S.pattern_spans(text, p, conf, needs) for p, conf in d.patterns])
+        found = reduce(lambda a, b: F.concat(a, b), [S.pattern_spans(text, p, conf) for p, conf in d.patterns])
         found = F.filter(found, lambda x: x["end"] > x["start"])
         if spec and spec.refine in REFINERS:
 
@@ -223,7 +259,7 @@ class Engine:
             tests += [(host == h.lower()) | host.endswith("." + h.lower()) for h in c.allow_domains]
         return reduce(lambda a, b: a | b, tests) if tests else None
 
-    def candidates(self, text: Column, names_col: Column | None = None, extra: Column | None = None) -> Column:
+    def candidates(self, text: Column, gates: Column, names_col: Column | None = None, extra: Column | None = None) -> Column:
         """array<struct<start, end, conf, det>> before overlaps are resolved. text must be clean()."""
         out = []
         for i, d in enumerate(self.detectors):
@@ -232,7 +268,7 @@ class Engine:
                     continue
                 found = F.transform(F.filter(names_col, lambda x: x["id"] == d.id), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["conf"].alias("conf")))
             else:
-                found = self._candidates(text, d)
+                found = self._candidates(text, d, gates)
             if d.min_conf > 0:
                 found = F.filter(found, lambda x: x["conf"] >= d.min_conf)
             if self.config.allow_patterns or self.config.allow_values or extra is not None or (self.config.allow_domains and d.id in ("email", "hostname", "url", "unc_path")):
@@ -256,19 +292,19 @@ class Engine:
 
     def detect(self, df: DataFrame, text_col: str = "text", extra_col: str | None = None, spans_col: str = "spans", resolve: bool = True) -> DataFrame:
         """df with spans: array<struct<start, end, conf, det>>. extra_col: array<string> of lower-case values to leave out."""
-        own = S.once(df, "__text", S.clean(F.col(text_col)))
+        own = S.once(S.once(df, "__text", S.clean(F.col(text_col))), "__gates", gates_of(F.col("__text")))
         named = self._names(F.col("__text"))
         if named is not None:
             own = own.withColumn("__names", named)
-        found = self.candidates(F.col("__text"), F.col("__names") if named is not None else None, F.col(extra_col) if extra_col else None)
+        found = self.candidates(F.col("__text"), F.col("__gates"), F.col("__names") if named is not None else None, F.col(extra_col) if extra_col else None)
         if not resolve:
-            return S.once(own, spans_col, found).drop("__text", "__names")
+            return S.once(own, spans_col, found).drop("__text", "__gates", "__names")
         own = S.once(S.once(own, "__found", found), spans_col, self.resolve(F.col("__found")))
         person = next((i for i, d in enumerate(self.detectors) if d.id == "person_name"), None)
         if self.config.propagate and person is not None and named is not None:
             own = own.withColumn("__more", names.propagation(self.lexicon, person, self.config)(F.col("__text"), F.col(spans_col)))
             own = S.once(own, spans_col, F.when(F.size("__more") > 0, F.array_sort(F.concat(F.col(spans_col), F.col("__more")))).otherwise(F.col(spans_col)))
-        return own.drop("__text", "__names", "__found", "__more")
+        return own.drop("__text", "__gates", "__names", "__found", "__more")
 
     # ---- meta data ----
 
