@@ -1,0 +1,91 @@
+"""Each detector finds its own example; SQL of another engine gives the same rows; boundaries, validators and contexts."""
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from maskwright.functions import validators as V
+from maskwright.plans import oracle
+from maskwright.plans.catalog import BY_ID, CATALOG, DIGITS, java_pattern
+from maskwright.plans.config import Config
+from maskwright.plans.engine import NEEDS, Engine
+from maskwright.plans.queries import EXAMPLE_SQL, EXAMPLES, OPEN, candidate_rows
+
+
+def test_catalog():
+    assert len(CATALOG) == 67
+    assert sum(not d.enabled for d in CATALOG) == 7
+    assert set(NEEDS) <= set(BY_ID)
+    assert "{" + "DC}" not in java_pattern(BY_ID["phone_jp"].patterns[0][0]) and DIGITS in java_pattern(BY_ID["my_number"].patterns[0][0])
+
+
+@pytest.fixture(scope="module")
+def found(spark):
+    """Candidates of all detectors in their examples, by detector."""
+    engine = Engine(OPEN.only(*BY_ID))
+    df = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(EXAMPLES.values())], "doc_id long, text string")
+    ids = engine.meta(F.col("x.det"))["id"]
+    spans = engine.detect(df, resolve=False).select("doc_id", "text", F.explode("spans").alias("x")).select("doc_id", "text", ids.alias("id"), "x.start", "x.end", "x.conf").collect()
+    out = {}
+    for r in spans:
+        out.setdefault(r["id"], []).append((r["doc_id"], r["start"], r["end"], r["conf"], r["text"][r["start"] : r["end"]]))
+    return out
+
+
+@pytest.mark.parametrize("id_", list(BY_ID))
+def test_own_example(found, id_):
+    doc = -1 - list(EXAMPLES).index(id_)
+    assert any(row[0] == doc for row in found.get(id_, []))
+
+
+@pytest.mark.parametrize("id_", [d.id for d in CATALOG if oracle.expressible(d)])
+def test_sql_of_another_engine(found, id_):
+    want = duckdb.connect().execute(oracle.detector_sql(id_, EXAMPLE_SQL)).fetchall()
+    got = [(d, s, e, c, v) for d, s, e, c, v in found.get(id_, []) if c >= 0.5]
+    assert sorted(got) == sorted((d, s, e, round(c, 4), v) for d, s, e, c, v in want)
+
+
+def verdicts(spark, name, values):
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    return [r[0] for r in df.select(V.VALIDATORS[name](F.col("v")).alias("x")).collect()]
+
+
+@pytest.mark.parametrize(
+    ("name", "cases"),
+    [
+        ("credit_card", {"4111-1111-1111-1111": 1, "4111111111111112": 0, "9999999999999995": 0, "５５５５５５５５５５５５４４４４": 1}),
+        ("my_number", {"123456789018": 1, "123456789012": 0, "111111111111": 0}),
+        ("corporate_number", {"7123456789012": 1, "T7123456789012": 2, "1123456789012": 0}),
+        ("iban", {"GB82 WEST 1234 5698 7654 32": 2, "GB82 WEST 1234 5698 7654 33": 0}),
+        ("us_ssn", {"219-09-9999": 1, "666-09-9999": 0, "219-00-9999": 0, "900-11-2222": 0}),
+        ("phone_jp", {"03-5555-0199": 2, "0355550199": 1, "+81 90-1111-2222": 2, "+1 90-1111-2222": 0, "00-1234-5678": 0}),
+        ("ipv4", {"10.1.2.3": 1, "127.0.0.1": 0, "1.02.3.4": 0, "10.0.0.0/8": 1}),
+        ("ipv6", {"2001:db8::1": 1, "::1": 0, "std::x": 0}),
+        ("high_entropy", {"Qm9yZDcxNkxhUHJ5MnZ4Zk1u": 1, "aaaaaaaaaaaaaaaaaaaaaaaa": 0, "0123456789abcdef0123456789abcdef": 1}),
+        ("not_placeholder", {"hunter2!": 1, "null": 0, "${X}": 0, "os.getenv(": 0, "****": 0}),
+        ("lat_lon", {"35.1234, 139.1234": 1, "35.1234, 190.1234": 0}),
+        ("domain_user", {"ACME\\bob": 1, "HKLM\\Software": 0}),
+    ],
+)
+def test_validators(spark, name, cases):
+    assert verdicts(spark, name, list(cases)) == list(cases.values())
+
+
+def test_boundaries_and_context(spark):
+    texts = ["v1.2.3.4.5", "IP10.1.2.3", "x10.1.2.3", "DOB 07/04/1985", "on 07/04/1985", "SSN 219-09-9999", "219-09-9999x"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["value"], r["confidence"]) for r in candidate_rows(Engine(OPEN.only("ipv4", "birthdate", "us_ssn")), df).collect()}
+    assert got == {(1, "10.1.2.3", 0.9), (3, "07/04/1985", 0.9), (5, "219-09-9999", 0.9)}
+
+
+def test_code_points(spark):
+    df = spark.createDataFrame([(1, "𠮷田\r\n😀 mail a@b.co\n")], "doc_id long, text string")
+    from maskwright.operators.mask import span_rows
+
+    r = span_rows(Engine(OPEN.only("email")), df, ["doc_id"]).first()
+    assert (r["start"], r["end"], r["byte_start"], r["line"], r["column"], r["original"]) == (11, 17, 19, 2, 8, "a@b.co")
+
+
+def test_default_allowlist(spark):
+    df = spark.createDataFrame([(1, "a@mail1.example.com b@corp.org c@notexample.com")], "doc_id long, text string")
+    assert [r["value"] for r in candidate_rows(Engine(Config().only("email")), df).orderBy("start").collect()] == ["b@corp.org", "c@notexample.com"]
