@@ -8,7 +8,7 @@ for each document with its component, the smallest doc_id that links reach, and
    order gives right results, this one puts passages that very many texts share last.
 2. Keys. Of sets that link, each misses at most (100 - percent) % of its own tokens in the other, so they share one of
    their first floor((100 - percent) % of n) + 1 tokens. Tokens that only one text has among its first are dropped.
-3. Bit counts. A set has a bitmap of BITS hashed bits; bits of x that y lacks bound the overlap from above. Texts that
+3. Bit counts. A set has a bitmap with at least a hashed bit for each token; bits of x that y lacks bound the overlap from above. Texts that
    share a key are compared by sizes and bitmaps: first each with one text of its key (the smallest doc_id, then the
    largest), which merges large groups of copies at linear cost; then, for keys that still hold more than one component,
    all pairs of different components, in tiles of at most 2 * TILE rows where a key has many texts. Tiles return
@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Prefix, mix, read, text_buffer, text_of, written
+from maskwright.llm.common import Prefix, mix, pieces, read, text_buffer, text_of, written
 from maskwright.llm.components import components
 
 WORDS, PERCENT = 4, 85
@@ -78,9 +78,11 @@ def bucket(tokens: np.ndarray) -> np.ndarray:
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITS, np.uint8)
-    bits[(tokens >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = 1
-    return np.packbits(bits).view(np.int64)
+    """Words of a bitmap with a bit or more for each token, a power of two from BITS on. Half of one is its two halves or-ed."""
+    size = max(BITS, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else BITS
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens >> np.uint64(20)).astype(np.int64) & (size - 1)] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64)
 
 
 def signature(tokens: np.ndarray) -> int:
@@ -94,14 +96,14 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
     import pyarrow as pa
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             n, sig, bits = [], [], []
             for s in sets_of(batch.column(1), words):
                 n.append(len(s))
                 sig.append(signature(s))
                 bits.append(bitmap(s))
             flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
-            width = pa.array(np.arange(len(bits) + 1, dtype=np.int32) * (BITS // 64))
+            width = pa.array(np.concatenate(([0], np.cumsum([len(b) for b in bits]))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.ListArray.from_arrays(width, flat)], ["did", "n", "sig", "bits"])
 
     return docs.select("did", "text").mapInArrow(run, "did long, n int, sig long, bits array<long>")
@@ -113,9 +115,10 @@ def fullness(docs: DataFrame, words: int) -> np.ndarray:
 
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for s in sets_of(batch.column(1), words):
-                np.add.at(total, bucket(s), 1)
+        for batch in pieces(batches, 1):
+            tokens = [s for s in sets_of(batch.column(1), words) if len(s)]
+            if tokens:
+                total += np.bincount(bucket(np.concatenate(tokens)), minlength=BUCKETS)
         at = np.flatnonzero(total)
         for a in range(0, len(at), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000]), pa.array(total[at[a : a + 100_000]])], ["bucket", "n"])
@@ -135,7 +138,7 @@ def first_tokens(docs: DataFrame, words: int, percent: int, full: np.ndarray) ->
     level = docs.sparkSession.sparkContext.broadcast(np.where(full >= typical, np.minimum(full, 2**31 - 1), 0).astype(np.int32))
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             keys, count = [], []
             for s in sets_of(batch.column(1), words):
                 n = min(len(s), (100 - percent) * len(s) // 100 + 1)
@@ -154,8 +157,11 @@ def first_tokens(docs: DataFrame, words: int, percent: int, full: np.ndarray) ->
 def bounded(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (u, v) that sizes and bit counts let link."""
     side = lambda c: profile.select(F.col("did").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"))
+    fold = lambda b, n: F.when(F.size(b) > n, F.zip_with(F.slice(b, F.lit(1), n), F.slice(b, n + 1, n), lambda x, y: x.bitwiseOR(y))).otherwise(b)
     lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
     j = pairs.join(side("u"), "u").filter("n_u > 0").join(side("v"), "v").filter(F.expr(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v) AND n_v > 0"))
+    words = F.least(F.size("b_u"), F.size("b_v"))  # sizes this close differ by a factor of two at most
+    j = j.withColumns({"b_u": fold(F.col("b_u"), words), "b_v": fold(F.col("b_v"), words)})
     most = F.least(F.col("n_u") - lacks("b_u", "b_v"), F.col("n_v") - lacks("b_v", "b_u"))
     return j.filter(100 * most >= percent * (F.col("n_u") + F.col("n_v") - most)).select("u", "v")
 
@@ -193,11 +199,38 @@ def groups(batches, key_column: int, rows_of):
         yield held
 
 
-def may_link(n: np.ndarray, bits: np.ndarray, i: int, others: np.ndarray, percent: int) -> np.ndarray:
+class Bitmaps:
+    """Bitmaps of several lengths, each in a matrix with those of its length, as they are and folded once."""
+
+    def __init__(self, rows: list[np.ndarray]):
+        self.words = np.array([len(r) for r in rows])
+        self.at = np.zeros(len(rows), np.int64)
+        self.whole, self.half = {}, {}
+        for w in set(self.words.tolist()):
+            own = np.flatnonzero(self.words == w)
+            self.at[own] = np.arange(len(own))
+            self.whole[w] = np.stack([rows[i] for i in own]).view(np.uint64)
+            self.half[w] = self.whole[w][:, : w // 2] | self.whole[w][:, w // 2 :]
+
+    def lacking(self, i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bits of i that each of others lacks, and bits of each that i lacks. Sizes are within a factor of two."""
+        out = np.zeros((2, len(others)), np.int64)
+        w = self.words[i]
+        for v in set(self.words[others].tolist()):
+            k = np.flatnonzero(self.words[others] == v)
+            x = self.half[w][self.at[i]] if v < w else self.whole[w][self.at[i]]
+            y = (self.half if v > w else self.whole)[v][self.at[others[k]]]
+            out[0, k] = np.bitwise_count(x & ~y).sum(1, dtype=np.int64)
+            out[1, k] = np.bitwise_count(y & ~x).sum(1, dtype=np.int64)
+        return out[0], out[1]
+
+
+def may_link(n: np.ndarray, bits: Bitmaps, i: int, others: np.ndarray, percent: int) -> np.ndarray:
     """Which of others may link with i, by sizes and bit counts."""
     small, large = np.minimum(n[i], n[others]), np.maximum(n[i], n[others])
     others = others[100 * small >= percent * large]
-    most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[others]).sum(1, dtype=np.int64), n[others] - np.bitwise_count(bits[others] & ~bits[i]).sum(1, dtype=np.int64))
+    mine, theirs = bits.lacking(i, others)
+    most = np.minimum(n[i] - mine, n[others] - theirs)
     return others[100 * most >= percent * (n[i] + n[others] - most)]
 
 
@@ -206,13 +239,14 @@ def tile_edges(rows: DataFrame, percent: int) -> DataFrame:
     import pyarrow as pa
 
     def unpack(batch):
-        bits = batch.column(4).values.to_numpy()[batch.column(4).offset * (BITS // 64) :].reshape(-1, BITS // 64)[: len(batch)]
+        flat, off = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
+        bits = [flat[x:y] for x, y in zip(off, off[1:], strict=False)]
         return list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), bits, strict=True))
 
     def run(batches):
         for held in groups(batches, 0, unpack):
             did, comp, n = (np.array([r[k] for r in held]) for k in range(3))
-            bits = np.stack([r[3] for r in held]).view(np.uint64)
+            bits = Bitmaps([r[3] for r in held])
             at = {c: i for i, c in reversed(list(enumerate(comp.tolist())))}
             forest, u, v = Forest(len(held)), [], []
             for i, c in enumerate(comp.tolist()):
@@ -253,7 +287,7 @@ def exact_links(rows: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(sizes, kind="stable")
         only, sizes = [only[i] for i in order], sizes[order]
         block = np.array([held[i][2] for i in only])
-        bits = np.stack([bitmap(held[i][3]) for i in only]).view(np.uint64)
+        bits = Bitmaps([bitmap(held[i][3]) for i in only])
         flat = np.concatenate([held[i][3] for i in only])
         names, flat = np.unique(flat, return_inverse=True)
         begin = np.concatenate(([0], np.cumsum(sizes)))
@@ -347,7 +381,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     cand = written(cand.join(size, "root").select(F.col("node").alias("did"), F.col("root").alias("comp"), "size"), "join-candidates")
 
     def spell(batches):
-        for batch in batches:
+        for batch in pieces(batches, 3):
             sets = list(sets_of(batch.column(3), words))
             flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
             off = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
