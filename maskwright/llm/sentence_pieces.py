@@ -251,7 +251,8 @@ class MergeVocabulary:
             while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
                 chars += len(texts[end])
                 end += 1
-            cuts = [self.cuts.findall(self.prefix + t) if t else [] for t in texts[at:end]]
+            # a space and its own sign are the same; only runs of both may be cut from what is before them
+            cuts = [self.cuts.findall(self.prefix + t.replace(SPACE, " ")) if t else [] for t in texts[at:end]]
             flat = list(chain.from_iterable(cuts))
             self.learn(set(flat))
             which = np.fromiter(map(self.cache.__getitem__, flat), np.int64, len(flat))
