@@ -148,11 +148,14 @@ def search_block(candidates: DataFrame, qids: np.ndarray, queries: np.ndarray, k
                     enough |= known
                     bound += np.where(known, f, share.astype(np.float32) + np.float32(1e-5) * np.abs(share).astype(np.float32))
                 enough &= bound >= t - 1e-5 * np.abs(t) - 1
+                enough |= t <= -LONG  # fewer than k are known: all are wanted
                 enough &= ids[None, :] != qid[a : a + 256, None]
                 qi, ci = np.nonzero(enough)
                 total = sum(p[qi, ci] for p in parts)
                 total = total.astype(np.int64) if total.dtype != object else total
-                stay = np.array([x >= y for x, y in zip(total, least[a + qi], strict=True)], bool) if total.dtype == object else total >= least[a + qi]
+                if total.dtype == object:
+                    total = np.array([max(-LONG - 1, min(LONG, int(x))) for x in total], np.int64)
+                stay = total >= least[a + qi]
                 held = merge(held, (qi[stay] + a, ids[ci[stay]], total[stay]), k)
         yield from sent(qid, held)
 
