@@ -26,6 +26,11 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def clean(text: Column) -> Column:
     """The text without the marks that spans() inserts; null becomes empty."""
     t = F.coalesce(text, F.lit(""))
@@ -63,8 +68,6 @@ def empty() -> Column:
 
 def pattern_spans(text: Column, pattern: str, conf: float) -> Column:
     """array<struct<start, end, conf>> of a Java pattern's values."""
-    pieces = F.split(F.regexp_replace(text, three_groups(pattern), f"{OPEN}$1{VALUE}$2{CLOSE}$3"), OPEN, -1)
-
     def step(acc, piece):
         head = F.length(F.substring_index(piece, VALUE, 1))
         value = F.length(F.substring_index(F.substring_index(piece, CLOSE, 1), VALUE, -1))
@@ -72,8 +75,11 @@ def pattern_spans(text: Column, pattern: str, conf: float) -> Column:
         span = F.struct(begin.cast("int").alias("start"), (begin + value).cast("int").alias("end"), F.lit(conf).alias("conf"))
         return F.struct((acc["at"] + F.length(piece) - 2).cast("int").alias("at"), F.array_append(acc["out"], span).alias("out"))
 
-    first = F.struct(F.length(pieces[0]).cast("int").alias("at"), empty().alias("out"))
-    return F.when(F.size(pieces) > 1, F.aggregate(F.slice(pieces, 2, F.size(pieces)), first, step, lambda acc: acc["out"])).otherwise(empty())
+    def walk(pieces):
+        first = F.struct(F.length(pieces[0]).cast("int").alias("at"), empty().alias("out"))
+        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), first, step, lambda acc: acc["out"])
+
+    return let(F.split(F.regexp_replace(text, three_groups(pattern), f"{OPEN}$1{VALUE}$2{CLOSE}$3"), OPEN, -1), walk)
 
 
 def value_of(text: Column, span: Column) -> Column:

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from maskwright.functions.spans import before
+from maskwright.functions.spans import before, let
 
 #: Splits a string into characters, without an empty one at the end.
 CHARACTERS = r"(?!\A)(?!\z)"
@@ -31,7 +31,10 @@ def _digit(d: Column, i: int) -> Column:
 
 
 def credit_card(v: Column) -> Column:
-    d = digits(v)
+    return let(digits(v), _credit_card)
+
+
+def _credit_card(d: Column) -> Column:
     two, four = F.substring(d, 1, 2).try_cast("int"), F.substring(d, 1, 4).try_cast("int")
     # fixed values: the ranges in which issuers number cards
     known = d.startswith("4") | two.between(51, 55) | two.isin(34, 37, 36, 38, 39, 65, 62) | four.between(2221, 2720) | four.between(3528, 3589) | four.between(3000, 3059) | (four == 6011)
@@ -39,14 +42,20 @@ def credit_card(v: Column) -> Column:
 
 
 def my_number(v: Column) -> Column:
-    d = digits(v)
+    return let(digits(v), _my_number)
+
+
+def _my_number(d: Column) -> Column:
     total = sum(_digit(d, 12 - n) * (n + 1 if n <= 6 else n - 5) for n in range(1, 12))
     rest = total % 11
     return F.when(F.length(d) == 12, ok(~d.rlike(r"\A(.)\1*\z") & (F.when(rest <= 1, 0).otherwise(11 - rest) == _digit(d, 12)))).otherwise(0)
 
 
 def corporate_number(v: Column) -> Column:
-    d = digits(v)
+    return let(digits(v), lambda d: _corporate_number(v, d))
+
+
+def _corporate_number(v: Column, d: Column) -> Column:
     total = sum(_digit(d, 13 - i) * (1 if i % 2 == 0 else 2) for i in range(12))
     return F.when(F.length(d) == 13, ok(9 - total % 9 == _digit(d, 1), v.rlike(r"\A\s*[TＴ]"))).otherwise(0)
 
@@ -60,7 +69,10 @@ def iban(v: Column) -> Column:
 
 
 def us_ssn(v: Column) -> Column:
-    d = digits(v)
+    return let(digits(v), _us_ssn)
+
+
+def _us_ssn(d: Column) -> Column:
     area = F.substring(d, 1, 3)
     return ok((F.length(d) == 9) & ~area.isin("000", "666") & ~d.startswith("9") & (F.substring(d, 4, 2) != "00") & (F.substring(d, 6, 4) != "0000"))
 
@@ -70,9 +82,8 @@ def phone_jp(v: Column) -> Column:
     d, abroad = digits(t), t.startswith("+")
     rest = F.substring(d, 3, 40)
     d = F.when(abroad, F.when(d.startswith("81"), F.when(rest.startswith("0"), rest).otherwise(F.concat(F.lit("0"), rest))).otherwise("")).otherwise(d)
-    # fixed values: number ranges of eleven digits
-    fits = ((F.length(d) == 10) & ~d.startswith("00")) | ((F.length(d) == 11) & d.rlike(r"\A(?:070|080|090|050|060|020|0800)"))
-    return ok(d.startswith("0") & fits, abroad | t.rlike("[^0-9０-９+]"))
+    # fixed values: ten digits, or eleven in certain ranges
+    return ok(d.rlike(r"\A(?:0[1-9][0-9]{8}|(?:070|080|090|050|060|020)[0-9]{8})\z"), abroad | t.rlike("[^0-9０-９+]"))
 
 
 def phone_intl(v: Column) -> Column:

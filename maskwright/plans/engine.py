@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -161,6 +162,9 @@ def rule_pattern(pattern: str, group: str | None) -> str:
     return "".join(out)
 
 
+_BUILT: dict[tuple, Column] = {}
+
+
 class Engine:
     """What a configuration detects and how it renders what it finds."""
 
@@ -203,7 +207,14 @@ class Engine:
     # ---- detection ----
 
     def _candidates(self, text: Column, d: Active, gates: Column) -> Column:
-        """array<struct<start, end, conf>> of one detector that passed its tests."""
+        """array<struct<start, end, conf>> of one detector that passed its tests. Building the column takes hundreds of calls
+        into the JVM, so that engines of one session share it; text and gates are always the same columns."""
+        key = (SparkContext._active_spark_context.applicationId, d.id, d.patterns, d.boundary, d.spec)
+        if key not in _BUILT:
+            _BUILT[key] = self._tested(text, d, gates)
+        return _BUILT[key]
+
+    def _tested(self, text: Column, d: Active, gates: Column) -> Column:
         need = NEEDS.get(d.id) if d.spec else None
         if d.spec and d.spec.required and not d.spec.validator:
             need = Need(d.spec.context)
