@@ -14,8 +14,8 @@ occurrence being a run of windows that share it (about one for every 39 bytes).
    in document order and sorted as suffixes. In suffix order the previous and the next smaller position give each
    position its longest previous factor; where that is `length` or more, the window is a later copy.
 4. Anchors with more classes (a very common line between ever new neighbours) may hold a third of all rows. There each
-   window is hashed, the first of each hash is found by partial sums, and a join whose skewed partitions are split marks
-   the rest. Both ways give the same bytes.
+   window is hashed and the first of each hash is found by partial sums; all windows go but those firsts. Both ways give
+   the same bytes.
 
 Each text is shuffled once: its exchange is used again when the marks come back. Hashes of classes and windows are 64
 bits beside the 64 of their anchor.
@@ -26,16 +26,19 @@ start, then by a hash of the text. A null doc_id is smaller than all others. Oth
 """
 
 import hashlib
+from bisect import bisect_left
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Prefix, mix, read, text_buffer, text_of, written
+from maskwright.llm.common import Prefix, mix, pieces, read, text_buffer, text_of, written
 
 LENGTH, GRAM, GROUP = 100, 24, 100
-CHUNK, BATCH_BYTES, LOW = 900_000, 2_000_000, (1 << 20) - 1
+CHUNK, BATCH_BYTES, LOW = 500_000, 1_000_000, (1 << 20) - 1
 NO_ID = -(2**63)
+#: What is known of a run of windows: it goes; it goes but for first windows; it is a first window.
+GONE, CROWDED, FIRST = 0, 1, 2
 
 
 def anchor_runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -73,7 +76,7 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     names = ["anchor", "around", "did", "loc", "windows"]
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, 2):
             did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64) & 0xFFFFFFFF
             raw, offsets = text_buffer(batch.column(2))
             for row, start, windows, anchor, around in anchor_runs(raw, offsets, length, gram):
@@ -196,9 +199,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
 
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text")).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.hash("text").alias("th"), "doc_id", "text"
-    )
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.hash(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
     found = occurrences(base, length, gram)
     repeated = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-anchors")
     held = written(found.join(repeated, "anchor"), "suffix-occurrences")
@@ -218,14 +219,14 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
 
     def cut(batches):
         """The bytes around each asked occurrence."""
-        for batch in batches:
+        for batch in pieces(batches, 2):
             did, rows, text = batch.column(0).to_numpy(), batch.column(1).to_pylist(), batch.column(2).to_pylist()
             out = []
             for d, asks, t in zip(did.tolist(), rows, text, strict=True):
                 b = t.encode()
                 out += [(x["anchor"], d, x["loc"], x["windows"], b[(s := x["loc"] >> 32) : s + x["windows"] - 1 + length]) for x in asks]
-            for a in range(0, len(out), 20_000):
-                cols = zip(*out[a : a + 20_000], strict=True)
+            for a in range(0, len(out), 5_000):
+                cols = zip(*out[a : a + 5_000], strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "did", "loc", "windows", "bytes"])
 
@@ -245,27 +246,26 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     shape = "anchor long, did long, loc long, windows int, bytes binary"
     few = asked(wanted.filter("NOT crowded")).select("did", "asked", "text").mapInArrow(cut, shape).repartition(n, "anchor")
     crowd = asked(wanted.filter("crowded")).select("did", "asked", "text").mapInArrow(cut, shape).mapInArrow(hashed, "anchor long, key long, did long, loc long")
-    first = crowd.groupBy("anchor", "key").agg(F.min(F.struct("did", "loc")).alias("first"), F.count("*").alias("n")).filter("n > 1")
-    # joined on another expression than the groups' key: both sides are shuffled for the join, so that skewed partitions are split
-    both = F.xxhash64("anchor", "key")
-    later = crowd.withColumn("both", both).join(first.select(both.alias("both"), F.col("key").alias("k"), "first"), "both").filter("key = k AND (did <> first.did OR loc <> first.loc)")
-    marks = copies.unionByName(later_copies(few, length)).unionByName(later.select("did", "loc", F.lit(1).alias("windows")))
+    # of crowded anchors all windows go but the first of each hash; those are few, and no row has to be joined to its first
+    first = crowd.groupBy("anchor", "key").agg(F.min(F.struct("did", "loc")).alias("first")).select("first.did", "first.loc", F.lit(1).alias("windows"))
+    kind = lambda rows, k: rows.select("did", "loc", "windows", F.lit(k).alias("kind"))
+    marks = kind(copies, GONE).unionByName(kind(later_copies(few, length), GONE)).unionByName(kind(firsts.filter("crowded"), CROWDED)).unionByName(kind(first, FIRST))
     by_doc = (
         marks.withColumn("th", th)
-        .groupBy("did", "th").agg(F.collect_set(F.struct(F.shiftright("loc", 32).alias("start"), "windows")).alias("marks"))
+        .groupBy("did", "th").agg(F.collect_set(F.struct(F.shiftright("loc", 32).alias("start"), "windows", "kind")).alias("marks"))
     )
 
     def remove(batches):
-        for batch in batches:
+        for batch in pieces(batches, 1):
             out = []
-            ids, texts_, marks_ = (batch.column(i).to_pylist() for i in range(3))
+            ids, texts_, marks_ = ([None if d == NO_ID else d for d in batch.column(0).to_pylist()], *(batch.column(i).to_pylist() for i in (1, 2)))
             for d, t, m in zip(ids, texts_, marks_, strict=True):
                 b = (t or "").encode()
                 if not m:
                     out.append((d, len(b), 0, 0, hashlib.sha256(b).hexdigest(), b))
                     continue
                 runs: list[list[int]] = []
-                for s, e in sorted((x["start"], x["start"] + x["windows"] - 1 + length) for x in m):
+                for s, e in sorted((s, e - 1 + length) for s, e in window_runs(m)):
                     if runs and s <= runs[-1][1]:
                         runs[-1][1] = max(runs[-1][1], e)
                     else:
@@ -278,10 +278,27 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    final = texts.join(by_doc, ["did", "th"], "left").select("doc_id", "text", "marks")
+    # as everywhere else, did and th and text are read: three equal exchanges are one
+    final = texts.join(by_doc, ["did", "th"], "left").select("did", "text", "marks", "th")
     return final.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def window_runs(marks: list[dict]):
+    """(start, end) of runs of windows that go."""
+    first = sorted(x["start"] for x in marks if x["kind"] == FIRST)
+    for x in marks:
+        s, end = x["start"], x["start"] + x["windows"]
+        if x["kind"] == GONE:
+            yield s, end
+        elif x["kind"] == CROWDED:
+            for f in first[bisect_left(first, s) : bisect_left(first, end)]:
+                if f > s:
+                    yield s, f
+                s = f + 1
+            if end > s:
+                yield s, end
+
+
 def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The values of an Arrow binary column end to end, and the offsets of its rows."""
     _, offsets, data = column.buffers()
