@@ -24,11 +24,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import few, mix, read, text_buffer, written
+from maskwright.llm.common import few, mix, pieces, read, text_buffer, written
 
 ORDER, QUANTILE, MARGIN, LEAST_TRUSTED = 5, 0.99, 1.25, 50
 #: Most rows of a table of labels that is broadcast, and most n-grams of a shard.
 BROADCAST_ROWS, SHARD_ROWS = 1_000_000, 2_000_000
+#: Bytes worked on at once.
+CHUNK = 1_000_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -70,15 +72,17 @@ def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, np.int64)
             return g[first], np.add.reduceat(n, first) if len(g) else n
 
-        for batch in batches:
+        for batch in pieces(batches, 0, CHUNK):
             raw, offsets = text_buffer(batch.column(0))
             trusted = np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(bool), np.diff(offsets))
-            for a in range(0, len(raw), 4_000_000):
-                b = min(a + 4_000_000, len(raw))
+            for a in range(0, len(raw), CHUNK):
+                b = min(a + CHUNK, len(raw))
                 part, t = codes(raw, offsets, order, a, b), trusted[a:b]
                 g, n = np.unique(part[t], return_counts=True)
                 held += [(g, n.astype(np.int64)), ((other := np.unique(part[~t])), np.zeros(len(other), np.int64))]
-            held[:] = [merged()]
+            if len(held) > 8:
+                held[:] = [merged()]
+        held[:] = [merged()]
         g, n = held[0]
         for a in range(0, len(g), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(g[a : a + 100_000]), pa.array(n[a : a + 100_000])], ["gram", "n"])
@@ -178,8 +182,8 @@ def score(docs: DataFrame, table: DataFrame, order: int = ORDER) -> DataFrame:
             for texts in parts:
                 raw, offsets = text_buffer(texts)
                 sums, at = np.zeros(len(texts)), 0
-                while at < len(texts):  # about 4 MB at a time, whole rows
-                    end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 4_000_000, "right")) - 1)
+                while at < len(texts):  # about CHUNK bytes at a time, whole rows
+                    end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
                     own = offsets[at : end + 1] - offsets[at]
                     found = lookup.of(codes(raw[offsets[at] : offsets[end]], own, order))
                     sums[at:end] = np.diff(np.concatenate(([0.0], np.cumsum(found, dtype=np.float64)))[own])
