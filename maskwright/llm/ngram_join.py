@@ -47,8 +47,8 @@ def sets_of(column, words: int):
     """Yields the sorted distinct hashes (uint64) of each row of an Arrow string column."""
     raw, offsets = text_buffer(column)
     at, rows = 0, len(offsets) - 1
-    while at < rows:  # about 2 MB at a time, whole rows
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 2_000_000, "right")) - 1)
+    while at < rows:  # about half a megabyte at a time, whole rows
+        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 500_000, "right")) - 1)
         own = offsets[at : end + 1] - offsets[at]
         data = LOWER[raw[offsets[at] : offsets[end]]]
         inside = ~SPACE_BYTE[data]
@@ -266,7 +266,7 @@ def tile_edges(rows: DataFrame, percent: int) -> DataFrame:
 def exact_links(rows: DataFrame, percent: int) -> DataFrame:
     """did, root, sig, links from rows of tile, block, did, sig, tokens: the edges and numbers of links of each tile.
 
-    Where a tile has two blocks, only pairs of one and the other count."""
+    In a tile of two blocks, only pairs of one and the other count; block is 0 in tiles of one."""
     import pyarrow as pa
 
     def unpack(batch):
@@ -291,7 +291,7 @@ def exact_links(rows: DataFrame, percent: int) -> DataFrame:
         flat = np.concatenate([held[i][3] for i in only])
         names, flat = np.unique(flat, return_inverse=True)
         begin = np.concatenate(([0], np.cumsum(sizes)))
-        two = len(set(block.tolist())) > 1
+        two = bool(block.any())
         links = np.zeros(len(only), np.int64)
         mark = np.zeros(len(names), bool)
         for i in range(len(only)):
@@ -402,7 +402,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
         l = large.join(blocks, ["comp", "band"]).withColumn("b", F.pmod(F.hash("sig"), F.col("nb")))
         tile = lambda b1, i, b2, j: F.xxhash64("comp", b1, i, b2, j)
         same = l.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-            tile(F.col("band"), F.least("b", "x"), F.col("band"), F.greatest("b", "x")).alias("tile"), F.col("b").alias("block"), "did", "sig", "tokens"
+            tile(F.col("band"), F.least("b", "x"), F.col("band"), F.greatest("b", "x")).alias("tile"), F.when(F.col("b") == F.col("x"), 0).otherwise(F.col("b") + 1).alias("block"), "did", "sig", "tokens"
         )
         up = l.join(near, (F.col("comp") == F.col("c")) & (F.col("band2") == F.col("band") + 1)).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("nb2") - 1))).select(
             tile(F.col("band"), F.col("b"), F.col("band2"), F.col("x")).alias("tile"), F.lit(-1).alias("block"), "did", "sig", "tokens"
