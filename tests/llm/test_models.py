@@ -144,6 +144,19 @@ def test_quality_on_the_tables(spark):
     assert n.get((1, False), 0) <= 0.05 * n[(1, True)]
 
 
+@pytest.mark.parametrize("most", [0, 10])
+def test_quality_of_a_language_with_few_labels(spark, caplog, most):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    clean = sorted(r["doc_id"] for r in d.filter("lang = 'es'").join(labels.filter("quality = 1"), "doc_id").select("doc_id").collect())
+    known, new = clean[:most], clean[most:]
+    got = quality.classify(d, labels.filter(~F.col("doc_id").isin(new))).filter("lang = 'es'").collect()
+    assert len(new) > 20 and all(r["kept"] for r in got if r["doc_id"] in new)
+    assert len(known) == most and all((r["threshold"] is None) == (most == 0) for r in got)
+    assert ("es (" in caplog.text) == (most == 0)
+    assert most == 0 or not all(r["kept"] for r in got)
+
+
 def test_mixing(spark):
     rng = random.Random(9)
     rows = [(i, rng.choice(["b", "a", "ü", None, "big"] + ["big"] * 4), " ".join(["w"] * rng.randint(0, 30))) for i in range(3000)] + [(5000, "none", None), (5001, "none", "  "), (None, "a", "x y")]
