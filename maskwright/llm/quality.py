@@ -3,10 +3,11 @@
 The model is over bytes of the text with ASCII letters in lower case, order 5 by default, with four zero bytes before
 each text, and trained on all trusted text (rows that `labels.quality` marks 1). A document's perplexity is exp of the
 mean negative log-likelihood of its bytes; it is kept unless that is over the threshold of its language, a quantile
-of the perplexities of that language's trusted texts times a margin. For thresholds, trusted texts are dealt into two
+of the perplexities of that language's trusted texts. For thresholds, trusted texts are dealt into two
 halves by a hash of the text (so copies leave together), and each is scored by a model of the other half only: scored
-by a model that was trained on it, a text looks more usual than any new one can. A language with fewer than
-`least_trusted` different trusted texts has no threshold: its documents are kept, and a warning names it.
+by a model that was trained on it, a text looks more usual than any new one can, so what the halves lie higher is the
+margin. A language with fewer than `least_trusted` different trusted texts has no threshold: its documents are kept,
+and a warning names it.
 
 Each task counts the n-grams of its part of the corpus in numpy and sends one row for each distinct n-gram; counts,
 continuation counts, discounts and interpolated probabilities are then aggregations and joins on n-grams. Every n-gram
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 
 from maskwright.llm.common import few, mix, pieces, read, text_buffer, written
 
-ORDER, QUANTILE, MARGIN = 5, 0.99, 1.25
+ORDER, QUANTILE = 5, 0.99
 #: A new text like n others lies over all of them with a chance of 1 / (n + 1); with fewer than this that is over a tenth.
 LEAST_TRUSTED = 9
 #: The model of all trusted text, and those that leave out half 0 and half 1.
@@ -254,10 +255,10 @@ def left_out(trusted: DataFrame, table: DataFrame, order: int) -> DataFrame:
     return score(own, by_half, order).select("lang", F.xxhash64("text").alias("__text"), "__nll")
 
 
-def thresholds(held: DataFrame, quantile: float, margin: float, least_trusted: int) -> DataFrame:
+def thresholds(held: DataFrame, quantile: float, least_trusted: int) -> DataFrame:
     """__lang, __most: the perplexity over which a document of the language goes, null where trusted texts are too few. Copies count once."""
     texts = held.filter("__nll IS NOT NULL").groupBy("lang", "__text").agg(F.max("__nll").alias("__nll"))
-    most = F.when(F.count("*") >= least_trusted, F.percentile_approx(F.exp("__nll"), quantile, 10000) * margin)
+    most = F.when(F.count("*") >= least_trusted, F.percentile_approx(F.exp("__nll"), quantile, 10000))
     return texts.groupBy(F.col("lang").alias("__lang")).agg(most.alias("__most"))
 
 
@@ -270,10 +271,10 @@ def warn(docs: DataFrame, limits: DataFrame) -> None:
         log.warning("quality: too little trusted text for a threshold in %d languages; their %d documents are kept: %s", all_["langs"], all_["n"], named)
 
 
-def limits_of(trusted: DataFrame, table: DataFrame | None, order: int, quantile: float, margin: float, least_trusted: int) -> DataFrame:
+def limits_of(trusted: DataFrame, table: DataFrame | None, order: int, quantile: float, least_trusted: int) -> DataFrame:
     """thresholds of all languages with trusted text, written; languages without are reported."""
     none = trusted.sparkSession.createDataFrame([], "__lang string, __most double")
-    limits = none if table is None else written(thresholds(written(left_out(trusted, table, order), "kn-held"), quantile, margin, least_trusted), "kn-limits")
+    limits = none if table is None else written(thresholds(written(left_out(trusted, table, order), "kn-held"), quantile, least_trusted), "kn-limits")
     warn(trusted.select("lang"), limits)
     return limits
 
@@ -285,19 +286,19 @@ def judged(scores: DataFrame, limits: DataFrame) -> DataFrame:
     return joined.withColumns({"perplexity": ppl, "threshold": F.col("__most"), "kept": F.coalesce(ppl <= F.col("__most"), F.lit(True))})
 
 
-def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept: one row for each row of docs. The threshold is null where a language has none."""
     trusted = with_trust(docs.select("doc_id", "lang", "text"), labels)
     table = models(trusted, order)
-    limits = limits_of(trusted, table, order, quantile, margin, least_trusted)
+    limits = limits_of(trusted, table, order, quantile, least_trusted)
     return judged(scored(trusted, table, order), limits).select("doc_id", "lang", "perplexity", "threshold", "kept")
 
 
-def keep(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
     """The rows of docs that stay, with their columns."""
     trusted = with_trust(docs, labels)
     table = models(trusted, order)
-    limits = limits_of(trusted, table, order, quantile, margin, least_trusted)
+    limits = limits_of(trusted, table, order, quantile, least_trusted)
     return judged(scored(trusted, table, order), limits).filter("kept").select(*docs.columns)
 
 

@@ -144,6 +144,13 @@ def test_quality_on_the_tables(spark):
     assert n.get((1, False), 0) <= 0.05 * n[(1, True)]
 
 
+def test_quality_share_of_bad_that_stays(spark):
+    path = "/root/testdata/sf0.01"
+    got = quality.query(spark, path).join(spark.read.parquet(f"{path}/labels.parquet"), "doc_id").groupBy("quality", "kept").count().collect()
+    n = {(r["quality"], r["kept"]): r["count"] for r in got}
+    assert n[0, True] <= 0.1 * (n[0, True] + n[0, False]) and n.get((1, False), 0) <= 0.01 * n[1, True]
+
+
 @pytest.mark.parametrize("most", [0, 10])
 def test_quality_of_a_language_with_few_labels(spark, caplog, most):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang", "text")
