@@ -300,4 +300,4 @@ def default_model() -> str:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentence_pieces(read(spark, sf_dir, "documents", "doc_id", "text"), default_model(), with_ids=False)
+    return sentence_pieces(read(spark, sf_dir, "documents", "doc_id", "text"), default_model(), verify=True, with_ids=False)

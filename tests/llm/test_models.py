@@ -60,6 +60,16 @@ def test_pieces_equal_the_library(spark):
     assert sentence_pieces.sentence_pieces(docs(spark, ["a"]).limit(0), path).count() == 0
 
 
+def test_registered_runs_verify_the_pieces(spark, monkeypatch):
+    import corpus_pipeline
+
+    asked, plain = [], sentence_pieces.sentence_pieces
+    monkeypatch.setattr(sentence_pieces, "sentence_pieces", lambda *a, verify=False, **b: asked.append(verify) or plain(*a, verify=verify, **b))
+    sentence_pieces.query(spark, SMALL)
+    corpus_pipeline.encode_stage(spark, docs(spark, ["a"]), SMALL)
+    assert asked == [True, True]
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(6)
     words = ["".join(rng.choices("aeioulmnrst", k=rng.randint(2, 8))) for _ in range(300)]
