@@ -11,8 +11,9 @@ and a warning names it.
 
 Each task counts the n-grams of its part of the corpus in numpy and sends one row for each distinct n-gram; counts,
 continuation counts, discounts and interpolated probabilities are then aggregations and joins on n-grams. Every n-gram
-that the corpus holds gets its log-probability by joins order by order (sharded by n-gram), so what is gathered grows
-with the corpus. Scoring reads the table of log-probabilities shard by shard: a shard is bounded by SHARD_ROWS rows
+that the corpus holds gets its log-probability by joins order by order (sharded by n-gram); what is gathered grows with
+the different n-grams, of which ten times the text of the tables has 1.6 times as many at order 5, 2.9 at order 7.
+Scoring reads the table of log-probabilities shard by shard: a shard is bounded by SHARD_ROWS rows
 (12 bytes each), is broadcast, and every document sums what it finds in it; sums of all shards are added. One pass over
 the texts is one shard, and the number of shards follows from the number of n-grams.
 
