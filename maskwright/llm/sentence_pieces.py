@@ -7,7 +7,9 @@ piece holds after a letter. The distinct cuts of a batch are encoded
 together: a matrix holds the agenda of each, and every round merges the best pair of each row. Cuts of over
 MATRIX_CHARS symbols go through a heap. Characters that no piece covers become byte pieces.
 
-`verify` encodes each Arrow batch with the sentencepiece library too and fails at the first difference. Decoding uses
+`verify` encodes each Arrow batch with the sentencepiece library too and fails at the first difference. About
+SLICE_BYTES of text are worked on at once, and the cuts that a task remembers are bounded in number and characters, so
+memory follows neither the size of batches nor of the corpus (one very long text is held whole). Decoding uses
 the library's decode(ids). The vocabulary's path is a parameter; its bytes (bounded by the vocabulary, 0.5 MB here) go
 to the executors with the function.
 
@@ -28,12 +30,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import read
+from maskwright.llm.common import lean, pieces, read
 
 SPACE, NONE, ABSENT = "▁", np.int32(2**31 - 1), 2**40
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
-MATRIX_CHARS, CACHE, SLICE_CHARS = 40, 600_000, 2_000_000
+#: Longest cut for the matrix; most cuts and characters of cuts that are remembered; bytes of text worked on at once.
+MATRIX_CHARS, CACHE, CACHE_CHARS, SLICE_BYTES = 40, 150_000, 2_000_000, 500_000
 
 
 def proto_fields(data: bytes):
@@ -107,6 +110,7 @@ class MergeVocabulary:
         self.cuts = re.compile("(?s).+" if crossing else rf"{word}| +" if line else rf"\n|{word}| +")
         self.names = list(map(str, range(self.size)))
         self.cache: dict[str, int] = {}
+        self.cache_chars = 0
         self.start, self.count, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _slot(self, key: np.ndarray) -> np.ndarray:
@@ -201,13 +205,15 @@ class MergeVocabulary:
         return np.array(out, np.int64)
 
     def learn(self, cuts: set[str]) -> None:
-        """Adds the ids of each cut to the pool."""
+        """Adds the ids of each cut to the pool. What is remembered is bounded in cuts and in characters."""
         new = [c for c in cuts if c not in self.cache]
-        if len(self.cache) + len(new) > CACHE:
+        chars = sum(map(len, new))
+        if self.cache and (len(self.cache) + len(new) > CACHE or self.cache_chars + chars > CACHE_CHARS):
             self.cache, self.start, self.count, self.pool = {}, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-            new = list(cuts)
+            new, chars, self.cache_chars = list(cuts), sum(map(len, cuts)), 0
         if not new:
             return
+        self.cache_chars += chars
         new.sort(key=len)
         symbols = self.symbols("".join(new).replace(" ", SPACE))
         length = np.fromiter(map(len, new), np.int64, len(new))
@@ -243,24 +249,17 @@ class MergeVocabulary:
         self.count = np.concatenate((self.count, count))
         self.pool = np.concatenate((self.pool, np.concatenate(pools).astype(np.int32)))
 
-    def encode(self, texts: list[str]):
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        at = 0
-        while at < len(texts):
-            end, chars = at, 0
-            while end < len(texts) and (end == at or chars + len(texts[end]) <= SLICE_CHARS):
-                chars += len(texts[end])
-                end += 1
-            # a space and its own sign are the same; only runs of both may be cut from what is before them
-            cuts = [self.cuts.findall(self.prefix + t.replace(SPACE, " ")) if t else [] for t in texts[at:end]]
-            flat = list(chain.from_iterable(cuts))
-            self.learn(set(flat))
-            which = np.fromiter(map(self.cache.__getitem__, flat), np.int64, len(flat))
-            count = self.count[which]
-            total = np.concatenate(([0], np.cumsum(count)))
-            ids = self.pool[np.repeat(self.start[which] - total[:-1], count) + np.arange(total[-1])]
-            yield from np.split(ids, total[np.cumsum([len(c) for c in cuts])[:-1]])
-            at = end
+        # a space and its own sign are the same; only runs of both may be cut from what is before them
+        cuts = [self.cuts.findall(self.prefix + t.replace(SPACE, " ")) if t else [] for t in texts]
+        flat = list(chain.from_iterable(cuts))
+        self.learn(set(flat))
+        which = np.fromiter(map(self.cache.__getitem__, flat), np.int64, len(flat))
+        count = self.count[which]
+        total = np.concatenate(([0], np.cumsum(count)))
+        ids = self.pool[np.repeat(self.start[which] - total[:-1], count) + np.arange(total[-1])]
+        return np.split(ids, total[np.cumsum([len(c) for c in cuts])[:-1]]) if texts else []
 
 
 def sentence_pieces(docs: DataFrame, model_path: str, verify: bool = False, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
@@ -275,22 +274,25 @@ def sentence_pieces(docs: DataFrame, model_path: str, verify: bool = False, id_c
         import sentencepiece
 
         library, own = sentencepiece.SentencePieceProcessor(model_proto=model), MergeVocabulary(model)
-        for batch in batches:
-            n, all_ids, ids_sha, text_sha = [], [], [], []
+        for batch in pieces(batches, 1, SLICE_BYTES):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for text, found in zip(texts, own.encode(texts), strict=True):
-                ids = found.tolist()
+            found = own.encode(texts)
+            ids_sha, text_sha = [], []
+            for text, each in zip(texts, found, strict=True):
+                ids = each.tolist()
                 if verify and ids != library.encode(text):
                     raise ValueError("the agenda and the library differ")
-                n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join([own.names[i] for i in ids]).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(library.decode(ids).encode() if ids else b"").hexdigest())
-                all_ids.append(found if with_ids else None)
-            cols = [batch.column(0), pa.array(n, pa.int64())] + ([pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else []) + [pa.array(ids_sha), pa.array(text_sha)]
+            n = np.array([len(each) for each in found], np.int64)
+            cols = [batch.column(0), pa.array(n), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+            if with_ids:
+                flat = np.concatenate([np.zeros(0, np.int32), *found]).astype(np.int32)
+                cols.insert(2, pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat)))
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens"] + ["ids"] * with_ids + ["ids_sha256", "decoded_sha256"])
 
     schema = "doc_id long, n_tokens long, " + "ids array<int>, " * with_ids + "ids_sha256 string, decoded_sha256 string"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), schema)
 
 
 def default_model() -> str:
