@@ -10,19 +10,23 @@ occurrence being a run of windows that share it (about one for every 39 bytes).
 1. Anchors that occur once are dropped: their windows are unique. (counts, then a join of two shuffled sides)
 2. Occurrences with equal bytes around the anchor form a class. All but the first of a class are removed whole, and the
    first stands for the class: exact copies, however many, cost one row each and never meet in one task.
-3. Where an anchor has two classes or more, up to GROUP, the bytes of the classes' first occurrences are laid end to end
-   in document order and sorted as suffixes. In suffix order the previous and the next smaller position give each
-   position its longest previous factor; where that is `length` or more, the window is a later copy.
-4. Anchors with more classes (a very common line between ever new neighbours) may hold a third of all rows. There each
-   window is hashed and the first of each hash is found by partial sums; all windows go but those firsts. Both ways give
-   the same bytes.
+3. Where an anchor has two classes or more, the bytes of the classes' first occurrences are laid end to end in document
+   order and sorted as suffixes. In suffix order the previous and the next smaller position give each position its
+   longest previous factor; where that is `length` or more, the window is a later copy.
+4. What is sorted in one task is bounded by `group` classes. An anchor with more (a very common line between ever new
+   neighbours, perhaps a third of all rows) is split by a longer one: its runs are cut into parts of PART windows at
+   fixed offsets from the anchor, and all the bytes that the windows of a part have in common (93 of 100) are the new
+   anchor. Most parts then have an anchor of their own, or one class, and are done; the others go through steps 1 to 3
+   again. What is still over the bound is cut into single windows, where the whole window is the anchor and the first
+   occurrence is a minimum by partial sums. Rows follow the number of occurrences, and every way gives the same bytes.
 
 Each text is shuffled once: its exchange is used again when the marks come back. Hashes of classes and windows are 64
 bits beside the 64 of their anchor.
 
 Defined cases: null is empty; texts under `length` bytes lose nothing. Rows that share doc_id and text are one document:
 they remove nothing from each other and get equal results. Rows that share a doc_id but not the text are ordered by
-start, then by a hash of the text. A null doc_id is smaller than all others. Other columns are not carried.
+start, then by a hash of the text. A null doc_id is smaller than all others (-2**63 stands for it, and comes back as
+null). Other columns are not carried.
 """
 
 import hashlib
@@ -32,9 +36,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Prefix, mix, pieces, read, text_buffer, text_of, written
+from maskwright.llm.common import Prefix, lean, mix, pieces, read, text_buffer, text_of, written
 
-LENGTH, GRAM, GROUP = 100, 24, 100
+#: Most classes (of under 200 bytes each) that meet in one suffix array, and windows of a part of an occurrence.
+LENGTH, GRAM, GROUP, PART = 100, 24, 4_000, 8
 CHUNK, BATCH_BYTES, LOW = 500_000, 1_000_000, (1 << 20) - 1
 NO_ID = -(2**63)
 #: What is known of a run of windows: it goes; it goes but for first windows; it is a first window.
@@ -42,7 +47,8 @@ GONE, CROWDED, FIRST = 0, 1, 2
 
 
 def anchor_runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
-    """Yields arrays (row, start of the first window in its row, windows, anchor's hash, hash of all their bytes)."""
+    """Yields arrays (row, start of the first window in its row, windows, bytes from there to the anchor, anchor's hash,
+    hash of all their bytes)."""
     left = np.repeat(offsets[1:], np.diff(offsets)) if len(raw) else np.zeros(0, np.int64)
     for c in range(0, max(0, len(raw) - length + 1), CHUNK):
         data = raw[c : c + CHUNK + length - 1]
@@ -66,24 +72,25 @@ def anchor_runs(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int):
         shape = mix(((q - a) * 4096 + windows).astype(np.uint64))
         around = mix(sums.of(a, a + windows - 1 + length) ^ shape)
         row = np.searchsorted(offsets, a + c, "right") - 1
-        yield row, a + c - offsets[row], windows, hashes[q].view(np.int64), around.view(np.int64)
+        yield row, a + c - offsets[row], windows, q - a, hashes[q].view(np.int64), around.view(np.int64)
 
 
 def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """anchor, around, did, loc (start << 32 | hash of the text), windows. docs: did, th, text."""
+    """anchor, around, did, loc (start << 32 | hash of the text), shape (bytes before the anchor << 8 | windows).
+    docs: did, th, text."""
     import pyarrow as pa
 
-    names = ["anchor", "around", "did", "loc", "windows"]
+    names = ["anchor", "around", "did", "loc", "shape"]
 
     def run(batches):
         for batch in pieces(batches, 2):
             did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64) & 0xFFFFFFFF
             raw, offsets = text_buffer(batch.column(2))
-            for row, start, windows, anchor, around in anchor_runs(raw, offsets, length, gram):
-                cols = (anchor, around, did[row], start << 32 | th[row], windows.astype(np.int32))
+            for row, start, windows, lead, anchor, around in anchor_runs(raw, offsets, length, gram):
+                cols = (anchor, around, did[row], start << 32 | th[row], (lead << 8 | windows).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], names)
 
-    return docs.select("did", "th", "text").mapInArrow(run, "anchor long, around long, did long, loc long, windows int")
+    return docs.select("did", "th", "text").mapInArrow(lean(run), "anchor long, around long, did long, loc long, shape int")
 
 
 # ---- longest previous factors ----
@@ -146,17 +153,18 @@ def longest_previous(data: np.ndarray, starts: np.ndarray, cap: int) -> np.ndarr
 
 
 def later_copies(contexts: DataFrame, length: int) -> DataFrame:
-    """did, loc, windows of runs that start earlier elsewhere. contexts: anchor, did, loc, windows, bytes."""
+    """did, loc, windows of runs that start earlier elsewhere. contexts: anchor, did, loc, shape, bytes."""
     import pyarrow as pa
 
     names = ["did", "loc", "windows"]
 
     def solve(parts):
-        did, loc, windows, size = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3, 4))
+        did, loc, windows, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
         begin = np.cumsum(size) - size
-        data = np.concatenate([p[5] for p in parts])
+        data, windows = np.concatenate([p[4] for p in parts]), windows & 255
         order = np.lexsort((loc, did))  # by doc_id, start, hash of the text
-        take = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(len(data))
+        order = order[np.concatenate(([True], (did[order[1:]] != did[order[:-1]]) | (loc[order[1:]] != loc[order[:-1]])))]  # repeated rows are one
+        take = np.repeat(begin[order] - (np.cumsum(size[order]) - size[order]), size[order]) + np.arange(size[order].sum())
         data, did, loc, windows, size = data[take], did[order], loc[order], windows[order], size[order]
         begin = np.cumsum(size) - size
         inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -185,12 +193,57 @@ def later_copies(contexts: DataFrame, length: int) -> DataFrame:
                 end = min(max(end, at + 1), len(batch))
                 while end < len(batch) and anchor[end] == anchor[end - 1]:  # groups stay together
                     end += 1
-                held.append((None, *(batch.column(i).to_numpy()[at:end] for i in (1, 2, 3)), np.diff(offsets[at : end + 1]), raw[offsets[at] : offsets[end]]))
+                held.append((*(batch.column(i).to_numpy()[at:end] for i in (1, 2, 3)), np.diff(offsets[at : end + 1]), raw[offsets[at] : offsets[end]]))
                 total, last, at = total + int(offsets[end] - offsets[at]), anchor[end - 1], end
         if held and (found := solve(held)) is not None:
             yield found
 
-    return contexts.sortWithinPartitions("anchor").mapInArrow(run, "did long, loc long, windows int")
+    return contexts.sortWithinPartitions("anchor").mapInArrow(lean(run), "did long, loc long, windows int")
+
+
+def parts_of(batches, length: int, part: int, whole: bool):
+    """Occurrences (anchor, did, loc, shape, bytes) cut into parts of `part` windows, at fixed offsets from the anchor: anchor,
+    around, did, loc, shape and, if whole, bytes. Equal windows get into parts with equal anchors."""
+    import pyarrow as pa
+
+    for batch in batches:
+        raw, offsets = _bytes(batch.column(4))
+        if not len(raw):
+            continue
+        shape = batch.column(3).to_numpy().astype(np.int64)
+        windows, lead = shape & 255, shape >> 8
+        low, high = lead - windows + 1, lead  # offsets of the anchor in the last and the first window, maybe below 0 in a part
+        first = low // part
+        n = high // part - first + 1
+        row = np.repeat(np.arange(len(batch)), n)
+        k = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + first[row]
+        lo, hi = np.maximum(low[row], k * part), np.minimum(high[row], k * part + part - 1)
+        anchor_at = offsets[:-1][row] + lead[row]
+        sums = Prefix(raw)
+        core, end = anchor_at - k * part, anchor_at - k * part - part + 1 + length  # what all windows of the part hold
+        salt = mix(batch.column(0).to_numpy()[row].view(np.uint64) + k.astype(np.uint64) * np.uint64(2) + np.uint64(1))
+        anchor = mix(sums.of(core, end) ^ salt)
+        begin, stop = anchor_at - hi, anchor_at - lo + length
+        around = mix(sums.of(begin, stop) ^ mix((lo - k * part).astype(np.uint64) * np.uint64(256) + (hi - k * part).astype(np.uint64)))
+        loc = batch.column(2).to_numpy()[row] + ((begin - offsets[:-1][row]) << 32)
+        cols = [anchor.view(np.int64), around.view(np.int64), batch.column(1).to_numpy()[row], loc, ((hi - k * part) << 8 | hi - lo + 1).astype(np.int32)]
+        names = ["anchor", "around", "did", "loc", "shape"]
+        for a in range(0, len(row), 10_000):
+            out = [pa.array(c[a : a + 10_000]) for c in cols]
+            if whole:
+                out.append(pa.array([raw[x:y].tobytes() for x, y in zip(begin[a : a + 10_000], stop[a : a + 10_000], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays(out, names + ["bytes"] * whole)
+
+
+def classed(held: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Of occurrences: did, loc, windows of those that are not the first of their class; and anchor, did, loc, shape of the
+    firsts where an anchor has several classes, with their number."""
+    classes = written(held.groupBy("anchor", "around").agg(F.min(F.struct("did", "loc")).alias("first"), F.max("shape").alias("shape"), F.count("*").alias("n")), f"{name}-classes")
+    again = classes.filter("n > 1").select("anchor", "around", "first")
+    copies = held.join(again, ["anchor", "around"]).filter((F.col("did") != F.col("first.did")) | (F.col("loc") != F.col("first.loc")))
+    many = written(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1"), f"{name}-groups")
+    firsts = classes.join(many, "anchor").select("anchor", "first.did", "first.loc", "shape", "classes")
+    return copies.select("did", "loc", F.col("shape").bitwiseAND(255).alias("windows")), firsts
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -203,20 +256,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     found = occurrences(base, length, gram)
     repeated = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-anchors")
     held = written(found.join(repeated, "anchor"), "suffix-occurrences")
-    classes = written(
-        held.groupBy("anchor", "around").agg(F.min(F.struct("did", "loc")).alias("first"), F.max("windows").alias("windows"), F.count("*").alias("n")), "suffix-classes"
-    )
-    again = classes.filter("n > 1").select("anchor", "around", "first")
-    copies = held.join(again, ["anchor", "around"]).filter((F.col("did") != F.col("first.did")) | (F.col("loc") != F.col("first.loc"))).select("did", "loc", "windows")
-    many = written(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1"), "suffix-groups")
-    firsts = classes.join(many, "anchor").select("anchor", "first.did", "first.loc", "windows", (F.col("classes") > group).alias("crowded"))
+    copies, firsts = classed(held, "suffix")
     th = F.expr("cast((loc & 4294967295) - if((loc & 2147483648) != 0, 4294967296, 0) as int)")  # the low 32 bits
     wanted = firsts.withColumn("th", th)
     texts = base.repartition(n, "did", "th")
 
-    def asked(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("did", "th").agg(F.collect_set(F.struct("anchor", "loc", "windows")).alias("asked")).join(texts, ["did", "th"])
-
     def cut(batches):
         """The bytes around each asked occurrence."""
         for batch in pieces(batches, 2):
@@ -224,32 +268,34 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             out = []
             for d, asks, t in zip(did.tolist(), rows, text, strict=True):
                 b = t.encode()
-                out += [(x["anchor"], d, x["loc"], x["windows"], b[(s := x["loc"] >> 32) : s + x["windows"] - 1 + length]) for x in asks]
+                out += [(x["anchor"], d, x["loc"], x["shape"], b[(s := x["loc"] >> 32) : s + (x["shape"] & 255) - 1 + length]) for x in asks]
             for a in range(0, len(out), 5_000):
                 cols = zip(*out[a : a + 5_000], strict=True)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "did", "loc", "windows", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "did", "loc", "shape", "bytes"])
+
+    def contexts(rows: DataFrame) -> DataFrame:
+        asked = rows.groupBy("did", "th").agg(F.collect_set(F.struct("anchor", "loc", "shape")).alias("asked")).join(texts, ["did", "th"])
+        return asked.select("did", "asked", "text").mapInArrow(lean(cut), "anchor long, did long, loc long, shape int, bytes binary")
 
-    def hashed(batches):
-        """A row for each window of crowded anchors."""
-        for batch in batches:
-            raw, offsets = _bytes(batch.column(4))
-            windows = batch.column(3).to_numpy().astype(np.int64)
-            row = np.repeat(np.arange(len(batch)), windows)
-            inner = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-            at = offsets[:-1][row] + inner
-            key = mix(Prefix(raw).of(at, at + length)).view(np.int64)
-            cols = (batch.column(0).to_numpy()[row], key, batch.column(1).to_numpy()[row], batch.column(2).to_numpy()[row] + (inner << 32))
-            for a in range(0, len(row), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 50_000]) for c in cols], ["anchor", "key", "did", "loc"])
-
-    shape = "anchor long, did long, loc long, windows int, bytes binary"
-    few = asked(wanted.filter("NOT crowded")).select("did", "asked", "text").mapInArrow(cut, shape).repartition(n, "anchor")
-    crowd = asked(wanted.filter("crowded")).select("did", "asked", "text").mapInArrow(cut, shape).mapInArrow(hashed, "anchor long, key long, did long, loc long")
-    # of crowded anchors all windows go but the first of each hash; those are few, and no row has to be joined to its first
-    first = crowd.groupBy("anchor", "key").agg(F.min(F.struct("did", "loc")).alias("first")).select("first.did", "first.loc", F.lit(1).alias("windows"))
     kind = lambda rows, k: rows.select("did", "loc", "windows", F.lit(k).alias("kind"))
-    marks = kind(copies, GONE).unionByName(kind(later_copies(few, length), GONE)).unionByName(kind(firsts.filter("crowded"), CROWDED)).unionByName(kind(first, FIRST))
+    few = contexts(wanted.filter(F.col("classes") <= group))
+    marks = kind(copies, GONE)
+    crowd = wanted.filter(F.col("classes") > group)
+    if not crowd.isEmpty():
+        crowd = written(contexts(crowd), "suffix-crowd")
+        cut_up = lambda rows, part, whole: rows.select("anchor", "did", "loc", "shape", "bytes").mapInArrow(
+            lean(lambda batches: parts_of(batches, length, part, whole)), "anchor long, around long, did long, loc long, shape int" + ", bytes binary" * whole
+        )
+        parts = written(cut_up(crowd, PART, True), "suffix-parts")
+        copies, firsts = classed(parts.drop("bytes"), "suffix-part")
+        firsts = written(parts.select("anchor", "did", "loc", "bytes").join(firsts, ["anchor", "did", "loc"]), "suffix-part-firsts")
+        few = few.unionByName(firsts.filter(F.col("classes") <= group).drop("classes"))
+        # of parts that are still crowded all windows go but the first of each; those are few, and no row is joined to its first
+        rest = firsts.filter(F.col("classes") > group)
+        first = cut_up(rest, 1, False).groupBy("anchor", "around").agg(F.min(F.struct("did", "loc")).alias("first")).select("first.did", "first.loc", F.lit(1).alias("windows"))
+        marks = marks.unionByName(kind(copies, GONE)).unionByName(kind(rest.withColumn("windows", F.col("shape").bitwiseAND(255)), CROWDED)).unionByName(kind(first, FIRST))
+    marks = marks.unionByName(kind(later_copies(few.repartition(n, "anchor"), length), GONE))
     by_doc = (
         marks.withColumn("th", th)
         .groupBy("did", "th").agg(F.collect_set(F.struct(F.shiftright("loc", 32).alias("start"), "windows", "kind")).alias("marks"))
@@ -280,7 +326,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
 
     # as everywhere else, did and th and text are read: three equal exchanges are one
     final = texts.join(by_doc, ["did", "th"], "left").select("did", "text", "marks", "th")
-    return final.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return final.mapInArrow(lean(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
 def window_runs(marks: list[dict]):

@@ -78,7 +78,7 @@ def brute_suffix(rows, length=100):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("group", [100, 2])
+@pytest.mark.parametrize("group", [4000, 12, 2])
 def test_suffix_dedup(spark, group):
     rng = random.Random(group)
     base = ["".join(rng.choices("abcdé \n", k=rng.randint(80, 400))) for _ in range(20)]
@@ -95,6 +95,27 @@ def test_suffix_dedup(spark, group):
     assert sorted(map(tuple, got.collect()), key=str) == brute_suffix(rows)
 
 
+@pytest.mark.parametrize("group", [4000, 3])
+def test_suffix_dedup_common_line_and_repeated_rows(spark, group):
+    """A line of 130 bytes between ever new neighbours, some of which agree by a few bytes, on both sides of the bound."""
+    rng = random.Random(17)
+    line = "".join(rng.choices("abcdefghij ", k=130))
+    rows = [(i, "".join(rng.choices("pq", k=rng.randint(0, 12))) + line + "".join(rng.choices("rs", k=rng.randint(0, 12)))) for i in range(60)]
+    rows += [(70 + i, "".join(rng.choices("klmn", k=90)) + line[i:110 + i] + "".join(rng.choices("tuvw", k=90))) for i in range(20)]
+    twice = rows + [rows[i] for i in (0, 5, 5, 60, 61, 79)]  # repeated rows are one document
+    got = suffix_dedup.suffix_dedup(frame(spark, twice), group=group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    want = {r[0]: r for r in brute_suffix(rows)}
+    assert sorted(map(tuple, got)) == sorted(want[d] for d, _ in twice)
+
+
+@pytest.mark.parametrize("group", [4000, 1])
+def test_suffix_dedup_repeats_of_one_document(spark, group):
+    core = "".join(random.Random(6).choices("abcdef", k=120))
+    rows = [(1, "x" * 40 + core + "y" * 40), (1, "x" * 40 + core + "y" * 40), (2, "z" * 40 + core + "v" * 40)]
+    got = suffix_dedup.suffix_dedup(frame(spark, rows), group=group).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == [(1, 0), (1, 0), (2, 120)]
+
+
 def test_suffix_dedup_repeated_rows_and_none(spark):
     text = "".join(random.Random(5).choices("abcdef", k=300))
     got = suffix_dedup.suffix_dedup(frame(spark, [(1, text), (1, text), (2, text)])).select("doc_id", "n_removed").collect()
