@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import written
+from maskwright.llm.common import discard, written
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
@@ -28,10 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
     now = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     now = written(now, "edges")
     while not _stars(now):
+        before = now
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
         small = _smallest(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         now = written(small, "edges")
+        discard(before, large)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -4,24 +4,31 @@ A text's set holds the hashes (64 bits) of its distinct runs of `words` words, A
 words has its whole sequence as one. Two texts link when 100 * intersection >= percent * union. The result has one row
 for each document with its component, the smallest doc_id that links reach, and the number of other sets linked.
 
-1. Order. Tokens are ordered by how full their bucket is (2**18 counters over all texts) and then by hash: any fixed
-   order gives right results, this one puts passages that very many texts share last.
+1. Order. Tokens are ordered by how often they occur, if that is often, and then by hash: any fixed order gives right
+   results, this one puts passages that very many texts share last. Each task counts its tokens CHUNK at a time and
+   reports those found LOCAL times; frequent are those whose reports add up to a SHARE of all tokens, so there are at
+   most 1 / SHARE of them however large the corpus is.
 2. Keys. Of sets that link, each misses at most (100 - percent) % of its own tokens in the other, so they share one of
    their first floor((100 - percent) % of n) + 1 tokens. Tokens that only one text has among its first are dropped.
-3. Bit counts. A set has a bitmap with at least a hashed bit for each token; bits of x that y lacks bound the overlap from above. Texts that
-   share a key are compared by sizes and bitmaps: first each with one text of its key (the smallest doc_id, then the
-   largest), which merges large groups of copies at linear cost; then, for keys that still hold more than one component,
-   all pairs of different components, in tiles of at most 2 * TILE rows where a key has many texts. Tiles return
-   spanning edges, not pairs. What is connected now holds all links.
+   A key carries the size n of its set and its place i in the order. Sets that link differ in size by a factor of
+   percent / 100 at most, so they are in the same or in neighbouring bands of sizes; and at the first token they share
+   the overlap is at most min(n - i) of the two.
+3. Bit counts. A set has a bitmap with at least a hashed bit for each token; bits of x that y lacks bound the overlap
+   from above. Texts that share a key are compared by sizes, places and bitmaps: first each with one text of its key
+   (the smallest doc_id, then the largest), which merges large groups of copies at linear cost; then, for keys that
+   still hold more than one component, texts of different components band by band: a tile holds a band of a key
+   and its next band. Small tiles give the pairs that sizes and places let link, large ones are cut into blocks and
+   give spanning edges. Bitmaps are sent last. What is connected now holds all links.
 4. Exact. Each set that is left with company is sent once, to its component, and compared by intersecting sorted
    arrays. Components of over SMALL sets are cut into size-banded blocks of about BLOCK sets, and tiles of two blocks
    (of the same or the next band) are solved on their own and joined by their edges.
 
 Equal sets are one node throughout, so thousands of copies cost one row each. Nothing is collected to the driver but
-the 2**18 counters.
+the frequent tokens. Tables between the steps are deleted as soon as nothing reads them.
 
 Defined cases: texts that are null or without words have no set and link with nothing. Rows that share a doc_id are one
-node. A null doc_id is larger than all others. Other columns are not carried, so none can clash.
+node. A null doc_id is larger than all others (2**63 - 1 stands for it, and comes back as null). Other columns are not
+carried, so none can clash.
 """
 
 from __future__ import annotations
@@ -30,11 +37,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Prefix, mix, pieces, read, text_buffer, text_of, written
+from maskwright.llm.common import Prefix, discard, lean, mix, pieces, read, text_buffer, text_of, written
 from maskwright.llm.components import components
 
 WORDS, PERCENT = 4, 85
-BUCKETS, BITS, PAIRS, TILE, SMALL, BLOCK = 1 << 18, 1024, 32, 64, 64, 256
+BITS, PAIRS, TILE, SMALL, BLOCK = 1024, 32, 64, 64, 256
+CHUNK, LOCAL, SHARE = 2_000_000, 4, 1e-6
 NO_ID = 2**63 - 1
 SPACE_BYTE = np.zeros(256, bool)
 SPACE_BYTE[[9, 10, 11, 12, 13, 32]] = True
@@ -73,10 +81,6 @@ def sets_of(column, words: int):
         at = end
 
 
-def bucket(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64(BUCKETS - 1)).astype(np.int64)
-
-
 def bitmap(tokens: np.ndarray) -> np.ndarray:
     """Words of a bitmap with a bit or more for each token, a power of two from BITS on. Half of one is its two halves or-ed."""
     size = max(BITS, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else BITS
@@ -106,64 +110,100 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
             width = pa.array(np.concatenate(([0], np.cumsum([len(b) for b in bits]))).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.ListArray.from_arrays(width, flat)], ["did", "n", "sig", "bits"])
 
-    return docs.select("did", "text").mapInArrow(run, "did long, n int, sig long, bits array<long>")
+    return docs.select("did", "text").mapInArrow(lean(run), "did long, n int, sig long, bits array<long>")
 
 
-def fullness(docs: DataFrame, words: int) -> np.ndarray:
-    """Tokens of all texts by bucket: BUCKETS numbers."""
+def frequent(docs: DataFrame, words: int, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens that hold a SHARE of all (their number is given), ascending, and how often they were found."""
     import pyarrow as pa
 
+    def often(held):
+        found, times = np.unique(np.concatenate(held), return_counts=True)
+        many = times >= LOCAL
+        found, times = found[many].view(np.int64), times[many]
+        for a in range(0, len(found), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(found[a : a + 100_000]), pa.array(times[a : a + 100_000])], ["token", "n"])
+
     def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        held, total = [], 0
         for batch in pieces(batches, 1):
-            tokens = [s for s in sets_of(batch.column(1), words) if len(s)]
-            if tokens:
-                total += np.bincount(bucket(np.concatenate(tokens)), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        for a in range(0, len(at), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(at[a : a + 100_000]), pa.array(total[at[a : a + 100_000]])], ["bucket", "n"])
-
-    got = docs.select("did", "text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(BUCKETS, np.int64)
-    total[got.column(0).to_numpy()] = got.column(1).to_numpy()
-    return total
-
-
-def first_tokens(docs: DataFrame, words: int, percent: int, full: np.ndarray) -> DataFrame:
-    """key, did: the first tokens of each set in the common order."""
+            for s in sets_of(batch.column(1), words):
+                held.append(s)
+                total += len(s)
+                if total >= CHUNK:
+                    yield from often(held)
+                    held, total = [], 0
+        if held:
+            yield from often(held)
+
+    least = max(LOCAL, int(np.ceil(SHARE * tokens)))
+    got = docs.select("did", "text").mapInArrow(lean(run), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toArrow()
+    token, n = got.column(0).to_numpy().view(np.uint64), got.column(1).to_numpy()
+    order = np.argsort(token)
+    return token[order], n[order]
+
+
+class Levels:
+    """How far back each token stands: 0 for all but the frequent, whose level grows with the logarithm of their number."""
+
+    def __init__(self, tokens: np.ndarray, n: np.ndarray):
+        self.tokens = tokens
+        self.level = (1 + np.log2(np.maximum(n, 1) / max(1, n.min() if len(n) else 1)) * 4).astype(np.int16)
+        self.may = np.zeros(1 << 22, bool)
+        self.may[self.at(tokens)] = True
+
+    def at(self, tokens: np.ndarray) -> np.ndarray:
+        return (tokens & np.uint64(len(self.may) - 1)).astype(np.int64)
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(tokens), np.int16)
+        some = np.flatnonzero(self.may[self.at(tokens)])
+        if len(some):
+            place = np.minimum(np.searchsorted(self.tokens, tokens[some]), len(self.tokens) - 1)
+            out[some] = np.where(self.tokens[place] == tokens[some], self.level[place], 0)
+        return out
+
+
+def first_tokens(docs: DataFrame, words: int, percent: int, often: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """key, did, place (n << 32 | i): the first tokens of each set in the common order."""
     import pyarrow as pa
 
-    # a bucket counts as full from twice the median on; below that, order by hash alone keeps sorting cheap
-    typical = max(4, 2 * int(np.median(full[full > 0]) if full.any() else 1))
-    level = docs.sparkSession.sparkContext.broadcast(np.where(full >= typical, np.minimum(full, 2**31 - 1), 0).astype(np.int32))
+    shared = docs.sparkSession.sparkContext.broadcast(often)  # at most 1 / SHARE tokens
 
     def run(batches):
+        levels = Levels(*shared.value)
         for batch in pieces(batches, 1):
-            keys, count = [], []
+            keys, count, size = [], [], []
             for s in sets_of(batch.column(1), words):
                 n = min(len(s), (100 - percent) * len(s) // 100 + 1)
-                order = np.argsort(level.value[bucket(s)], kind="stable")[:n]
-                keys.append(s[order])
+                keys.append(s[np.argsort(levels.of(s), kind="stable")[:n]])
                 count.append(n)
+                size.append(len(s))
             if keys:
-                did = np.repeat(batch.column(0).to_numpy(), count)
+                did, count = np.repeat(batch.column(0).to_numpy(), count), np.array(count)
+                place = np.repeat(np.array(size) << 32, count) | (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
                 key = np.concatenate(keys).view(np.int64)
                 for a in range(0, len(key), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[a : a + 100_000]), pa.array(did[a : a + 100_000])], ["key", "did"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in (key, did, place)], ["key", "did", "place"])
+
+    return docs.select("did", "text").mapInArrow(lean(run), "key long, did long, place long")
+
 
-    return docs.select("did", "text").mapInArrow(run, "key long, did long")
+def close(n_u, n_v, percent: int):
+    """Whether sizes let two sets link."""
+    return 100 * F.least(n_u, n_v) >= percent * F.greatest(n_u, n_v)
 
 
 def bounded(pairs: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
-    """Those of pairs (u, v) that sizes and bit counts let link."""
-    side = lambda c: profile.select(F.col("did").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"b_{c}"))
+    """Those of pairs (u, v, n_u) that sizes and bit counts let link. Bitmaps of u go only where sizes agree."""
+    side = lambda c: profile.select(F.col("did").alias(c), F.col("n").alias(f"m_{c}"), F.col("bits").alias(f"b_{c}"))
     fold = lambda b, n: F.when(F.size(b) > n, F.zip_with(F.slice(b, F.lit(1), n), F.slice(b, n + 1, n), lambda x, y: x.bitwiseOR(y))).otherwise(b)
     lacks = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda s, x: s + x)
-    j = pairs.join(side("u"), "u").filter("n_u > 0").join(side("v"), "v").filter(F.expr(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v) AND n_v > 0"))
+    j = pairs.join(side("v"), "v").filter(close(F.col("n_u"), F.col("m_v"), percent)).join(side("u"), "u")
     words = F.least(F.size("b_u"), F.size("b_v"))  # sizes this close differ by a factor of two at most
     j = j.withColumns({"b_u": fold(F.col("b_u"), words), "b_v": fold(F.col("b_v"), words)})
-    most = F.least(F.col("n_u") - lacks("b_u", "b_v"), F.col("n_v") - lacks("b_v", "b_u"))
-    return j.filter(100 * most >= percent * (F.col("n_u") + F.col("n_v") - most)).select("u", "v")
+    most = F.least(F.col("m_u") - lacks("b_u", "b_v"), F.col("m_v") - lacks("b_v", "b_u"))
+    return j.filter(100 * most >= percent * (F.col("m_u") + F.col("m_v") - most)).select("u", "v")
 
 
 class Forest:
@@ -260,7 +300,7 @@ def tile_edges(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("tile", "did", "comp", "n", "bits").repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, "u long, v long")
+    return rows.select("tile", "did", "comp", "n", "bits").repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(lean(run), "u long, v long")
 
 
 def exact_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -323,49 +363,69 @@ def exact_links(rows: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["did", "root", "sig", "links"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("tile", "block", "did", "sig", "tokens").repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(run, "did long, root long, sig long, links long")
+    return rows.select("tile", "block", "did", "sig", "tokens").repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(lean(run), "did long, root long, sig long, links long")
+
+
+def band_of(n, percent: int):
+    """Sets that link are in the same band or in neighbouring ones; bands are a little wider than the factor."""
+    return F.floor(F.log(n) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
 
 
 def candidates(docs: DataFrame, profile: DataFrame, words: int, percent: int) -> DataFrame:
     """node, root: groups of doc_ids that hold all links between different sets."""
-    keys = first_tokens(docs, words, percent, fullness(docs, words))
-    shared = written(keys.groupBy("key").agg(F.count("*").alias("cnt"), F.min("did").alias("low"), F.max("did").alias("high")).filter("low <> high"), "join-keys")
+    tokens = profile.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    keys = first_tokens(docs, words, percent, frequent(docs, words, tokens))
+    shared = written(keys.groupBy("key").agg(F.min("did").alias("low"), F.max("did").alias("high")).filter("low <> high"), "join-keys")
     held = written(keys.join(shared, "key"), "join-held")
     one = profile.filter("n > 0").groupBy("did").agg(F.count_distinct("sig").alias("sets"), F.max_by(F.struct("n", "bits"), "n").alias("p"))
     # a doc_id with several texts has no one bitmap: it may link with whatever shares its keys
     single = written(one.filter("sets = 1").select("did", "p.n", "p.bits"), "join-profiles")
     several = one.filter("sets > 1").select("did")
-    stars = held.select(F.col("did").alias("u"), F.explode(F.array("low", "high")).alias("v")).filter("u <> v").distinct()
+    size = F.shiftright("place", 32)
+    stars = held.select(F.col("did").alias("u"), size.alias("n_u"), F.explode(F.array("low", "high")).alias("v")).filter("u <> v").distinct()
     edges = bounded(stars, single, percent)
     manifold = written(several, "join-several")
     if not manifold.isEmpty():
         s = lambda c: manifold.select(F.col("did").alias(c))
         pairs = held.join(manifold, "did").select("key", F.col("did").alias("u")).join(held.select("key", F.col("did").alias("v")), "key").select("u", "v").filter("u <> v")
-        edges = edges.unionByName(stars.join(s("u"), "u", "left_semi")).unionByName(pairs.distinct())
+        edges = edges.unionByName(stars.join(s("u"), "u", "left_semi").select("u", "v")).unionByName(pairs.distinct())
     edges = written(edges, "join-edges")
     first = components(edges)
-    rows = held.select("key", "cnt", "did").join(first.withColumnRenamed("node", "did"), "did", "left").select("key", "cnt", "did", F.coalesce("root", "did").alias("comp"))
+    rows = held.join(first.withColumnRenamed("node", "did"), "did", "left").select("key", "did", "place", F.coalesce("root", "did").alias("comp"), band_of(size, percent).alias("band"))
     rows = written(rows, "join-rows")
-    open_ = written(rows.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a <> b").select("key"), "join-open")
-    rows = written(rows.join(open_, "key"), "join-open-rows")
-    few = rows.filter(F.col("cnt") <= PAIRS)
-    l, r = few.select("key", F.col("did").alias("u"), F.col("comp").alias("cu")), few.select(F.col("key").alias("k"), F.col("did").alias("v"), F.col("comp").alias("cv"))
-    pairs = l.join(r, (F.col("key") == F.col("k")) & (F.col("u") < F.col("v")) & (F.col("cu") != F.col("cv"))).select("u", "v").distinct()
-    more = bounded(pairs, single, percent)
-    many = rows.filter(F.col("cnt") > PAIRS)
+    ends = lambda c: [F.min(c).alias("a"), F.max(c).alias("b")]
+    # a tile is a band of a key (role 0) and its next band (role 1); those of one component or without role 0 are left out
+    by_band = rows.groupBy("key", "band").agg(F.count("*").alias("n"), *ends("comp"))
+    roles = F.explode(F.array(F.struct(F.col("band").alias("low"), F.lit(0).alias("role")), F.struct((F.col("band") - 1).alias("low"), F.lit(1).alias("role"))))
+    tiles = by_band.withColumn("t", roles).groupBy("key", "t.low").agg(
+        F.sum("n").alias("all"), F.sum(F.when(F.col("t.role") == 0, F.col("n")).otherwise(0)).alias("own"), F.min("a").alias("a"), F.max("b").alias("b")
+    )
+    tiles = written(tiles.filter("a <> b AND own > 0").select("key", "low", "all"), "join-tiles")
+    in_tiles = rows.withColumn("t", roles).select("key", "did", "place", "comp", "t.low", "t.role").join(tiles, ["key", "low"])
+    in_tiles = written(in_tiles.withColumn("tile", F.xxhash64("key", "low")).drop("key", "low"), "join-in-tiles")
+    few = in_tiles.filter(F.col("all") <= PAIRS)
+    side = lambda c: few.select("tile", *(F.col(x).alias(f"{x}_{c}") for x in ("did", "comp", "role", "place")))
+    n = lambda c: F.shiftright(f"place_{c}", 32)
+    after = lambda c: n(c) - F.col(f"place_{c}").bitwiseAND(0xFFFFFFFF)
+    pairs = side("u").join(side("v"), "tile").filter("did_u < did_v AND comp_u <> comp_v AND role_u + role_v < 2").filter(close(n("u"), n("v"), percent))
+    pairs = pairs.filter((100 + percent) * F.least(after("u"), after("v")) >= percent * (n("u") + n("v")))
+    more = bounded(pairs.select(F.col("did_u").alias("u"), F.col("did_v").alias("v"), n("u").alias("n_u")).distinct(), single, percent)
+    many = in_tiles.filter(F.col("all") > PAIRS)
     if not many.isEmpty():
-        own = many.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("comp", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others"), F.sum("n").alias("all"))
-        m = many.join(written(own, "join-own"), "key").join(single, "did")
+        own = many.groupBy("tile", "comp").agg(F.count("*").alias("n")).groupBy("tile").agg(F.max_by("comp", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+        m = many.join(written(own, "join-own"), "tile").join(single, "did")
         nb = F.ceil(F.col("all") / TILE).cast("int")
         b = F.pmod(F.hash("did"), nb)
         every = F.sequence(F.lit(0), nb - 1)
-        tiles = F.when(
+        blocks = F.when(
             F.col("others") <= TILE,
             F.when(F.col("comp") == F.col("main"), F.array(F.struct(b.alias("i"), b.alias("j")))).otherwise(F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j")))),
         ).otherwise(F.transform(every, lambda x: F.struct(F.least(x, b).alias("i"), F.greatest(x, b).alias("j"))))
-        m = m.withColumn("t", F.explode(tiles)).withColumn("tile", F.xxhash64("key", "t.i", "t.j"))
+        m = m.withColumn("t", F.explode(blocks)).withColumn("tile", F.xxhash64("tile", "t.i", "t.j"))
         more = more.unionByName(tile_edges(m, percent))
-    return components(edges.unionByName(written(more, "join-more")))
+    found = components(edges.unionByName(written(more, "join-more")))
+    discard(shared, held, single, manifold, edges, rows, tiles, in_tiles)
+    return found
 
 
 def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -376,9 +436,9 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
     profile = written(profiles(base, words), "join-sets")
     alike = written(profile.filter("n > 0").groupBy("sig", "n").agg(F.min("did").alias("rep"), F.max("did").alias("last")), "join-classes")
     groups_ = written(candidates(base, profile, words, percent), "join-candidates")
-    cand = groups_.join(alike.select(F.col("rep").alias("node")).distinct(), "node")
-    size = written(cand.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "join-sizes")
-    cand = written(cand.join(size, "root").select(F.col("node").alias("did"), F.col("root").alias("comp"), "size"), "join-candidates")
+    among = groups_.join(alike.select(F.col("rep").alias("node")).distinct(), "node")
+    size = written(among.groupBy("root").agg(F.count("*").alias("size")).filter("size > 1"), "join-sizes")
+    cand = written(among.join(size, "root").select(F.col("node").alias("did"), F.col("root").alias("comp"), "size"), "join-candidates")
 
     def spell(batches):
         for batch in pieces(batches, 3):
@@ -388,9 +448,8 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
             out = [batch.column(i) for i in range(3)] + [pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(off, flat)]
             yield pa.RecordBatch.from_arrays(out, ["did", "comp", "size", "sig", "n", "tokens"])
 
-    sets = base.join(cand, "did").select("did", "comp", "size", "text").mapInArrow(spell, "did long, comp long, size long, sig long, n int, tokens array<long>").filter("n > 0")
-    band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")
-    sets = written(sets.withColumn("band", band), "join-tokens")
+    sets = base.join(cand, "did").select("did", "comp", "size", "text").mapInArrow(lean(spell), "did long, comp long, size long, sig long, n int, tokens array<long>").filter("n > 0")
+    sets = written(sets.withColumn("band", band_of(F.col("n"), percent)), "join-tokens")
     small = sets.filter(F.col("size") <= SMALL).select(F.col("comp").alias("tile"), F.lit(0).alias("block"), "did", "sig", "tokens")
     found = exact_links(small, percent)
     large = sets.filter(F.col("size") > SMALL)
@@ -412,6 +471,7 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
         )
         found = found.unionByName(exact_links(same.unionByName(up).unionByName(down), percent))
     found = written(found, "join-found")
+    discard(sets, cand, size, groups_)
     copies = profile.filter("n > 0").join(alike.filter("rep <> last"), ["sig", "n"]).select(F.col("did").alias("u"), F.col("rep").alias("v")).filter("u <> v")
     comps = components(found.select(F.col("did").alias("u"), F.col("root").alias("v")).filter("u <> v").unionByName(copies))
     links = found.groupBy("did", "sig").agg(F.sum("links").alias("links"))
