@@ -17,8 +17,9 @@ for each document with its component, the smallest doc_id that links reach, and
    from above. Texts that share a key are compared by sizes, places and bitmaps: first each with one text of its key
    (the smallest doc_id, then the largest), which merges large groups of copies at linear cost; then, for keys that
    still hold more than one component, texts of different components band by band: a tile holds a band of a key
-   and its next band. Small tiles give the pairs that sizes and places let link, large ones are cut into blocks and
-   give spanning edges. Bitmaps are sent last. What is connected now holds all links.
+   and its next band. Small tiles give the pairs that sizes and places let link; large ones are cut into blocks and
+   give spanning edges; where one component holds nearly all of a tile, the few others meet each other, and meet that
+   component's members of their sizes once for all keys. Bitmaps are sent last. What is connected now holds all links.
 4. Exact. Each set that is left with company is sent once, to its component, and compared by intersecting sorted
    arrays. Components of over SMALL sets are cut into size-banded blocks of about BLOCK sets, and tiles of two blocks
    (of the same or the next band) are solved on their own and joined by their edges.
@@ -41,7 +42,7 @@ from maskwright.llm.common import Prefix, discard, lean, mix, pieces, read, text
 from maskwright.llm.components import components
 
 WORDS, PERCENT = 4, 85
-BITS, PAIRS, TILE, SMALL, BLOCK = 1024, 32, 64, 64, 256
+BITS, PAIRS, TILE, GRID, SMALL, BLOCK, ROWS = 1024, 32, 64, 256, 64, 256, 8192
 CHUNK, LOCAL, SHARE = 2_000_000, 4, 1e-6
 NO_ID = 2**63 - 1
 SPACE_BYTE = np.zeros(256, bool)
@@ -52,11 +53,12 @@ FACTORS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def sets_of(column, words: int):
-    """Yields the sorted distinct hashes (uint64) of each row of an Arrow string column."""
+    """The sets of the rows of an Arrow string column, about half a megabyte of text and at most ROWS rows at a time: yields
+    (first row, tokens, bounds); tokens[bounds[i]:bounds[i + 1]] are the sorted distinct hashes (uint64) of row first + i."""
     raw, offsets = text_buffer(column)
     at, rows = 0, len(offsets) - 1
-    while at < rows:  # about half a megabyte at a time, whole rows
-        end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + 500_000, "right")) - 1)
+    while at < rows:
+        end = min(max(at + 1, int(np.searchsorted(offsets, offsets[at] + 500_000, "right")) - 1), at + ROWS)
         own = offsets[at : end + 1] - offsets[at]
         data = LOWER[raw[offsets[at] : offsets[end]]]
         inside = ~SPACE_BYTE[data]
@@ -66,33 +68,48 @@ def sets_of(column, words: int):
         stop = np.flatnonzero(inside & (first[1:] | ~np.concatenate((inside[1:], [False])))) + 1
         word = mix(Prefix(data).of(start, stop)) if len(data) else np.zeros(0, np.uint64)
         bound = np.searchsorted(start, own)
+        row = np.repeat(np.arange(end - at, dtype=np.uint16), np.diff(bound))
         n = max(0, len(word) - words + 1)
         runs = np.zeros(n, np.uint64)
         for k in range(words):
             runs += word[k : n + k] * FACTORS[k]
-        runs = mix(runs)
-        for a, b in zip(bound, bound[1:], strict=False):
-            if b - a >= words:
-                yield np.unique(runs[a : b - words + 1])
-            elif b > a:
-                yield mix((word[a:b] * FACTORS[32 : 32 + b - a]).sum(keepdims=True) + np.uint64(b - a))
-            else:
-                yield runs[:0]
+        whole = np.flatnonzero(row[:n] == row[words - 1 : n + words - 1])
+        tokens, row = mix(runs[whole]), row[whole]
+        short = np.flatnonzero((np.diff(bound) > 0) & (np.diff(bound) < words))
+        if len(short):  # fewer words than a run: the whole sequence is one
+            few = [mix((word[x:y] * FACTORS[32 : 32 + y - x]).sum(keepdims=True) + np.uint64(y - x)) for x, y in zip(bound[short], bound[short + 1], strict=True)]
+            tokens, row = np.concatenate((tokens, *few)), np.concatenate((row, short.astype(np.uint16)))
+        order = np.argsort(tokens)
+        order = order[np.argsort(row[order], kind="stable")]
+        tokens, row = tokens[order], row[order]
+        if len(tokens):
+            new = np.concatenate(([True], (tokens[1:] != tokens[:-1]) | (row[1:] != row[:-1])))
+            tokens, row = tokens[new], row[new]
+        yield at, tokens, np.concatenate(([0], np.cumsum(np.bincount(row, minlength=end - at))))
         at = end
 
 
-def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """Words of a bitmap with a bit or more for each token, a power of two from BITS on. Half of one is its two halves or-ed."""
-    size = max(BITS, 1 << (len(tokens) - 1).bit_length()) if len(tokens) else BITS
-    bits = np.zeros(size, np.uint8)
-    bits[(tokens >> np.uint64(20)).astype(np.int64) & (size - 1)] = 1
-    return np.packbits(bits, bitorder="little").view(np.int64)
+def widths(n: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of n tokens: a power of two, n or more, from BITS on."""
+    return np.maximum(BITS, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
 
 
-def signature(tokens: np.ndarray) -> int:
-    """A hash of a whole set; 0 for the empty one."""
-    total = mix(tokens ^ FACTORS[0]).sum(keepdims=True, dtype=np.uint64) * FACTORS[1:2] + np.uint64(len(tokens))
-    return int(total.view(np.int64)[0]) if len(tokens) else 0
+def bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the bitmaps of sets end to end, with a bit or more for each token, and where each begins. Half of one is its
+    two halves or-ed."""
+    size = widths(np.diff(bounds))
+    begin = np.concatenate(([0], np.cumsum(size)))
+    bits = np.zeros(begin[-1], np.uint8)
+    n = np.diff(bounds)
+    bits[np.repeat(begin[:-1], n) + ((tokens >> np.uint64(20)).astype(np.int64) & (np.repeat(size, n) - 1))] = 1
+    return np.packbits(bits, bitorder="little").view(np.int64), begin // 64
+
+
+def signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each whole set; 0 for the empty one."""
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens ^ FACTORS[0]), dtype=np.uint64)))
+    n = np.diff(bounds).astype(np.uint64)
+    return np.where(n > 0, (sums[bounds[1:]] - sums[bounds[:-1]]) * FACTORS[1] + n, np.uint64(0)).view(np.int64)
 
 
 def profiles(docs: DataFrame, words: int) -> DataFrame:
@@ -101,14 +118,10 @@ def profiles(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches):
         for batch in pieces(batches, 1):
-            n, sig, bits = [], [], []
-            for s in sets_of(batch.column(1), words):
-                n.append(len(s))
-                sig.append(signature(s))
-                bits.append(bitmap(s))
-            flat = pa.array(np.concatenate(bits) if bits else np.zeros(0, np.int64))
-            width = pa.array(np.concatenate(([0], np.cumsum([len(b) for b in bits]))).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), pa.ListArray.from_arrays(width, flat)], ["did", "n", "sig", "bits"])
+            for at, tokens, bounds in sets_of(batch.column(1), words):
+                bits, begin = bitmaps(tokens, bounds)
+                cols = [batch.column(0).slice(at, len(bounds) - 1), pa.array(np.diff(bounds).astype(np.int32)), pa.array(signatures(tokens, bounds))]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(bits))], ["did", "n", "sig", "bits"])
 
     return docs.select("did", "text").mapInArrow(lean(run), "did long, n int, sig long, bits array<long>")
 
@@ -127,9 +140,9 @@ def frequent(docs: DataFrame, words: int, tokens: int) -> tuple[np.ndarray, np.n
     def run(batches):
         held, total = [], 0
         for batch in pieces(batches, 1):
-            for s in sets_of(batch.column(1), words):
-                held.append(s)
-                total += len(s)
+            for _, tokens, _ in sets_of(batch.column(1), words):
+                held.append(tokens)
+                total += len(tokens)
                 if total >= CHUNK:
                     yield from often(held)
                     held, total = [], 0
@@ -149,7 +162,7 @@ class Levels:
     def __init__(self, tokens: np.ndarray, n: np.ndarray):
         self.tokens = tokens
         self.level = (1 + np.log2(np.maximum(n, 1) / max(1, n.min() if len(n) else 1)) * 4).astype(np.int16)
-        self.may = np.zeros(1 << 22, bool)
+        self.may = np.zeros(1 << 22, bool)  # most tokens are left out by this table alone
         self.may[self.at(tokens)] = True
 
     def at(self, tokens: np.ndarray) -> np.ndarray:
@@ -173,16 +186,17 @@ def first_tokens(docs: DataFrame, words: int, percent: int, often: tuple[np.ndar
     def run(batches):
         levels = Levels(*shared.value)
         for batch in pieces(batches, 1):
-            keys, count, size = [], [], []
-            for s in sets_of(batch.column(1), words):
-                n = min(len(s), (100 - percent) * len(s) // 100 + 1)
-                keys.append(s[np.argsort(levels.of(s), kind="stable")[:n]])
-                count.append(n)
-                size.append(len(s))
-            if keys:
-                did, count = np.repeat(batch.column(0).to_numpy(), count), np.array(count)
-                place = np.repeat(np.array(size) << 32, count) | (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                key = np.concatenate(keys).view(np.int64)
+            for at, tokens, bounds in sets_of(batch.column(1), words):
+                n = np.diff(bounds)
+                level = levels.of(tokens)
+                row = np.repeat(np.arange(len(n), dtype=np.uint16), n)
+                if level.any():  # by row, then level, then hash, which is the order they are in
+                    order = np.argsort(level, kind="stable")
+                    tokens = tokens[order[np.argsort(row[order], kind="stable")]]
+                place = np.arange(len(tokens)) - bounds[:-1][row]
+                take = np.flatnonzero(place < ((100 - percent) * n // 100 + 1)[row])
+                did = batch.column(0).to_numpy()[at : at + len(n)][row[take]]
+                key, place = tokens[take].view(np.int64), n[row[take]] << 32 | place[take]
                 for a in range(0, len(key), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 100_000]) for c in (key, did, place)], ["key", "did", "place"])
 
@@ -275,24 +289,26 @@ def may_link(n: np.ndarray, bits: Bitmaps, i: int, others: np.ndarray, percent:
 
 
 def tile_edges(rows: DataFrame, percent: int) -> DataFrame:
-    """u, v: spanning edges of what may link in each tile. rows: tile, did, comp, n, bits."""
+    """u, v: spanning edges of what may link in each tile. rows: tile, did, comp, asks, n, bits; those that ask are compared
+    with the others only."""
     import pyarrow as pa
 
     def unpack(batch):
-        flat, off = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
+        flat, off = batch.column(5).values.to_numpy(), batch.column(5).offsets.to_numpy()
         bits = [flat[x:y] for x, y in zip(off, off[1:], strict=False)]
-        return list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), bits, strict=True))
+        return list(zip(*(batch.column(i).to_pylist() for i in range(1, 5)), bits, strict=True))
 
     def run(batches):
         for held in groups(batches, 0, unpack):
-            did, comp, n = (np.array([r[k] for r in held]) for k in range(3))
-            bits = Bitmaps([r[3] for r in held])
+            did, comp, asks, n = (np.array([r[k] for r in held]) for k in range(4))
+            bits = Bitmaps([r[4] for r in held])
             at = {c: i for i, c in reversed(list(enumerate(comp.tolist())))}
             forest, u, v = Forest(len(held)), [], []
             for i, c in enumerate(comp.tolist()):
                 forest.join(i, at[c])
             for i in range(len(held)):
-                for j in may_link(n, bits, i, np.flatnonzero((comp != comp[i]) & (np.arange(len(held)) > i)), percent).tolist():
+                others = np.flatnonzero((comp[i + 1 :] != comp[i]) & ~(asks[i + 1 :] & asks[i])) + i + 1
+                for j in may_link(n, bits, i, others, percent).tolist() if len(others) else ():
                     if forest.join(i, j):
                         u.append(did[i])
                         v.append(did[j])
@@ -300,7 +316,7 @@ def tile_edges(rows: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.select("tile", "did", "comp", "n", "bits").repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(lean(run), "u long, v long")
+    return rows.select("tile", "did", "comp", "asks", "n", "bits").repartition(n, "tile").sortWithinPartitions("tile").mapInArrow(lean(run), "u long, v long")
 
 
 def exact_links(rows: DataFrame, percent: int) -> DataFrame:
@@ -327,8 +343,9 @@ def exact_links(rows: DataFrame, percent: int) -> DataFrame:
         order = np.argsort(sizes, kind="stable")
         only, sizes = [only[i] for i in order], sizes[order]
         block = np.array([held[i][2] for i in only])
-        bits = Bitmaps([bitmap(held[i][3]) for i in only])
         flat = np.concatenate([held[i][3] for i in only])
+        words, at = bitmaps(flat, np.concatenate(([0], np.cumsum(sizes))))
+        bits = Bitmaps([words[x:y] for x, y in zip(at, at[1:], strict=False)])
         names, flat = np.unique(flat, return_inverse=True)
         begin = np.concatenate(([0], np.cumsum(sizes)))
         two = bool(block.any())
@@ -371,6 +388,33 @@ def band_of(n, percent: int):
     return F.floor(F.log(n) / F.lit(float(np.log(100 / percent)) * 1.000001)).cast("int")
 
 
+def blocks_of(m: DataFrame, profile: DataFrame) -> DataFrame:
+    """Rows of large tiles (tile, did, comp, all) in blocks of about TILE rows, each of which meets itself and every other."""
+    nb = F.ceil(F.col("all") / TILE).cast("int")
+    b = F.pmod(F.hash("did"), nb)
+    meets = F.transform(F.sequence(F.lit(0), nb - 1), lambda x: F.struct(F.least(x, b).alias("i"), F.greatest(x, b).alias("j")))
+    rows = m.select("tile", "did", "comp", F.explode(meets).alias("t")).withColumn("tile", F.xxhash64("tile", "t.i", "t.j")).drop("t")
+    return rows.join(profile, "did").withColumn("asks", F.lit(False))
+
+
+def meetings(asked: DataFrame, comps: DataFrame, profile: DataFrame, percent: int) -> DataFrame:
+    """Rows of tiles in which texts that ask (did, comp, main, n) meet the members of the component main, in blocks by size."""
+    band = lambda df: df.withColumn("band", band_of(F.col("n"), percent))
+    wanted = asked.select(F.col("main").alias("root")).distinct()
+    nodes = comps.join(wanted, "root").select(F.col("node").alias("did"), F.col("root").alias("main"))
+    nodes = nodes.unionByName(wanted.select(F.col("root").alias("did"), F.col("root").alias("main"))).distinct()  # a component of one has no row
+    members = band(nodes.join(profile, "did"))
+    askers = band(asked).withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    count = lambda df, name: df.groupBy("main", "band").agg(F.ceil(F.count("*") / GRID).cast("int").alias(name))
+    grid = written(count(members, "rows").join(count(askers, "cols"), ["main", "band"]), "join-grid")
+    block = lambda n: F.pmod(F.hash("did"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    m = members.join(grid, ["main", "band"]).withColumn("i", block("rows")).withColumn("j", every("cols"))
+    a = askers.join(grid, ["main", "band"]).withColumn("j", block("cols")).withColumn("i", every("rows")).drop("n").join(profile, "did")
+    side = lambda df, comp, asks: df.select(F.xxhash64("main", "band", "i", "j").alias("tile"), "did", F.col(comp).alias("comp"), F.lit(asks).alias("asks"), "n", "bits")
+    return side(m, "main", False).unionByName(side(a, "comp", True))
+
+
 def candidates(docs: DataFrame, profile: DataFrame, words: int, percent: int) -> DataFrame:
     """node, root: groups of doc_ids that hold all links between different sets."""
     tokens = profile.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -413,17 +457,15 @@ def candidates(docs: DataFrame, profile: DataFrame, words: int, percent: int) ->
     many = in_tiles.filter(F.col("all") > PAIRS)
     if not many.isEmpty():
         own = many.groupBy("tile", "comp").agg(F.count("*").alias("n")).groupBy("tile").agg(F.max_by("comp", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-        m = many.join(written(own, "join-own"), "tile").join(single, "did")
-        nb = F.ceil(F.col("all") / TILE).cast("int")
-        b = F.pmod(F.hash("did"), nb)
-        every = F.sequence(F.lit(0), nb - 1)
-        blocks = F.when(
-            F.col("others") <= TILE,
-            F.when(F.col("comp") == F.col("main"), F.array(F.struct(b.alias("i"), b.alias("j")))).otherwise(F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j")))),
-        ).otherwise(F.transform(every, lambda x: F.struct(F.least(x, b).alias("i"), F.greatest(x, b).alias("j"))))
-        m = m.withColumn("t", F.explode(blocks)).withColumn("tile", F.xxhash64("tile", "t.i", "t.j"))
-        more = more.unionByName(tile_edges(m, percent))
-    found = components(edges.unionByName(written(more, "join-more")))
+        m = written(many.join(own, "tile").select("tile", "did", "comp", "all", "main", "others", size.alias("n")), "join-many")
+        more = more.unionByName(tile_edges(blocks_of(m.filter(F.col("others") > TILE), single), percent))
+        # where one component holds nearly all of a tile, the few others meet in it, and meet that component once for all its keys
+        few = m.filter((F.col("others") <= TILE) & (F.col("comp") != F.col("main")))
+        alone = few.select("tile", "did", "comp").join(single, "did").withColumn("asks", F.lit(False))
+        asked = few.select("did", "comp", "main", "n").distinct()
+        more = more.unionByName(tile_edges(alone, percent)).unionByName(tile_edges(meetings(asked, first, single, percent), percent))
+    more = written(more, "join-more")
+    found = components(edges.unionByName(more))
     discard(shared, held, single, manifold, edges, rows, tiles, in_tiles)
     return found
 
@@ -442,11 +484,10 @@ def ngram_join(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_c
 
     def spell(batches):
         for batch in pieces(batches, 3):
-            sets = list(sets_of(batch.column(3), words))
-            flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
-            off = pa.array(np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32))
-            out = [batch.column(i) for i in range(3)] + [pa.array([signature(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(off, flat)]
-            yield pa.RecordBatch.from_arrays(out, ["did", "comp", "size", "sig", "n", "tokens"])
+            for at, tokens, bounds in sets_of(batch.column(3), words):
+                own = [batch.column(i).slice(at, len(bounds) - 1) for i in range(3)]
+                own += [pa.array(signatures(tokens, bounds)), pa.array(np.diff(bounds).astype(np.int32)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(tokens.view(np.int64)))]
+                yield pa.RecordBatch.from_arrays(own, ["did", "comp", "size", "sig", "n", "tokens"])
 
     sets = base.join(cand, "did").select("did", "comp", "size", "text").mapInArrow(lean(spell), "did long, comp long, size long, sig long, n int, tokens array<long>").filter("n > 0")
     sets = written(sets.withColumn("band", band_of(F.col("n"), percent)), "join-tokens")

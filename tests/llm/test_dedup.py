@@ -175,7 +175,7 @@ def test_ngram_join(spark, monkeypatch, words, percent, small):
         rows.append((1000 - i, " ".join(b)))
     rows += [(1, None), (2, ""), (3, " \n\t"), (4, "one"), (5, "ONE"), (6, " ".join(f"v{i}" for i in range(20_000))), (7, " ".join(f"v{i}" for i in range(20_050)))]
     if small:  # so that all ways through tiles are taken
-        for k, v in {"PAIRS": 4, "TILE": 3, "SMALL": 5, "BLOCK": 4}.items():
+        for k, v in {"PAIRS": 4, "TILE": 3, "GRID": 3, "SMALL": 5, "BLOCK": 4, "ROWS": 7, "SHARE": 1e-3, "LOCAL": 2, "CHUNK": 50}.items():
             monkeypatch.setattr(ngram_join, k, v)
     got = ngram_join.ngram_join(frame(spark, rows), words, percent).select("doc_id", "n_shingles", "component_id", "n_links").collect()
     assert sorted(map(tuple, got)) == brute_join(rows, words, percent)
