@@ -2,10 +2,11 @@
 
 Three fixed patterns give the base spans. Two character Markov models, one of random strings and one of ordinary
 identifiers, add spans: a token whose log-likelihood ratio is over a threshold, in all and for each character, is
-reported as `markov` unless it overlaps a base span or lacks a letter or a digit.
+reported as `markov` unless it overlaps a base span or has no letter (numbers are no keys).
 
 The models are bigram counts over 66 symbols with additive smoothing, trained from labelled samples (text, label) by
-one aggregation; they have 66 x 66 cells whatever the number of samples. Texts are read in Arrow batches. Vectorised
+one aggregation; they have 66 x 66 cells whatever the number of samples. The samples (2 x SAMPLES, a documented bound)
+are made here: random strings over six alphabets, and identifiers of two to six of 145 common words in six spellings. Texts are read in Arrow batches. Vectorised
 byte classes find the few rows that can hold a span at all (necessary conditions only), and the patterns then run over
 the whole of those texts.
 
@@ -17,12 +18,13 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import pieces, read, text_buffer
+from maskwright.llm.common import lean, pieces, read, text_buffer
 
 # The base patterns.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -43,8 +45,6 @@ HEX_BYTE = np.zeros(256, bool)
 HEX_BYTE[[ord(c) for c in "0123456789abcdef"]] = True
 LOWER_BYTE = np.arange(256, dtype=np.uint8)
 LOWER_BYTE[65:91] += 32
-DIGIT_BYTE = np.zeros(256, bool)
-DIGIT_BYTE[48:58] = True
 
 WORDS = (
     "get set put add remove delete create update read write open close load save find count list map key value name id user account group role item "
@@ -56,7 +56,11 @@ WORDS = (
 ).split()
 
 
-def labelled_samples(n: int = 6000, seed: int = 11) -> list[tuple[str, int]]:
+#: Samples of each label.
+SAMPLES = 6000
+
+
+def labelled_samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int]]:
     """n random strings (label 1) and n ordinary identifiers (label 0)."""
     rng = random.Random(seed)
     kinds = ["0123456789abcdef", "0123456789ABCDEF", SYMBOLS[1:63], SYMBOLS[1:63], SYMBOLS[1:65], SYMBOLS[1:63] + "_-"]
@@ -90,16 +94,30 @@ def ratio(model: np.ndarray, token: str) -> float:
     return float(model[at[:-1], at[1:]].sum())
 
 
+def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of what spans cover together, ascending."""
+    begin: list[int] = []
+    end: list[int] = []
+    for s, e in sorted(spans):
+        if end and s <= end[-1]:
+            end[-1] = max(end[-1], e)
+        else:
+            begin.append(s)
+            end.append(e)
+    return begin, end
+
+
 def spans_of(text: str, model: np.ndarray, least: float = 12.0, least_per_char: float = 0.5) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind in the order of KINDS."""
     found = [("assign", *m.span()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     found += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     found += [("hex", *m.span()) for m in HEX.finditer(text)]
-    base = sorted(s[1:] for s in found)
+    begin, end = merged([s[1:] for s in found])
     for m in TOKEN.finditer(text):
         s, e = m.span()
         token = m[0]
-        if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)) or any(a < e and s < b for a, b in base):
+        k = bisect_right(end, s)  # the first base span that ends behind s
+        if k < len(begin) and begin[k] < e or not any(c.isalpha() for c in token):
             continue
         score = ratio(model, token)
         if score >= least and score >= least_per_char * len(token):
@@ -115,17 +133,14 @@ def long_runs(member: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def worth_reading(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Rows that may hold a span: a keyword, AKIA, a long hex run, or a long token with a digit."""
+    """Rows that may hold a span: a keyword, AKIA, a long hex run, or a long token."""
     rows = np.zeros(len(offsets), np.int64)
 
     def mark(start, end):
         np.add.at(rows, np.searchsorted(offsets, start, "right") - 1, 1)
         np.add.at(rows, np.searchsorted(offsets, end - 1, "right"), -1)
 
-    digits = np.concatenate(([0], np.cumsum(DIGIT_BYTE[raw])))
-    start, end = long_runs(TOKEN_BYTE[raw], 16)
-    digit = digits[end] > digits[start]
-    mark(start[digit], end[digit])
+    mark(*long_runs(TOKEN_BYTE[raw], 16))
     mark(*long_runs(HEX_BYTE[raw], 24))
     lower = LOWER_BYTE[raw].tobytes()
     for word in (b"passw", b"secret", b"token", b"apikey", b"api_key", b"akia"):
@@ -153,7 +168,7 @@ def secret_spans(docs: DataFrame, model: np.ndarray, least: float = 12.0, least_
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, pa.list_(span))], ["doc_id", "spans"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        scan, "doc_id long, spans array<struct<kind: string, start: long, end: long>>"
+        lean(scan), "doc_id long, spans array<struct<kind: string, start: long, end: long>>"
     )
 
 
