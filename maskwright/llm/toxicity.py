@@ -8,7 +8,7 @@ Training uses at most SAMPLE labelled rows, those with the smallest hashes of do
 crc32(doc_id as text) mod 5 is 0 are never learned from. The lexicon is learned in the executors from the sample's
 toxic rows and LEXICON_CLEAN times as many others, and has at most LEXICON entries; only it and the sample's feature
 rows (at most SAMPLE x 15 numbers) reach the driver. A quarter of the sample calibrates the trees' scores. Every row
-and whole text is scored, in Arrow batches.
+and whole text is scored, about CHUNK bytes at a time; a score depends on its own text only.
 
 Defined cases: null and empty texts have all features 0 and get the score of such a row; repeated labels of a doc_id
 count once (toxic if any says so); labels without both classes give every row their mean (0.5 without labels). A null
@@ -22,10 +22,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import read, text_buffer
+from maskwright.llm.common import lean, pieces, read, text_buffer
 
 SAMPLE, LEXICON, LEXICON_CLEAN, LEXICON_ODDS, LEXICON_LEAST = 12_000, 2_000, 3, 12.0, 4
 TREES, DEPTH, RATE, BINS = 80, 3, 0.15, 64
+#: Bytes of text worked on at once.
+CHUNK = 500_000
 
 # Common insults and second-person words in English, German, French and Spanish.
 INSULTS = frozenset(
@@ -77,6 +79,8 @@ def features(column, flags: Flags) -> np.ndarray:
     letter = LETTER_B[raw]
     odd = np.zeros(len(raw), np.int64)
     odd[1:-1] = letter[:-2] * SIGN_B[raw][1:-1] * letter[2:]
+    some = np.flatnonzero(np.diff(offsets))  # the first and the last byte of a text have one neighbour only
+    odd[offsets[:-1][some]] = odd[offsets[1:][some] - 1] = 0
     letters, odds = sums(letter), sums(odd)
     per = np.maximum(np.diff(offsets), 1)
     x = np.zeros((len(offsets) - 1, FEATURES))
@@ -133,7 +137,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[frozenset, frozenset]:
     totals = dict(sample.groupBy("toxic").count().collect())
     odds = (F.col("bad") / max(1, totals.get(1, 0))) / ((F.col("good") + 0.5) / max(1, totals.get(0, 0)))
     best = (
-        sample.select("text", "toxic").mapInArrow(run, "token string, bad long, good long").groupBy("token").agg(bad, good)
+        sample.select("text", "toxic").mapInArrow(lean(run), "token string, bad long, good long").groupBy("token").agg(bad, good)
         .filter((F.col("bad") >= LEXICON_LEAST) & (odds >= LEXICON_ODDS)).orderBy(F.desc("bad"), "token").limit(LEXICON).select("token").collect()
     )
     return frozenset(t[1:] for (t,) in best if t[0] == "w"), frozenset(t[1:] for (t,) in best if t[0] == "p")
@@ -238,12 +242,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict:
 
     def run(batches):
         flags = Flags(*lexicon)
-        for batch in batches:
+        for batch in pieces(batches, 1, CHUNK):
             x = features(batch.column(1), flags)
             fold = [zlib.crc32(f"fold:{d}".encode()) % 4 for d in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(fold, pa.int32()), pa.array(list(x), pa.list_(pa.float64()))], ["toxic", "fold", "x"])
 
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "toxic int, fold int, x array<double>").toArrow()
+    got = rows.select("doc_id", "text", "toxic").mapInArrow(lean(run), "toxic int, fold int, x array<double>").toArrow()
     x, y, fold = np.stack(got.column("x").to_numpy()), got.column("toxic").to_numpy().astype(float), got.column("fold").to_numpy()
     order = np.lexsort((*x.T, y, fold))  # the order in which rows arrive doesn't matter
     x, y, fold = x[order], y[order], fold[order]
@@ -264,15 +268,13 @@ def score(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str =
     def run(batches):
         flags = Flags(*model["lexicon"])
         at, value = model["calibration"]
-        for batch in batches:
-            for a in range(0, len(batch), 2000):
-                part = batch.slice(a, 2000)
-                raw = model["trees"].score(features(part.column(1), flags))
-                # within a block of equal values the trees' own order stays, by less than a thousandth
-                s = 0.999 * np.interp(raw, at, value) + 0.001 / (1 + np.exp(-raw))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
-
-    return base.mapInArrow(run, "doc_id long, score double")
+        for part in pieces(batches, 1, CHUNK):
+            raw = model["trees"].score(features(part.column(1), flags))
+            # within a block of equal values the trees' own order stays, by less than a thousandth
+            s = 0.999 * np.interp(raw, at, value) + 0.001 / (1 + np.exp(-raw))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s)], ["doc_id", "score"])
+
+    return base.mapInArrow(lean(run), "doc_id long, score double")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
