@@ -24,6 +24,9 @@ def digest_of(text_col: str = "text"):
     return F.unhex(F.sha2(ascii_lower(text_of(text_col)), 256))
 
 
+COLUMNS = "digest BINARY, keep_id BIGINT, group_size BIGINT, n_keep BIGINT"
+
+
 class DigestIndex:
     """digest binary, keep_id long, group_size long, n_keep long, bucketed and sorted by digest under `path`."""
 
@@ -31,7 +34,7 @@ class DigestIndex:
         self.spark, self.path, self.buckets = spark, path, buckets
         self.table = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.table} (digest BINARY, keep_id BIGINT, group_size BIGINT, n_keep BIGINT) USING parquet "
+            f"CREATE TABLE {self.table} ({COLUMNS}) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
         )
 
@@ -47,9 +50,13 @@ class DigestIndex:
         fresh.select("digest", "keep_id", "group_size", "n_keep").write.insertInto(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def close(self) -> None:
+        """Takes the table out of the catalog; its files stay under `path`, where rows() and a later index find them."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def rows(self) -> DataFrame:
         """The index without its bucketing: a join with it shuffles both sides, and can split skewed partitions."""
-        return self.spark.read.schema(self.spark.table(self.table).schema).parquet(self.path)
+        return self.spark.read.schema(COLUMNS).parquet(self.path)
 
 
 def decisions(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -78,6 +85,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents", "doc_id", "text")
     index = DigestIndex(spark, new_path(spark, "op6-index"))
     index.add(docs)
+    index.close()
     return decisions(docs, index)
 
 

@@ -6,7 +6,8 @@ weight among the others until none is above. That has a closed form: with source
 weight, the first few are at their caps and the rest share what is left. A source's rate is target over size; each
 document is emitted floor(rate) times, plus once more if a hash of seed and doc_id falls below the fraction.
 
-One row for each source is aggregated before any window; sizes are written once, so that words are counted once.
+One row for each source is aggregated first; sums over sources in an order are taken by range, so that a source for each
+web domain fits too. Sizes are written once, so that words are counted once.
 Documents join the rates by source without a hint: small rates are broadcast by size, large ones meet in a join whose
 skewed partitions are split.
 
@@ -25,27 +26,35 @@ from maskwright.llm.common import WORD, read, text_of, written
 MOST, SEED = 3, "mix-1"
 
 
+def running(rows: DataFrame, order: list, name: str, **sums) -> DataFrame:
+    """rows with columns that hold, for each of sums, its total over the rows that come before in the order. No task sees all
+    rows: they are sorted by range and written, and what the parts before hold is added to the sums within a part."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = written(rows.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), name)
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # at most n rows
+    held = parts.groupBy("part").agg(*(F.sum(c).alias(f"in_{k}") for k, c in sums.items()))
+    held = held.select("part", *(F.coalesce(F.sum(f"in_{k}").over(before), F.lit(0)).alias(f"in_{k}") for k in sums))
+    own = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    within = parts.select("*", *(F.coalesce(F.sum(c).over(own), F.lit(0)).alias(k) for k, c in sums.items()))
+    return within.join(held, "part").withColumns({k: F.col(k) + F.col(f"in_{k}") for k in sums}).drop("part", *(f"in_{k}" for k in sums))
+
+
 def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     """source, source_size, target, rate from rows of source and size."""
-    by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    ratio = Window.partitionBy(F.lit(0)).orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    every = Window.partitionBy(F.lit(0))
-    before = ratio.rowsBetween(Window.unboundedPreceding, -1)
-    rows = (
-        by_source.withColumn("weight", (F.row_number().over(order) - 1) % 3 + 1)
-        .withColumn("cap", F.lit(most) * F.col("source_size"))
-        .withColumn("left_words", F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0)))
-        .withColumn("left_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-        # the first source, in order of ratio, whose share of what is left is under its cap sets the level
-        .withColumn("open", F.col("cap") * F.col("left_weight") >= F.col("left_words") * F.col("weight"))
-    )
-    first = F.min(F.when(F.col("open"), F.struct(F.col("source_size") / F.col("weight"), "left_words", "left_weight"))).over(every)
-    return (
-        rows.withColumn("level", first)
-        .withColumn("target", F.least(F.col("cap").cast("double"), F.col("weight") * F.col("level.left_words") / F.col("level.left_weight")))
-        .select("source", "source_size", "target", F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0)).alias("rate"))
-    )
+    by_source = written(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
+    ranked = running(by_source, [F.col("source").asc_nulls_last()], "mix-ranks", rank=F.lit(1))
+    weighed = ranked.withColumn("weight", F.col("rank") % 3 + 1).withColumn("cap", F.lit(most) * F.col("source_size")).drop("rank")
+    weighed = written(weighed.withColumn("ratio", F.col("source_size") / F.col("weight")), "mix-weights")
+    by_ratio = running(weighed, [F.col("ratio"), F.col("source").asc_nulls_last()], "mix-ratios", capped=F.col("cap"), passed=F.col("weight"))
+    all_ = weighed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()  # two numbers
+    left = by_ratio.withColumns({"left_words": F.lit(all_["words"]) - F.col("capped"), "left_weight": F.lit(all_["weight"]) - F.col("passed")})
+    # the first source, in order of ratio, whose share of what is left is under its cap sets the level
+    open_ = left.filter(F.col("cap") * F.col("left_weight") >= F.col("left_words") * F.col("weight"))
+    level = open_.agg(F.min(F.struct("ratio", "left_words", "left_weight")).alias("level")).first()["level"]  # three numbers
+    cap = F.col("cap").cast("double")
+    target = F.least(cap, F.col("weight") * F.lit(level["left_words"]) / F.lit(level["left_weight"])) if level else cap
+    rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
+    return weighed.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 
 
 def copies(rate, id_col: str = "doc_id", seed: str = SEED):
@@ -64,10 +73,11 @@ def with_rates(docs: DataFrame, rates: DataFrame, source_col: str = "source") ->
 
 
 def mix(docs: DataFrame, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it, with their columns."""
+    """The rows of docs, each as often as the mix takes it, with their columns, whatever their names."""
     rates = written(targets(sizes_of(docs), most), "mix-rates")
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id"), F.col("source"))
     n = copies(F.col("__rate"), seed=seed).cast("int")
-    return with_rates(docs, rates).withColumn("__copy", F.explode(F.array_repeat(F.lit(1), n))).select(*docs.columns)
+    return with_rates(rows, rates).select("row", F.explode(F.array_repeat(F.lit(1), n)).alias("copy")).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

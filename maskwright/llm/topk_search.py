@@ -16,7 +16,7 @@ they are exact; larger ones are Python integers, cut to the range of long. Queri
 each broadcast on its own; candidates are read where they lie and are never shuffled.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part. Shorter vectors count as
-padded with zeros. Rows that share a vec_id: each is a candidate, none for a query of that id, and the query is the
+padded with zeros. A component whose 64-fold is over the range of double counts as the largest double. Rows that share a vec_id: each is a candidate, none for a query of that id, and the query is the
 largest of their vectors. A null vec_id takes no part. Other columns are not read.
 """
 
@@ -24,10 +24,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import new_path, read
+from maskwright.llm.common import lean, new_path, read
 
 K, SLICES, BLOCK_BYTES, CANDIDATES = 20, 4, 16 << 20, 4096
-LONG = 2**63 - 1
+LONG, LARGEST = 2**63 - 1, np.finfo(np.float64).max
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -41,7 +41,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def matrix(column, wide: int | None = None) -> np.ndarray:
     """floor(64 * x) of an Arrow list column, padded with zeros."""
     offsets = column.offsets.to_numpy()
-    flat = np.floor(64 * column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]])
+    with np.errstate(over="ignore"):
+        flat = np.floor(64 * column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]])
+    flat = np.clip(flat, -LARGEST, LARGEST)
     n = np.diff(offsets)
     wide = max(int(n.max(initial=1)), wide or 1, 1)
     if (n == wide).all():
@@ -67,10 +69,6 @@ def sliced(q: np.ndarray, c: np.ndarray, slices: int):
     return [q[:, a:b] @ c[:, a:b].T if b > a else np.zeros((len(q), len(c)), q.dtype) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
-
-
 def search_block(candidates: DataFrame, qids: np.ndarray, queries: np.ndarray, k: int, slices: int) -> DataFrame:
     import pyarrow as pa
 
@@ -125,7 +123,7 @@ def search_block(candidates: DataFrame, qids: np.ndarray, queries: np.ndarray, k
 
     schema = "query_id long, vec_id long, score long"
     by_score = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = candidates.mapInArrow(gather, schema).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+    ranked = candidates.mapInArrow(lean(gather), schema).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
     cut = ranked.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(F.lit(-LONG - 1)).alias("cut")).toArrow()
     cutoff = np.full(len(qids), -LONG - 1, np.int64)
     where = {int(x): i for i, x in enumerate(qids)}
@@ -160,7 +158,7 @@ def search_block(candidates: DataFrame, qids: np.ndarray, queries: np.ndarray, k
         yield from sent(qid, held)
 
     return (
-        candidates.mapInArrow(collect, schema).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
+        candidates.mapInArrow(lean(collect), schema).withColumn("rank", F.row_number().over(by_score)).filter(F.col("rank") <= k)
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
     )
 
