@@ -20,6 +20,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     index = exact_dedup.DigestIndex(spark, new_path(spark, "pipeline-index"))
     index.add(docs)
+    index.close()
     return exact_dedup.keep(docs, index)
 
 
