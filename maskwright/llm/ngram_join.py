@@ -17,9 +17,9 @@ for each document with its component, the smallest doc_id that links reach, and
    from above. Texts that share a key are compared by sizes, places and bitmaps: first each with one text of its key
    (the smallest doc_id, then the largest), which merges large groups of copies at linear cost; then, for keys that
    still hold more than one component, texts of different components band by band: a tile holds a band of a key
-   and its next band. Small tiles give the pairs that sizes and places let link; large ones are cut into blocks and
-   give spanning edges; where one component holds nearly all of a tile, the few others meet each other, and meet that
-   component's members of their sizes once for all keys. Bitmaps are sent last. What is connected now holds all links.
+   and its next band. Small tiles give the pairs that sizes and places let link; large ones give
+   spanning edges: the texts outside of a tile's largest component meet each other in blocks, and meet the members of
+   that component, if their sizes agree, once for all keys. Bitmaps are sent last. What is connected now holds all links.
 4. Exact. Each set that is left with company is sent once, to its component, and compared by intersecting sorted
    arrays. Components of over SMALL sets are cut into size-banded blocks of about BLOCK sets, and tiles of two blocks
    (of the same or the next band) are solved on their own and joined by their edges.
@@ -389,8 +389,8 @@ def band_of(n, percent: int):
 
 
 def blocks_of(m: DataFrame, profile: DataFrame) -> DataFrame:
-    """Rows of large tiles (tile, did, comp, all) in blocks of about TILE rows, each of which meets itself and every other."""
-    nb = F.ceil(F.col("all") / TILE).cast("int")
+    """Rows of large tiles (tile, did, comp, others) in blocks of about TILE rows, each of which meets itself and every other."""
+    nb = F.ceil(F.col("others") / TILE).cast("int")
     b = F.pmod(F.hash("did"), nb)
     meets = F.transform(F.sequence(F.lit(0), nb - 1), lambda x: F.struct(F.least(x, b).alias("i"), F.greatest(x, b).alias("j")))
     rows = m.select("tile", "did", "comp", F.explode(meets).alias("t")).withColumn("tile", F.xxhash64("tile", "t.i", "t.j")).drop("t")
@@ -457,13 +457,10 @@ def candidates(docs: DataFrame, profile: DataFrame, words: int, percent: int) ->
     many = in_tiles.filter(F.col("all") > PAIRS)
     if not many.isEmpty():
         own = many.groupBy("tile", "comp").agg(F.count("*").alias("n")).groupBy("tile").agg(F.max_by("comp", "n").alias("main"), (F.sum("n") - F.max("n")).alias("others"))
-        m = written(many.join(own, "tile").select("tile", "did", "comp", "all", "main", "others", size.alias("n")), "join-many")
-        more = more.unionByName(tile_edges(blocks_of(m.filter(F.col("others") > TILE), single), percent))
-        # where one component holds nearly all of a tile, the few others meet in it, and meet that component once for all its keys
-        few = m.filter((F.col("others") <= TILE) & (F.col("comp") != F.col("main")))
-        alone = few.select("tile", "did", "comp").join(single, "did").withColumn("asks", F.lit(False))
-        asked = few.select("did", "comp", "main", "n").distinct()
-        more = more.unionByName(tile_edges(alone, percent)).unionByName(tile_edges(meetings(asked, first, single, percent), percent))
+        # the largest component of a tile stays out of it: the others meet each other there, and its members once for all keys
+        m = written(many.join(own, "tile").filter("comp <> main").select("tile", "did", "comp", "main", "others", size.alias("n")), "join-many")
+        more = more.unionByName(tile_edges(blocks_of(m, single), percent))
+        more = more.unionByName(tile_edges(meetings(m.select("did", "comp", "main", "n").distinct(), first, single, percent), percent))
     more = written(more, "join-more")
     found = components(edges.unionByName(more))
     discard(shared, held, single, manifold, edges, rows, tiles, in_tiles)
