@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Noncharacters: they cannot be in valid interchange text; clean() replaces them if they are.
 OPEN, VALUE, CLOSE = "\uFDD0", "\uFDD1", "\uFDD2"
-SPAN = "array<struct<start:int,end:int,conf:double>>"
+FOUND = "array<struct<start:int,end:int,conf:double,det:int>>"
 LOOK = 40
 
 
@@ -63,23 +63,36 @@ def three_groups(pattern: str) -> str:
 
 
 def empty() -> Column:
-    return F.array().cast(SPAN)
+    return F.array().cast(FOUND)
 
 
-def pattern_spans(text: Column, pattern: str, conf: float) -> Column:
-    """array<struct<start, end, conf>> of a Java pattern's values."""
-    def step(acc, piece):
-        head = F.length(F.substring_index(piece, VALUE, 1))
-        value = F.length(F.substring_index(F.substring_index(piece, CLOSE, 1), VALUE, -1))
-        begin = acc["at"] + head
-        span = F.struct(begin.cast("int").alias("start"), (begin + value).cast("int").alias("end"), F.lit(conf).alias("conf"))
-        return F.struct((acc["at"] + F.length(piece) - 2).cast("int").alias("at"), F.array_append(acc["out"], span).alias("out"))
+def sql_text(s: str) -> str:
+    """A SQL literal."""
+    return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
-    def walk(pieces):
-        first = F.struct(F.length(pieces[0]).cast("int").alias("at"), empty().alias("out"))
-        return F.aggregate(F.slice(pieces, 2, F.size(pieces)), first, step, lambda acc: acc["out"])
 
-    return let(F.split(F.regexp_replace(text, three_groups(pattern), f"{OPEN}$1{VALUE}$2{CLOSE}$3"), OPEN, -1), walk)
+#: Pieces that one fold goes through. A fold copies what it has gathered at each step, so long texts go in chunks.
+CHUNK = 128
+
+
+def pattern_sql(column: str, pattern: str, conf: float, det: int = 0) -> str:
+    """SQL for array<struct<start, end, conf, det>> of a Java pattern's values in a column: as a tree of columns it would take
+    hundreds of calls into the JVM. Chunks of pieces are folded on their own, from the offsets that the chunks before add up to."""
+    marked = f"regexp_replace({column}, {sql_text(three_groups(pattern))}, {sql_text(f'{OPEN}$1{VALUE}$2{CLOSE}$3')})"
+    none = f"cast(array() AS {FOUND})"
+    head = f"length(substring_index(x, '{VALUE}', 1))"
+    value = f"length(substring_index(substring_index(x, '{CLOSE}', 1), '{VALUE}', -1))"
+    span = f"named_struct('start', acc.at + {head}, 'end', acc.at + {head} + {value}, 'conf', {float(conf)!r}D, 'det', {det})"
+    fold = f"aggregate(c, named_struct('at', a, 'out', {none}), (acc, x) -> named_struct('at', acc.at + length(x) - 2, 'out', array_append(acc.out, {span})), acc -> acc.out)"
+    sums = "transform(cs, c -> aggregate(c, 0, (n, x) -> n + length(x) - 2))"
+    begins = f"aggregate({sums}, named_struct('at', length(p[0]), 'out', cast(array() AS array<int>)), (acc, n) -> named_struct('at', acc.at + n, 'out', array_append(acc.out, acc.at)), acc -> acc.out)"
+    chunks = f"transform(sequence(0, (size(p) - 2) div {CHUNK}), i -> slice(p, cast(i * {CHUNK} + 2 AS int), {CHUNK}))"
+    many = f"transform(array({chunks}), cs -> flatten(zip_with(cs, {begins}, (c, a) -> {fold})))[0]"
+    return f"transform(array(split({marked}, '{OPEN}', -1)), p -> CASE WHEN size(p) = 1 THEN {none} ELSE {many} END)[0]"
+
+
+def pattern_spans(column: str, pattern: str, conf: float) -> Column:
+    return F.expr(pattern_sql(column, pattern, conf))
 
 
 def value_of(text: Column, span: Column) -> Column:

@@ -11,7 +11,7 @@ DEFAULT_KEY = "maskwright"
 #: Splits a string into characters, without an empty one at the end.
 CHARACTERS = r"(?!\A)(?!\z)"
 
-#: Ready-made templates: (template, description).
+# Ready-made templates, (template, description).
 PRESETS = (
     ("<{label}_{n}>", "Numbered tag"),
     ("[{label}]", "Tag"),

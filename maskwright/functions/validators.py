@@ -13,6 +13,15 @@ from maskwright.functions.spans import before, let
 
 #: Splits a string into characters, without an empty one at the end.
 CHARACTERS = r"(?!\A)(?!\z)"
+# What stands for a secret without being one, account names that everybody has, abbreviations that look like
+# host names, and registry roots and folder names.
+NO_SECRETS = ("null", "none", "true", "false", "nil", "undefined", "required", "optional", "string", '""', "''")
+COMMON_USERS = ("public", "default", "default user", "all users", "defaultuser0", "%username%", "<user>", "username", "user", "name")
+NO_HOSTS = ("asp.net", "vb.net", "ado.net", "e.co", "i.e", "e.g")
+NO_DOMAINS = (
+    "HKLM HKCU HKCR HKU HKCC BUILTIN SYSTEM SOFTWARE HARDWARE SAM SECURITY NT WINDOWS PROGRA USERS CONTROL SRC LIB BIN DOCS APP APPS "
+    "TEST TESTS DATA TEMP TMP OBJ BUILD DIST TARGET"
+).split()
 WIDE, ASCII = "０１２３４５６７８９", "0123456789"
 
 
@@ -133,29 +142,20 @@ def address_jp(v: Column) -> Column:
 
 
 def not_placeholder(v: Column) -> Column:
-    # fixed values: what stands for a secret without being one
-    words = ("null", "none", "true", "false", "nil", "undefined", "required", "optional", "string", '""', "''")
-    return ok(~v.rlike(r"\A[${<%(\[&:]") & ~v.rlike(r"\A[A-Za-z_][A-Za-z0-9_.:]+\(") & ~v.rlike(r"\A[*xX•●]*\z") & ~F.lower(v).isin(*words))
+    return ok(~v.rlike(r"\A[${<%(\[&:]") & ~v.rlike(r"\A[A-Za-z_][A-Za-z0-9_.:]+\(") & ~v.rlike(r"\A[*xX•●]*\z") & ~F.lower(v).isin(*NO_SECRETS))
 
 
 def not_common_user(v: Column) -> Column:
-    # fixed values: account names that everybody has
-    return ok(~F.lower(F.trim(v)).isin("public", "default", "default user", "all users", "defaultuser0", "%username%", "<user>", "username", "user", "name"))
+    return ok(~F.lower(F.trim(v)).isin(*COMMON_USERS))
 
 
 def hostname_ok(v: Column) -> Column:
-    # fixed values: abbreviations that look like host names
-    return ok(~F.lower(v).isin("asp.net", "vb.net", "ado.net", "e.co", "i.e", "e.g"))
+    return ok(~F.lower(v).isin(*NO_HOSTS))
 
 
 def domain_user(v: Column) -> Column:
-    # fixed values: registry roots and folder names
-    words = (
-        "HKLM HKCU HKCR HKU HKCC BUILTIN SYSTEM SOFTWARE HARDWARE SAM SECURITY NT WINDOWS PROGRA USERS CONTROL SRC LIB BIN DOCS APP APPS "
-        "TEST TESTS DATA TEMP TMP OBJ BUILD DIST TARGET"
-    ).split()
     domain = F.upper(F.substring_index(v, "\\", 1))
-    return ok(~domain.startswith("HKEY_") & ~domain.isin(*words))
+    return ok(~domain.startswith("HKEY_") & ~domain.isin(*NO_DOMAINS))
 
 
 VALIDATORS: dict[str, Callable[[Column], Column]] = {
@@ -167,15 +167,22 @@ VALIDATORS: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def phone_trailing_group(text: Column, value: Column, start: Column, end: Column) -> tuple[Column, Column]:
+def phone_trailing_group(text: Column, value: Column, start: Column, end: Column, places: frozenset) -> tuple[Column, Column]:
     """Without a last group that a space sets off, where the separator before it is no space (a year after a number)."""
     return start, start + F.length(F.regexp_replace(value, r"([\-.][^ \-.]*) [^ \-.]*\z", "$1"))
 
 
-def drop_leading_date_unit(text: Column, value: Column, start: Column, end: Column) -> tuple[Column, Column]:
+def drop_leading_date_unit(text: Column, value: Column, start: Column, end: Column, places: frozenset) -> tuple[Column, Column]:
     """Without a date unit in front, after a digit."""
     unit = value.rlike(r"\A[年月日時分秒]") & before(text, start, 1).rlike("[0-9０-９]")
     return start + F.when(unit, 1).otherwise(0), end
 
 
-REFINERS: dict[str, Callable] = {f.__name__: f for f in (phone_trailing_group, drop_leading_date_unit)}
+def city_leading_place(text: Column, value: Column, start: Column, end: Column, places: frozenset) -> tuple[Column, Column]:
+    """From the longest known place before the first word for a municipality on, if there is one."""
+    head = F.regexp_extract(value, r"\A([^市区町村郡]*)[市区町村郡]", 1)
+    later = F.filter(F.sequence(F.lit(0), F.length(head)), lambda i: (F.length(head) - i >= 2) & F.substring(head, i + 1, F.length(head)).isin(*sorted(places)))
+    return start + F.coalesce(F.get(later, 0), F.lit(0)), end
+
+
+REFINERS: dict[str, Callable] = {f.__name__: f for f in (phone_trailing_group, drop_leading_date_unit, city_leading_place)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,16 +11,40 @@ from maskwright.functions import spans as S
 from maskwright.plans.engine import Engine
 from maskwright.plans.storage import stored
 
-WIDE_ASCII = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-PLAIN_ASCII = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
+def _compatible() -> dict[str, str]:
+    """Characters that compatibility normalisation (NFKC) turns into one other."""
+    out = {}
+    for c in map(chr, [*range(0x80, 0xD800), *range(0xF900, 0x10000)]):
+        n = unicodedata.normalize("NFKC", c)
+        if len(n) == 1 and n != c:
+            out[c] = n
+    return out
+
+
+COMPATIBLE = _compatible()
+#: Half-width kana with a sound mark after them, and what they are together.
+VOICED = {a + b: n for a in map(chr, range(0xFF66, 0xFF9E)) for b in "\uff9e\uff9f" if len(n := unicodedata.normalize("NFKC", a + b)) == 1}
+WIDE, PLAIN = "".join(COMPATIBLE), "".join(COMPATIBLE.values())
+
+
+def compatible(value: Column) -> Column:
+    """Full-width and half-width forms and other variants in their plain form. ASCII stays without a look."""
+    pairs = value
+    for two, one in VOICED.items():
+        pairs = F.replace(pairs, F.lit(two), F.lit(one))
+    wide = F.when(value.rlike("[\uff9e\uff9f]"), pairs).otherwise(value)
+    return F.when(F.octet_length(value) == F.length(value), value).otherwise(F.translate(wide, WIDE, PLAIN))
 
 
 def normalized(value: Column) -> Column:
     """Equal values in other spellings: full-width forms, case and spaces don't matter; mostly digits: only they count."""
-    v = F.translate(value, WIDE_ASCII, PLAIN_ASCII)
-    digits = F.regexp_replace(v, "[^0-9]", "")
-    alnum = F.length(F.regexp_replace(v, r"[^\p{L}\p{N}]", ""))
-    return F.when((F.length(digits) >= 6) & (F.length(digits) * 10 >= alnum * 8), digits).otherwise(F.lower(F.regexp_replace(v, r"[\s 　]", "")))
+
+    def one(v):
+        digits = F.regexp_replace(v, "[^0-9]", "")
+        alnum = F.length(F.regexp_replace(v, r"[^\p{L}\p{N}]", ""))
+        return F.when((F.length(digits) >= 6) & (F.length(digits) * 10 >= alnum * 8), digits).otherwise(F.lower(F.regexp_replace(v, r"\s", "")))
+
+    return S.let(compatible(value), one)
 
 
 def described(engine: Engine, text: Column, spans: Column) -> Column:
@@ -51,13 +77,12 @@ def replaced(engine: Engine, spans: Column) -> Column:
 
 
 def output(text: Column, spans: Column) -> Column:
-    """The text with each span replaced; spans are disjoint and by start."""
-
-    def step(acc, x):
-        return F.struct(F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), x["replacement"]).alias("out"), x["end"].alias("at"))
-
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, done))
+    """The text with each span replaced; spans are disjoint and by start. Gaps and replacements are joined once."""
+    last = F.size(spans) - 1
+    begin = lambda i: F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
+    parts = F.transform(spans, lambda x, i: F.concat(F.substring(text, begin(i) + 1, x["start"] - begin(i)), x["replacement"]))
+    tail = F.substring(text, F.get(spans, last)["end"] + 1, F.length(text))
+    return F.when(F.size(spans) == 0, text).otherwise(F.concat(F.array_join(parts, ""), tail))
 
 
 def mask(engine: Engine, df: DataFrame, text_col: str = "text", out_col: str = "masked", spans_col: str = "replacements", extra_col: str | None = None) -> DataFrame:
@@ -114,14 +139,18 @@ def numbering(rows: DataFrame, order: str) -> DataFrame:
     return parts.withColumn("rank", rank).join(offsets, ["label", "part"]).select("label", "norm_value", (F.col("rank") + F.col("offset")).cast("int").alias("n"))
 
 
-def mask_shared(engine: Engine, df: DataFrame, key: str, order: str, text_col: str = "text", out_col: str = "masked") -> DataFrame:
-    """key, masked text: equal values have equal numbers in all documents. key is unique; order sorts documents."""
-    rows = span_rows(engine, df, list(dict.fromkeys([key, order])), text_col)
-    rows = stored(rows.select(*dict.fromkeys([key, order]), "start", "end", "det_index", "label", "original", "norm_value"), "mask-spans")
-    numbers = numbering(rows, order)
+def with_numbers(engine: Engine, df: DataFrame, rows: DataFrame, numbers: DataFrame, key: str, text_col: str = "text", out_col: str = "masked") -> DataFrame:
+    """df with its masked text, from span rows (key, label, norm_value, start, end, det_index, original) and numbers of values."""
     done = rows.join(numbers, ["label", "norm_value"]).withColumn("replacement", engine.rendered(F.col("det_index"), F.col("original"), F.col("n")))
     by_doc = done.groupBy(F.col(key).alias("__key")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "replacement"))).alias("__spans"))
     joined = df.join(by_doc, F.col(key) == F.col("__key"), "left")
     own = F.coalesce(F.col(text_col), F.lit(""))
     masked = F.when(F.col("__spans").isNull(), own).otherwise(output(own, F.col("__spans")))
     return joined.withColumn(out_col, F.when(F.col(text_col).isNotNull(), masked)).drop("__key", "__spans")
+
+
+def mask_shared(engine: Engine, df: DataFrame, key: str, order: str, text_col: str = "text", out_col: str = "masked") -> DataFrame:
+    """key, masked text: equal values have equal numbers in all documents. key is unique; order sorts documents."""
+    rows = span_rows(engine, df, list(dict.fromkeys([key, order])), text_col)
+    rows = stored(rows.select(*dict.fromkeys([key, order]), "start", "end", "det_index", "label", "original", "norm_value"), "mask-spans")
+    return with_numbers(engine, df, rows, numbering(rows, order), key, text_col, out_col)

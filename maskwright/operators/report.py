@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
@@ -30,10 +30,11 @@ def gate(rows: DataFrame) -> DataFrame:
 
 
 def batch_summary(files: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """files, detections, errors: a single row. files: key and error (null: none)."""
+    """files, detections, errors: a single row. files: key and error (null: none), and seconds, if it has them: then their sum too."""
     n = rows.groupBy(F.col(key).alias("__key")).agg(F.count("*").alias("n"))
     joined = files.join(n, files[key] == F.col("__key"), "left")
-    return joined.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+    more = [F.sum("seconds").alias("seconds")] if "seconds" in files.columns else []
+    return joined.agg(F.count("*").alias("files"), F.coalesce(F.sum("n"), F.lit(0)).alias("detections"), F.count_if(F.col("error").isNotNull()).alias("errors"), *more)
 
 
 def location_at(locations: Column, at: Column) -> Column:
@@ -92,41 +93,65 @@ def listing(rows: DataFrame, file_col: str, values: bool = False) -> DataFrame:
     return rows.select(file_col, "start", (F.concat(head, F.lit(" "), F.col("original")) if values else head).alias("line_text"))
 
 
-def aligned(text: Column, spans: Column) -> Column:
-    """Rows of (left, right) lines, from 1: lines whose newlines a replacement changes form a block and pair up from its top."""
-    n = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
-    kind = "array<struct<left:int,right:int>>"
-    pairs = lambda l, r, a, b: F.transform(
-        F.sequence(F.lit(1), F.greatest(a, b)), lambda i: F.struct(F.when(i <= a, l + i).cast("int").alias("left"), F.when(i <= b, r + i).cast("int").alias("right"))
-    )
+BLOCKS = "array<struct<l:int,l_end:int,r:int,r_end:int>>"
+
+
+def _blocks(text: Column, spans: Column) -> Column:
+    """Runs of lines (from 0, end exclusive) that do not pair up one by one: those of a span whose replacement has another number of
+    lines, together with all spans that begin in them."""
+    lines = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n")))
+    block = lambda l, l_end, r, r_end: F.struct(*[c.cast("int").alias(n) for c, n in ((l, "l"), (l_end, "l_end"), (r, "r"), (r_end, "r_end"))])
+    none = block(*[F.lit(-1)] * 4)
 
     def step(acc, x):
-        gap = n(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]))
-        a, b = n(x["original"]), n(x["replacement"])
-        same = a == b
-        flush = F.when(same, acc["out"]).otherwise(
-            F.concat(acc["out"], F.when(acc["open"] + gap > 0, pairs(acc["l"], acc["r"], (acc["open"] + gap).cast("int"), (acc["open"] + gap).cast("int"))).otherwise(F.array().cast(kind)), pairs(acc["l"] + acc["open"] + gap, acc["r"] + acc["open"] + gap, (a + 1).cast("int"), (b + 1).cast("int")))
-        )
-        moved = acc["open"] + gap
-        return F.struct(
-            F.when(same, acc["l"]).otherwise(acc["l"] + moved + a + 1).cast("int").alias("l"),
-            F.when(same, acc["r"]).otherwise(acc["r"] + moved + b + 1).cast("int").alias("r"),
-            F.when(same, moved + a).otherwise(-1).cast("int").alias("open"), x["end"].alias("at"), flush.cast(kind).alias("out"),
-        )
-
-    def finish(acc):
-        rest = (acc["open"] + n(F.substring(text, acc["at"] + 1, F.length(text))) + 1).cast("int")
-        return F.concat(acc["out"], F.when(rest > 0, pairs(acc["l"], acc["r"], rest, rest)).otherwise(F.array().cast(kind)))
-
-    zero = F.lit(0)
-    return F.aggregate(spans, F.struct(zero.alias("l"), zero.alias("r"), zero.alias("open"), zero.alias("at"), F.array().cast(kind).alias("out")), step, finish)
+        a, b = lines(x["original"]), lines(x["replacement"])
+        l, open_ = S.line_of(text, x["start"]) - 1, acc["open"]
+        r = l - acc["shift"]
+        inside = l < open_["l_end"]
+        grown = block(open_["l"], F.greatest(open_["l_end"], l + a + 1), open_["r"], F.greatest(open_["r_end"], r + b + 1))
+        fresh = F.when(a == b, none).otherwise(block(l, l + a + 1, r, r + b + 1))
+        done = F.when(inside | (open_["l"] < 0), acc["done"]).otherwise(F.array_append(acc["done"], open_))
+        return F.struct((acc["shift"] + a - b).cast("int").alias("shift"), F.when(inside, grown).otherwise(fresh).alias("open"), done.cast(BLOCKS).alias("done"))
+
+    first = F.struct(F.lit(0).alias("shift"), none.alias("open"), F.array().cast(BLOCKS).alias("done"))
+    return F.aggregate(spans, first, step, lambda acc: F.when(acc["open"]["l"] < 0, acc["done"]).otherwise(F.array_append(acc["done"], acc["open"])))
+
+
+def aligned(text: Column, masked: Column, spans: Column) -> Column:
+    """Rows of (left, right) lines, from 1: lines outside of blocks pair up, those of a block pair up from its top."""
+    kind = "array<struct<left:int,right:int>>"
+    count = lambda c: F.length(c) - F.length(F.replace(c, F.lit("\n"))) + 1
+
+    def pairs(l, l_end, r, r_end):
+        n = F.greatest(l_end - l, r_end - r)
+        row = lambda i: F.struct(F.when(l + i <= l_end, l + i).cast("int").alias("left"), F.when(r + i <= r_end, r + i).cast("int").alias("right"))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), row)).otherwise(F.array().cast(kind))
+
+    def rows(blocks):
+        before = lambda i, end: F.when(i == 0, 0).otherwise(F.get(blocks, i - 1)[end])
+        own = F.transform(blocks, lambda x, i: F.concat(pairs(before(i, "l_end"), x["l"], before(i, "r_end"), x["r"]), pairs(x["l"], x["l_end"], x["r"], x["r_end"])))
+        last = F.size(blocks)
+        return F.concat(F.flatten(own), pairs(before(last, "l_end"), count(text), before(last, "r_end"), count(masked)))
+
+    return S.let(_blocks(text, spans), rows)
+
+
+def line_maps(masked: DataFrame, key: str, text_col: str = "text", out_col: str = "masked", spans_col: str = "replacements") -> DataFrame:
+    """key, side (left or right), line, other: the line that stands beside each line; one without a partner has the partner of the
+    last line above it that has one (null above the first)."""
+    text, out = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(out_col), F.lit(""))
+    rows = masked.select(key, F.posexplode(aligned(text, out, F.col(spans_col))).alias("pos", "x")).select(key, "pos", "x.left", "x.right")
+    above = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    carried = rows.select(key, "left", "right", F.last("left", True).over(above).alias("l"), F.last("right", True).over(above).alias("r"))
+    side = lambda name, line, other: carried.filter(F.col(line).isNotNull()).select(key, F.lit(name).alias("side"), F.col(line).alias("line"), F.col(other).alias("other"))
+    return side("left", "left", "r").unionByName(side("right", "right", "l"))
 
 
 def difference(masked: DataFrame, key: str, text_col: str = "text", out_col: str = "masked", spans_col: str = "replacements") -> DataFrame:
     """key, line, old, new: lines that masking changed."""
     text, out = F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(out_col), F.lit(""))
     left, right = F.split(text, "\n", -1), F.split(out, "\n", -1)
-    rows = masked.filter(F.size(spans_col) > 0).select(key, left.alias("a"), right.alias("b"), F.explode(aligned(text, F.col(spans_col))).alias("x"))
+    rows = masked.filter(F.size(spans_col) > 0).select(key, left.alias("a"), right.alias("b"), F.explode(aligned(text, out, F.col(spans_col))).alias("x"))
     old = F.when(F.col("x.left").isNotNull(), F.get("a", F.col("x.left") - 1))
     new = F.when(F.col("x.right").isNotNull(), F.get("b", F.col("x.right") - 1))
     return rows.select(key, F.coalesce("x.left", "x.right").alias("line"), old.alias("old"), new.alias("new")).filter(~F.col("old").eqNullSafe(F.col("new")))

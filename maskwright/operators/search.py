@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import spans as S
 
-HITS, HITS_IN_DOCUMENT = 200, 10_000
+#: Most hits of a text that a listing shows, and that a document view shows.
+HITS, HITS_IN_DOCUMENT, NO_LIMIT = 200, 10_000, 2**31 - 1
 
 
 @dataclass(frozen=True)
@@ -40,14 +41,14 @@ def matches(q: Query, value: Column) -> Column:
     return F.lit(True) if q.empty else value.rlike(q.java())
 
 
-def find(q: Query, text: Column, limit: int = HITS) -> tuple[Column, Column]:
-    """(array<struct<start, end>> of at most limit hits, whether there are more)."""
+def find(q: Query, column: str, limit: int = HITS) -> tuple[Column, Column]:
+    """(array<struct<start, end>> of at most limit hits in a column, whether there are more)."""
     from maskwright.plans.engine import rule_pattern
 
     java = q.java()
     flags = re.match(r"\(\?[imdsu]+\)", java)
     front = flags[0] if flags else ""
-    hits = S.pattern_spans(text, front + (rule_pattern(java[len(front) :], "-") if q.pattern else java[len(front) :]), 1.0)
+    hits = S.pattern_spans(column, front + (rule_pattern(java[len(front) :], "-") if q.pattern else java[len(front) :]), 1.0)
     hits = F.transform(F.filter(hits, lambda x: x["end"] > x["start"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
     return F.slice(hits, 1, limit), F.size(hits) > limit
 
@@ -64,13 +65,18 @@ def search(df: DataFrame, q: Query, key: str, text_col: str = "text", limit: int
     if q.empty:
         return df.select(key, *[F.lit(None).cast(t).alias(c) for c, t in (("start", "int"), ("end", "int"), ("line", "int"), ("column", "int"), ("snippet", "string"), ("truncated", "boolean"))]).limit(0)
     some = S.once(df.filter(F.col(text_col).rlike(q.java())).select(key, text_col), "__t", S.clean(F.col(text_col)))
-    hits, more = find(q, F.col("__t"), limit)
+    hits, more = find(q, "__t", limit)
     held = S.once(some, "__h", F.struct(hits.alias("hits"), more.alias("truncated")))
     x = held.select(key, "__t", F.explode("__h.hits").alias("x"), F.col("__h.truncated").alias("truncated"))
     t, at = F.col("__t"), F.col("x.start")
     return x.select(key, at.alias("start"), F.col("x.end").alias("end"), S.line_of(t, at).alias("line"), S.column_of(t, at).alias("column"), snippet(t, at, F.col("x.end"), around).alias("snippet"), "truncated")
 
 
-def summary(hits: DataFrame, key: str) -> DataFrame:
-    """hits, files: a single row."""
-    return hits.groupBy(key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("hits"), F.count("*").alias("files"))
+def totals(df: DataFrame, q: Query, text_col: str = "text") -> DataFrame:
+    """hits, files: a single row, over all hits, however many a listing shows of a text."""
+    if q.empty:
+        per = df.select(F.lit(0).alias("n"))
+    else:
+        some = S.once(df.filter(F.col(text_col).rlike(q.java())).select(text_col), "__t", S.clean(F.col(text_col)))
+        per = some.select(F.size(find(q, "__t", NO_LIMIT)[0]).alias("n"))
+    return per.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("hits"), F.count_if(F.col("n") > 0).alias("files"))

@@ -84,6 +84,7 @@ class Config:
     propagate: bool = True
     use_dictionary: bool = True
     dictionary_threshold: float = 0.6
+    use_morphology: bool = False
     categories: dict[str, dict] = field(default_factory=dict)
     detectors: dict[str, dict] = field(default_factory=dict)
     allow_values: tuple[str, ...] = ()
@@ -181,6 +182,7 @@ def resolve(table: dict, profile: str | None = None) -> Config:
         propagate=names.get("propagate", True),
         use_dictionary=names.get("use_dictionary", True),
         dictionary_threshold=float(names.get("dictionary_threshold", 0.6)),
+        use_morphology=names.get("use_morphology", False),
         categories=table.get("categories", {}),
         detectors=table.get("detectors", {}),
         allow_values=tuple(allow.get("values", ())),

@@ -7,6 +7,7 @@ Each has a necessary literal that is tested first. Name, place and company detec
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -21,6 +22,8 @@ from maskwright.operators import names
 from maskwright.plans.catalog import AFTER, BEFORE, BOOST, CATALOG, CATEGORIES, LEXICAL, Detector, java_pattern
 from maskwright.plans.config import Config
 
+#: The columns that detectors read: the text, and what their conditions share.
+TEXT, GATES = "__text", "__gates"
 #: A resolved span: det is the index into the engine's detectors.
 RESOLVED = "array<struct<start:int,end:int,conf:double,det:int>>"
 @dataclass(frozen=True)
@@ -35,14 +38,14 @@ class Need:
     wide: bool = False
     pattern: str | None = None
 
-    def test(self, text: Column, gates: Column) -> Column | None:
-        tests = [gates["digit"]] * self.digit + [gates["wide"]] * self.wide
-        any_of = [gates["low"].contains(w) for w in self.words] + [text.contains(w) for w in self.exact]
+    def sql(self) -> str | None:
+        tests = [f"{GATES}.digit"] * self.digit + [f"{GATES}.wide"] * self.wide
+        any_of = [f"contains({GATES}.low, {S.sql_text(w)})" for w in self.words] + [f"contains({TEXT}, {S.sql_text(w)})" for w in self.exact]
         if any_of:
-            tests.append(reduce(lambda a, b: a | b, any_of))
+            tests.append("(" + " OR ".join(any_of) + ")")
         if self.pattern:
-            tests.append(text.rlike(self.pattern))
-        return reduce(lambda a, b: a & b, tests) if tests else None
+            tests.append(f"{TEXT} RLIKE {S.sql_text(self.pattern)}")
+        return " AND ".join(tests) or None
 
 
 def gates_of(text: Column) -> Column:
@@ -162,16 +165,39 @@ def rule_pattern(pattern: str, group: str | None) -> str:
     return "".join(out)
 
 
+#: Columns of engines, by session and settings: building them takes thousands of calls into the JVM.
 _BUILT: dict[tuple, Column] = {}
 
 
+class Meta(dict):
+    """Columns with what is known of the detector at an index: id, label, label_ja, category, category_ja, name and priority,
+    each made when it is asked for."""
+
+    def __init__(self, detectors: list[Active], det: Column):
+        super().__init__()
+        self.detectors, self.det = detectors or [Active("", "custom", "", "", "", 0, 0.0, T.parse(""))], det
+
+    def __missing__(self, field: str) -> Column:
+        if field == "category_ja":
+            known = {c: ja for c, _, ja in CATEGORIES}
+            values = [known.get(d.category, d.category) for d in self.detectors]
+        else:
+            values = [getattr(d, field) for d in self.detectors]
+        literals = ", ".join(str(v) if isinstance(v, int) else S.sql_text(v) for v in values)
+        self[field] = F.get(F.expr(f"array({literals})"), self.det)
+        return self[field]
+
+
 class Engine:
     """What a configuration detects and how it renders what it finds."""
 
-    def __init__(self, config: Config | None = None, lexicon: names.Lexicon | None = None):
+    def __init__(self, config: Config | None = None, lexicon: names.Lexicon | None = None, morphology: names.Morphology | None = None):
         self.config = c = config or Config()
         self.lexicon = lexicon or names.SEED
+        self.morphology = morphology
         self.warnings = list(c.warnings)
+        if c.use_morphology and morphology is None:
+            self.warnings.append("there is no morphological analysis; names are found by cues and the lexicon")
         default = self._template(c.template, "masking") or T.parse("<{label}_{n}>")
         self.detectors: list[Active] = []
         for d in CATALOG:
@@ -206,57 +232,88 @@ class Engine:
 
     # ---- detection ----
 
-    def _candidates(self, text: Column, d: Active, gates: Column) -> Column:
-        """array<struct<start, end, conf>> of one detector that passed its tests. Building the column takes hundreds of calls
-        into the JVM, so that engines of one session share it; text and gates are always the same columns."""
-        key = (SparkContext._active_spark_context.applicationId, d.id, d.patterns, d.boundary, d.spec)
-        if key not in _BUILT:
-            _BUILT[key] = self._tested(text, d, gates)
-        return _BUILT[key]
-
-    def _tested(self, text: Column, d: Active, gates: Column) -> Column:
-        need = NEEDS.get(d.id) if d.spec else None
-        if d.spec and d.spec.required and not d.spec.validator:
-            need = Need(d.spec.context)
-        test = need.test(text, gates) if need else None
-        found = self._passed(text, d)
-        return found if test is None else F.when(test, found).otherwise(S.empty())
-
-    def _passed(self, text: Column, d: Active) -> Column:
-        spec = d.spec
-        found = reduce(lambda a, b: F.concat(a, b), [S.pattern_spans(text, p, conf) for p, conf in d.patterns])
-        found = F.filter(found, lambda x: x["end"] > x["start"])
-        if spec and spec.refine in REFINERS:
-
-            def refined(x):
-                begin, end = REFINERS[spec.refine](text, S.value_of(text, x), x["start"], x["end"])
-                return F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), x["conf"].alias("conf"))
-
-            found = F.transform(found, refined)
-        if spec and spec.trim:
-            found = F.transform(
-                found,
-                lambda x: F.struct(x["start"].alias("start"), (x["start"] + F.length(F.regexp_replace(S.value_of(text, x), r"""[.,;:!?)\]}'"]+\z""", ""))).cast("int").alias("end"), x["conf"].alias("conf")),
-            )
-        if d.boundary != "none":
-            test = S.BOUNDARIES[d.boundary]
-            found = F.filter(found, lambda x: (x["end"] > x["start"]) & test(S.before(text, x["start"]), S.after(text, x["end"])))
-        if not spec:
+    def _raw(self) -> str:
+        """SQL for what the patterns match, with the index of their detector. A detector whose condition a text does not meet is
+        not looked for in it."""
+        out = []
+        for i, d in enumerate(self.detectors):
+            if not d.patterns:
+                continue
+            found = ", ".join(S.pattern_sql(TEXT, p, conf, i) for p, conf in d.patterns)
+            found = f"concat({found})" if len(d.patterns) > 1 else found
+            need = NEEDS.get(d.id) if d.spec else None
+            if d.spec and d.spec.required and not d.spec.validator:
+                need = Need(d.spec.context)
+            test = need.sql() if need else None
+            out.append(f"CASE WHEN {test} THEN {found} ELSE cast(array() AS {S.FOUND}) END" if test else found)
+        return f"flatten(array({', '.join(out)}))" if out else f"cast(array() AS {S.FOUND})"
+
+    def _by(self, key) -> dict:
+        """Indexes of detectors by what key says of their catalog rows, if it says anything."""
+        out: dict = {}
+        for i, d in enumerate(self.detectors):
+            if d.spec and (k := key(d)):
+                out.setdefault(k, []).append(i)
+        return out
+
+    def _tested(self, text: Column, found: Column) -> Column:
+        """What is left of matches after refining, boundaries, validators and contexts, with their confidence. Each kind of test is
+        in the expression once, whatever the number of detectors that use it."""
+        cut: dict[int, Callable] = {}
+        for name, rows in self._by(lambda d: d.spec.refine).items():
+            for i in rows:
+                cut[i] = lambda x, name=name: REFINERS[name](text, S.value_of(text, x), x["start"], x["end"], self.lexicon.places)
+        for i in self._by(lambda d: d.spec.trim).get(True, ()):
+            cut[i] = lambda x: (x["start"], x["start"] + F.length(F.regexp_replace(S.value_of(text, x), r"""[.,;:!?)\]}'"]+\z""", "")))
+        if cut:
+
+            def adjusted(x):
+                begin, end = x["start"], x["end"]
+                for i, by in cut.items():
+                    b, e = by(x)
+                    begin, end = F.when(x["det"] == i, b).otherwise(begin), F.when(x["det"] == i, e).otherwise(end)
+                return F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), x["conf"].alias("conf"), x["det"].alias("det"))
+
+            some = F.exists(found, lambda x: x["det"].isin(*cut))
+            found = F.when(some, F.transform(found, adjusted)).otherwise(found)
+        kinds: dict[str, list[int]] = {}
+        for i, d in enumerate(self.detectors):
+            if d.boundary != "none":
+                kinds.setdefault(d.boundary, []).append(i)
+
+        def bounded(x):
+            good = F.lit(True)
+            for kind, rows in kinds.items():
+                good = F.when(x["det"].isin(*rows), S.BOUNDARIES[kind](S.before(text, x["start"]), S.after(text, x["end"]))).otherwise(good)
+            return (x["end"] > x["start"]) & good
+
+        found = F.filter(found, bounded)
+        contexts, validators = self._by(lambda d: d.spec.context), self._by(lambda d: d.spec.validator)
+        required = [i for i, d in enumerate(self.detectors) if d.spec and d.spec.required]
+        if not contexts and not validators:
             return found
-        if spec.validator or spec.context:
 
-            def judged(x):
-                verdict = VALIDATORS[spec.validator](S.value_of(text, x)) if spec.validator else F.lit(1)
-                near = S.has_context(text, x, spec.context, BEFORE, AFTER) if spec.context else F.lit(False)
-                conf = F.when(near, F.least(x["conf"] + BOOST, F.lit(1.0))).otherwise(x["conf"])
-                conf = F.when(verdict == 2, F.greatest(conf, F.lit(0.9))).otherwise(conf)
-                good = (verdict > 0) & (near | (verdict == 2)) if spec.required else verdict > 0
-                return F.struct(x["start"].alias("start"), x["end"].alias("end"), F.when(good, F.round(conf, 4)).otherwise(-1.0).alias("conf"))
+        def judged(x):
+            verdict, near = F.lit(1), F.lit(False)
+            for name, rows in validators.items():
+                verdict = F.when(x["det"].isin(*rows), VALIDATORS[name](S.value_of(text, x))).otherwise(verdict)
+            for words, rows in contexts.items():
+                near = F.when(x["det"].isin(*rows), S.has_context(text, x, words, BEFORE, AFTER)).otherwise(near)
+
+            def weighed(y):
+                conf = F.when(y["near"], F.least(x["conf"] + BOOST, F.lit(1.0))).otherwise(x["conf"])
+                conf = F.when(y["verdict"] == 2, F.greatest(conf, F.lit(0.9))).otherwise(conf)
+                good = y["verdict"] > 0
+                if required:
+                    good &= ~x["det"].isin(*required) | y["near"] | (y["verdict"] == 2)
+                tested = x["det"].isin(*{i for rows in (*validators.values(), *contexts.values()) for i in rows})
+                return F.struct(*[x[c].alias(c) for c in ("start", "end")], F.when(good, F.when(tested, F.round(conf, 4)).otherwise(conf)).otherwise(-1.0).alias("conf"), x["det"].alias("det"))
+
+            return S.let(F.struct(verdict.alias("verdict"), near.alias("near")), weighed)
 
-            found = F.filter(F.transform(found, judged), lambda x: x["conf"] >= 0)
-        return found
+        return F.filter(F.transform(found, judged), lambda x: x["conf"] >= 0)
 
-    def _allowed(self, text: Column, d: Active, x: Column, extra: Column | None) -> Column | None:
+    def _allowed(self, text: Column, x: Column, extra: Column | None) -> Column | None:
         """Whether the allowlist takes a span out; None if nothing can."""
         c, value = self.config, S.value_of(text, x)
         tests = [value.rlike(rf"\A(?:{p})\z") for p in c.allow_patterns]
@@ -264,74 +321,79 @@ class Engine:
             tests.append(F.lower(value).isin(*[v.lower() for v in c.allow_values]))
         if extra is not None:
             tests.append(F.array_contains(extra, F.lower(value)))
-        if c.allow_domains and d.id in ("email", "hostname", "url", "unc_path"):
+        hosts = [i for i, d in enumerate(self.detectors) if d.id in ("email", "hostname", "url", "unc_path")]
+        if c.allow_domains and hosts:
             host = F.regexp_replace(F.regexp_replace(F.lower(value), r"\A(?s:.*)@", ""), r"\A(?s:.*?)://", "")
             host = F.regexp_extract(host, r"\A([^/:?#]*)", 1)
-            tests += [(host == h.lower()) | host.endswith("." + h.lower()) for h in c.allow_domains]
+            under = S.let(host, lambda h: reduce(lambda a, b: a | b, [(h == w.lower()) | h.endswith("." + w.lower()) for w in c.allow_domains]))
+            tests.append(F.when(x["det"].isin(*hosts), under).otherwise(False))
         return reduce(lambda a, b: a | b, tests) if tests else None
 
-    def candidates(self, text: Column, gates: Column, names_col: Column | None = None, extra: Column | None = None) -> Column:
-        """array<struct<start, end, conf, det>> before overlaps are resolved. text must be clean()."""
-        out = []
-        for i, d in enumerate(self.detectors):
-            if d.id in LEXICAL and d.spec:
-                if names_col is None:
-                    continue
-                found = F.transform(F.filter(names_col, lambda x: x["id"] == d.id), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["conf"].alias("conf")))
-            else:
-                found = self._candidates(text, d, gates)
-            if d.min_conf > 0:
-                found = F.filter(found, lambda x: x["conf"] >= d.min_conf)
-            if self.config.allow_patterns or self.config.allow_values or extra is not None or (self.config.allow_domains and d.id in ("email", "hostname", "url", "unc_path")):
-                found = F.filter(found, lambda x: ~self._allowed(text, d, x, extra))
-            out.append(F.transform(found, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["conf"].alias("conf"), F.lit(i).alias("det"))))
-        return F.flatten(F.array(*out)) if out else F.array().cast(RESOLVED)
-
-    def resolve(self, found: Column) -> Column:
-        """A disjoint set by start: priority, confidence, length, start and the detectors' order decide."""
-        priority = F.array(*[F.lit(-d.priority) for d in self.detectors]) if self.detectors else F.array(F.lit(0))
-        ranked = F.array_sort(F.transform(found, lambda x: F.struct(F.get(priority, x["det"]).alias("p"), (-x["conf"]).alias("c"), (x["start"] - x["end"]).alias("l"), x["start"].alias("start"), x["det"].alias("det"), x["end"].alias("end"))))
-        shape = lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), (-x["c"]).alias("conf"), x["det"].alias("det"))
-        kept = F.aggregate(
-            ranked, F.array().cast(RESOLVED), lambda acc, x: F.when(F.exists(acc, lambda a: (a["start"] < x["end"]) & (a["end"] > x["start"])), acc).otherwise(F.array_append(acc, shape(x)))
+    def _sure(self, text: Column, found: Column, named: Column | None, extra: Column | None) -> Column:
+        """Tested matches and names that are sure enough and not allowed."""
+        if named is not None:
+            own = [(i, d.id) for i, d in enumerate(self.detectors) if d.id in LEXICAL and d.spec]
+            index = lambda x: reduce(lambda a, b: F.when(x["id"] == b[1], b[0]).otherwise(a), own, F.lit(-1))
+            found = F.concat(found, F.transform(named, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["conf"].alias("conf"), index(x).alias("det"))))
+        least = {d.min_conf for d in self.detectors}
+        if least != {0.0}:
+            bound = F.lit(min(least)) if len(least) == 1 else None
+            found = F.filter(found, lambda x: x["conf"] >= (bound if bound is not None else F.get(F.expr("array(" + ", ".join(f"{d.min_conf!r}D" for d in self.detectors) + ")"), x["det"])))
+        return F.filter(found, lambda x: ~self._allowed(text, x, extra)) if self._allowed(text, F.col("x"), extra) is not None else found
+
+    def resolve(self, found: str) -> Column:
+        """A disjoint set by start: priority, confidence, length, start and the detectors' order decide. found: a column.
+
+        Candidates in the order of starts are cut where the next start is as far off as the longest candidate is long, since
+        nothing reaches over such a gap; each group is resolved on its own."""
+        priority = "array(" + ", ".join(str(-d.priority) for d in self.detectors or (Active("", "", "", "", "", 0, 0.0, T.parse("")),)) + ")"
+        rank = f"named_struct('p', get({priority}, x.det), 'c', -x.conf, 'l', x.start - x.end, 'start', x.start, 'det', x.det, 'end', x.end)"
+        kept = "named_struct('start', x.start, 'end', x.end, 'conf', -x.c, 'det', x.det)"
+        one = (
+            f"CASE WHEN size(g) = 1 THEN g ELSE array_sort(aggregate(array_sort(transform(g, x -> {rank})), cast(array() AS {RESOLVED}), "
+            f"(acc, x) -> CASE WHEN exists(acc, k -> k.start < x.end AND k.end > x.start) THEN acc ELSE array_append(acc, {kept}) END)) END"
         )
-        return F.when(F.size(found) > 1, F.array_sort(kept)).otherwise(found)
+        cuts = "concat(array(0), filter(sequence(1, size(s) - 1), i -> s[i].start - s[i - 1].start >= array_max(transform(s, x -> x.end - x.start))), array(size(s)))"
+        groups = f"transform(array({cuts}), b -> transform(sequence(1, size(b) - 1), i -> slice(s, b[i - 1] + 1, b[i] - b[i - 1])))[0]"
+        return F.expr(f"CASE WHEN size({found}) <= 1 THEN {found} ELSE transform(array(array_sort({found})), s -> flatten(transform({groups}, g -> {one})))[0] END")
 
     def _names(self, text: Column) -> Column | None:
         wanted = [d.id for d in self.detectors if d.id in LEXICAL and d.spec]
-        return names.detector(self.lexicon, wanted, self.config)(text) if wanted else None
+        return names.detector(self.lexicon, wanted, self.config, text, self.morphology) if wanted else None
 
     def detect(self, df: DataFrame, text_col: str = "text", extra_col: str | None = None, spans_col: str = "spans", resolve: bool = True) -> DataFrame:
         """df with spans: array<struct<start, end, conf, det>>. extra_col: array<string> of lower-case values to leave out."""
-        own = S.once(S.once(df, "__text", S.clean(F.col(text_col))), "__gates", gates_of(F.col("__text")))
-        named = self._names(F.col("__text"))
+        text = F.col(TEXT)
+        own = S.once(S.once(df, TEXT, S.clean(F.col(text_col))), GATES, gates_of(text))
+        named = self._names(text)
         if named is not None:
             own = own.withColumn("__names", named)
-        found = self.candidates(F.col("__text"), F.col("__gates"), F.col("__names") if named is not None else None, F.col(extra_col) if extra_col else None)
+        own = S.once(own, "__raw", F.expr(self._raw()))
+        names_col, extra = F.col("__names") if named is not None else None, F.col(extra_col) if extra_col else None
+        raw = self._cached("tested", lambda: F.when(F.size("__raw") > 0, self._tested(text, F.col("__raw"))).otherwise(F.col("__raw")))
+        found = self._cached(f"sure {named is not None} {extra_col}", lambda: self._sure(text, raw, names_col, extra))
         if not resolve:
-            return S.once(own, spans_col, found).drop("__text", "__gates", "__names")
-        own = S.once(S.once(own, "__found", found), spans_col, self.resolve(F.col("__found")))
+            return S.once(own, spans_col, found).drop(TEXT, GATES, "__names", "__raw")
+        own = S.once(S.once(own, "__found", found), spans_col, self.resolve("__found"))
         person = next((i for i, d in enumerate(self.detectors) if d.id == "person_name"), None)
         if self.config.propagate and person is not None and named is not None:
-            own = own.withColumn("__more", names.propagation(self.lexicon, person, self.config)(F.col("__text"), F.col(spans_col)))
+            sure = F.exists(F.col(spans_col), lambda x: (x["det"] == person) & (x["conf"] >= 0.7))
+            own = own.withColumn("__more", names.propagation(self.lexicon, person, self.config)(F.when(sure, text), F.when(sure, F.col(spans_col))))
             own = S.once(own, spans_col, F.when(F.size("__more") > 0, F.array_sort(F.concat(F.col(spans_col), F.col("__more")))).otherwise(F.col(spans_col)))
-        return own.drop("__text", "__gates", "__names", "__found", "__more")
+        return own.drop(TEXT, GATES, "__names", "__raw", "__found", "__more")
+
+    def _cached(self, what: str, build: Callable[[], Column]) -> Column:
+        c = self.config
+        own = tuple((d.id, d.patterns, d.boundary, d.min_conf, d.spec) for d in self.detectors)
+        key = (SparkContext._active_spark_context.applicationId, what, own, c.allow_values, c.allow_patterns, c.allow_domains, self.lexicon.places)
+        if key not in _BUILT:
+            _BUILT[key] = build()
+        return _BUILT[key]
 
     # ---- meta data ----
 
-    def meta(self, det: Column) -> dict[str, Column]:
-        pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]), det)
-        names_en = {c: (en, ja) for c, en, ja in CATEGORIES}
-        ds = self.detectors or [Active("", "custom", "", "", "", 0, 0.0, T.parse(""))]
-        return {
-            "id": pick([d.id for d in ds]),
-            "label": pick([d.label for d in ds]),
-            "label_ja": pick([d.label_ja for d in ds]),
-            "category": pick([d.category for d in ds]),
-            "category_ja": pick([names_en.get(d.category, ("", d.category))[1] for d in ds]),
-            "name": pick([d.name for d in ds]),
-            "priority": pick([d.priority for d in ds]),
-        }
+    def meta(self, det: Column) -> Meta:
+        return Meta(self.detectors, det)
 
     def numbered(self) -> bool:
         return any(d.template.numbered for d in self.detectors)

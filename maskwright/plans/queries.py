@@ -2,11 +2,13 @@
 
 Detector queries read `documents` and, so that detectors of values that those do not hold return rows too, the example
 texts of EXAMPLES under negative doc_ids. The allowlist of domains is empty in them, because the tables' hosts are all
-under it; `allowlist_default` shows what the default takes out."""
+under it; `allowlist_default` shows what the default takes out and leaves. Queries about whole texts run all 64 detectors
+that are patterns, so that SQL can say the same; `mask_default` and `stats_names` run those with a lexicon too."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +17,12 @@ from maskwright.functions import spans as S
 from maskwright.operators import mask as M
 from maskwright.operators import report as R
 from maskwright.operators import search as Q
-from maskwright.plans import oracle
-from maskwright.plans.catalog import BY_ID, CATALOG
-from maskwright.plans.config import Config, Keywords, Rule, resolve
+from maskwright.plans import goldens, oracle, settings
+from maskwright.plans.catalog import BY_ID, CATALOG, CATEGORIES
+from maskwright.plans.config import DOMAINS, Config, Keywords, Rule, loads, resolve
 from maskwright.plans.engine import Engine, list_categories, list_detectors
+from maskwright.sources import files, formats
+from maskwright.sources.tables import read_table
 
 #: A made-up text for each detector.
 EXAMPLES = {
@@ -102,7 +106,7 @@ SOURCE_SQL = f"SELECT doc_id, text FROM documents UNION ALL {EXAMPLE_SQL}"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return read_table(spark, f"{sf_dir}/documents.parquet", "doc_id", "text")
 
 
 def with_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,52 +125,85 @@ def detector_query(id_: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: candidate_rows(Engine(OPEN.only(id_)), with_examples(spark, sf_dir))
 
 
-CORE = ("email", "phone_intl", "credit_card", "ipv4", "password_kv")
+#: All detectors that are patterns: what SQL can express too. The other three read a lexicon, and `mask_default` runs them.
+PATTERNS = tuple(d.id for d in CATALOG if d.patterns)
+#: A few for queries about something else than detection.
+SOME = ("email", "ipv4", "credit_card", "password_kv", "phone_intl")
 
 
-def core_engine(**values) -> Engine:
-    return Engine(OPEN.only(*CORE).changed(**values))
+def patterns_engine(**values) -> Engine:
+    return Engine(OPEN.only(*PATTERNS).changed(**values))
 
 
 def _masked(engine: Engine, df: DataFrame) -> DataFrame:
     return M.mask(engine, df).select("doc_id", "masked", F.size("replacements").alias("n"))
 
 
-def _rows(spark: SparkSession, sf_dir: str, engine: Engine | None = None) -> DataFrame:
-    return M.span_rows(engine or Engine(OPEN), documents(spark, sf_dir), ["doc_id"])
+def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.span_rows(patterns_engine(), with_examples(spark, sf_dir), ["doc_id"])
 
 
 def stats_by_detector(spark, sf_dir):
-    return _rows(spark, sf_dir, core_engine()).groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    return _rows(spark, sf_dir).groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 def stats_by_category(spark, sf_dir):
-    return _rows(spark, sf_dir, core_engine()).groupBy("category").agg(F.count("*").alias("n"))
+    return _rows(spark, sf_dir).groupBy("category").agg(F.count("*").alias("n"))
+
+
+def stats_names(spark, sf_dir):
+    """All 67 detectors, those with a lexicon too."""
+    rows = M.span_rows(Engine(OPEN.only(*BY_ID)), with_examples(spark, sf_dir), ["doc_id"])
+    return rows.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+def counts_by_document(spark, sf_dir):
+    return R.counts_by_doc(_rows(spark, sf_dir), "doc_id")
+
+
+def batch_summary(spark, sf_dir):
+    docs = with_examples(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 50 == 0, "can't be read").alias("error"))
+    return R.batch_summary(docs, _rows(spark, sf_dir), "doc_id")
 
 
 def numbering_shared(spark, sf_dir):
-    return M.numbering(_rows(spark, sf_dir, core_engine()), "doc_id")
+    return M.numbering(_rows(spark, sf_dir), "doc_id")
 
 
 def numbering_per_doc(spark, sf_dir):
-    found = M.mask(core_engine(), documents(spark, sf_dir))
+    found = M.mask(patterns_engine(), with_examples(spark, sf_dir))
     return found.select("doc_id", F.explode("replacements").alias("x")).select("doc_id", "x.start", "x.label", "x.norm_value", "x.n")
 
 
+def out_offsets(spark, sf_dir):
+    found = M.mask(patterns_engine(template="[{label}]"), with_examples(spark, sf_dir))
+    return found.select("doc_id", F.explode(M.with_offsets(F.col("replacements"))).alias("x")).select("doc_id", "x.start", "x.end", "x.out_start", "x.out_end", "x.replacement")
+
+
 def with_labels(spark, sf_dir):
-    rows = _rows(spark, sf_dir, core_engine()).groupBy("doc_id").agg(F.count("*").alias("n"))
+    rows = _rows(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return labels.join(rows, "doc_id", "left").groupBy("quality", "toxic").agg(F.count("*").alias("docs"), F.count("n").alias("with_spans"), F.coalesce(F.sum("n"), F.lit(0)).alias("spans"))
 
 
 def pages_spans(spark, sf_dir):
-    html = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("doc_id"), F.replace(F.replace("html", F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")).alias("text"))
-    return candidate_rows(core_engine(), html).groupBy("value").agg(F.count("*").alias("n"))
+    html = read_table(spark, f"{sf_dir}/pages.parquet", "page_id", "html").select(F.col("page_id").alias("doc_id"), F.replace(F.replace("html", F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&")).alias("text"))
+    return candidate_rows(patterns_engine(), html).groupBy("value").agg(F.count("*").alias("n"))
+
+
+PAGES_SQL = """SELECT page_id AS doc_id, replace(replace(html, '&quot;', '"'), '&amp;', '&') AS text FROM pages"""
+#: Turns of conversations, and the examples as turns of made-up ones; doc_id stands for conversation and turn.
+TURNS_SQL = f"SELECT conv_id * 100000 + turn AS doc_id, text FROM conversations UNION ALL SELECT doc_id * 100000, text FROM ({EXAMPLE_SQL})"
+
+
+def turns(spark, sf_dir):
+    rows = [((-1 - i) * 100_000, t) for i, t in enumerate(EXAMPLES.values())]
+    own = read_table(spark, f"{sf_dir}/conversations.parquet", "conv_id", "turn", "text").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("doc_id"), "text")
+    return own.unionByName(spark.createDataFrame(rows, "doc_id long, text string"))
 
 
 def conversations_masked(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    return M.mask(core_engine(), turns).select("conv_id", "turn", "role", "masked")
+    return _masked(patterns_engine(template="[{label}]"), turns(spark, sf_dir))
 
 
 def customers_masked(spark, sf_dir):
@@ -186,63 +223,256 @@ def custom_rules(spark, sf_dir):
 
 
 SEARCH = Q.Query("licen[cs]e", pattern=True)
+SEARCH_SQL = oracle.pattern_sql("(?i)licen[cs]e", "SELECT doc_id, text FROM documents")
 
 
 def search_hits(spark, sf_dir):
-    return Q.search(documents(spark, sf_dir), SEARCH, "doc_id").select("doc_id", "start", "end", "line", "column", "snippet")
+    return Q.search(documents(spark, sf_dir), SEARCH, "doc_id").select("doc_id", "start", "end", "line", "column", "snippet", "truncated")
+
+
+def search_summary(spark, sf_dir):
+    return Q.totals(documents(spark, sf_dir), SEARCH)
+
+
+def detection_filter(spark, sf_dir):
+    """Detections whose value matches a query."""
+    return _rows(spark, sf_dir).filter(Q.matches(Q.Query("corp"), F.col("original"))).select("doc_id", "id", "start", "original")
 
 
 def span_places(spark, sf_dir):
-    return _rows(spark, sf_dir, core_engine()).select("doc_id", "id", "start", "end", "byte_start", "byte_end", "line", "column", "confidence", "original")
+    return _rows(spark, sf_dir).select("doc_id", "id", "start", "end", "byte_start", "byte_end", "line", "column", "confidence", "original")
+
+
+def check_gate(spark, sf_dir):
+    """The gate of four inputs, one of which holds nothing."""
+    inputs = {
+        "documents": documents(spark, sf_dir), "examples": with_examples(spark, sf_dir).filter("doc_id < 0"), "conversations": spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text"),
+        "nations": spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_name").alias("text")),
+    }
+    parts = [R.gate(M.span_rows(Engine(OPEN.only(*SOME)), df, [])).select(F.lit(name).alias("input"), "found", "exit_code") for name, df in inputs.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def allowlist_default(spark, sf_dir):
+    """The default allowlist: what is under its domains goes, what is not stays."""
+    return candidate_rows(Engine(Config().only("email", "hostname", "url")), with_examples(spark, sf_dir))
+
+
+def exclusions(spark, sf_dir):
+    """Values that one run leaves out, in either case."""
+    docs = with_examples(spark, sf_dir).withColumn("out", F.array(F.lit("to mail1.example.com"), F.lit("ann@site.org"), F.lit("10.20.30.40")))
+    found = Engine(OPEN.only("email", "ipv4")).detect(docs, extra_col="out")
+    x = found.select("doc_id", S.clean(F.col("text")).alias("t"), F.explode("spans").alias("x"))
+    return x.select("doc_id", F.col("x.start").alias("start"), S.value_of(F.col("t"), F.col("x")).alias("value"))
+
+
+def aligned_lines(spark, sf_dir):
+    """Lines of a text and of its masked form side by side; a key of several lines becomes one."""
+    df = spark.createDataFrame([(k, t) for k, t in ALIGNED], "k int, text string")
+    found = M.mask(Engine(OPEN.only("private_key", "email").changed(template="[{label}]")), df)
+    return found.select("k", F.explode(R.aligned(F.col("text"), F.col("masked"), F.col("replacements"))).alias("x")).select("k", "x.left", "x.right")
+
+
+def line_maps(spark, sf_dir):
+    df = spark.createDataFrame([(k, t) for k, t in ALIGNED], "k int, text string")
+    return R.line_maps(M.mask(Engine(OPEN.only("private_key", "email").changed(template="[{label}]")), df), "k")
+
+
+def diagnosis(spark, sf_dir):
+    """What a report of the environment says about the settings."""
+    config = OPEN.only("email").changed(allow_values=("secret value",), hash_salt="secret salt", rules=(Rule("r", "x"),))
+    rows = [r for r in settings.diagnose(spark, config) if r[0] in ("detectors on", "custom rules", "keyword groups", "allowlist", "hash salt", "warnings")]
+    return spark.createDataFrame(rows, "what string, value string")
+
+
+KEY = "-----BEGIN PRIVATE KEY-----\nAA\nBB\n-----END PRIVATE KEY-----"
+ALIGNED = ((1, f"a\n{KEY}\nb a@b.co\nc"), (2, "x@y.co\nno\n"), (3, "none"), (4, f"{KEY} {KEY}\nend"))
+#: What it has to be: (k, left, right).
+ALIGNED_ROWS = (
+    (1, 1, 1), (1, 2, 2), (1, 3, None), (1, 4, None), (1, 5, None), (1, 6, 3), (1, 7, 4), (2, 1, 1), (2, 2, 2), (2, 3, 3), (3, 1, 1),
+    (4, 1, 1), (4, 2, None), (4, 3, None), (4, 4, None), (4, 5, None), (4, 6, None), (4, 7, None), (4, 8, 2),
+)
+
+
+def values_sql(rows, *columns: str) -> str:
+    """A table of fixed rows: (name, type) as "name type"."""
+    cell = lambda x: "NULL" if x is None else _lit(x) if isinstance(x, str) else str(x)
+    names = ", ".join(f'CAST(c{i} AS {c.split(" ", 1)[1]}) AS "{c.split(" ", 1)[0]}"' for i, c in enumerate(columns))
+    return f"SELECT {names} FROM (VALUES " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ") AS t(" + ", ".join(f"c{i}" for i in range(len(columns))) + ")"
+
+
+def golden(spark, sf_dir):
+    """Masked texts of the golden rows, each with its settings."""
+    by: dict[str, list[tuple[int, str]]] = {}
+    for i, (settings, text, _) in enumerate(goldens.GOLDENS):
+        by.setdefault(settings, []).append((i, text))
+    parts = []
+    for settings, rows in by.items():
+        engine = Engine(loads(settings)) if settings else Engine(OPEN)
+        parts.append(M.mask(engine, spark.createDataFrame(rows, "row int, text string")).select("row", "masked"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def names_golden(spark, sf_dir):
+    """What the detectors with a lexicon find in the golden rows, without a threshold for names without a cue."""
+    df = spark.createDataFrame([(i, d, t) for i, (d, t, _) in enumerate(goldens.NAMES)], "row int, id string, text string")
+    engine = Engine(OPEN.only("person_name", "company_jp", "place_name").changed(dictionary_threshold=0.0))
+    x = engine.detect(df, resolve=False).select("row", "id", "text", F.explode("spans").alias("x"))
+    own = x.filter(engine.meta(F.col("x.det"))["id"] == F.col("id"))
+    return own.select("row", "id", S.value_of(F.col("text"), F.col("x")).alias("value"), F.col("x.conf").alias("confidence"))
+
+
+def settings_golden(spark, sf_dir):
+    return spark.createDataFrame(goldens.settings_cases(), "case string, key string, value string")
+
+
+def _golden_files(spark) -> DataFrame:
+    rows = [(p, p, bytearray(b)) for p, b in goldens.files()]
+    return spark.createDataFrame(rows, "path string, rel string, content binary")
+
+
+def files_read(spark, sf_dir):
+    """Texts, encodings and places of the golden files; one that can't be read has an error."""
+    got = files.read_documents(_golden_files(spark))
+    labels = F.array_join(F.transform("locations", lambda x: x["label"]), "|")
+    return got.select("path", "kind", "encoding", "text", labels.alias("places"), F.col("error").isNotNull().alias("failed"))
+
+
+def files_masked(spark, sf_dir):
+    """The golden files masked, written to bytes, and read again."""
+    engine = Engine(OPEN.only("email", "phone_jp", "ipv4").changed(template="[{label}]"))
+    again = files.masked_files(_golden_files(spark), engine).select(F.col("rel").alias("path"), "out_rel", F.col("masked").alias("content"))
+    return files.read_documents(again.filter("content IS NOT NULL")).select("path", "out_rel", "text")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f"det_{d.id}": detector_query(d.id) for d in CATALOG}
 QUERIES |= {
     "stats_by_detector": stats_by_detector,
     "stats_by_category": stats_by_category,
-    "stats_grouping_sets": lambda s, d: R.statistics(_rows(s, d, core_engine())),
+    "stats_grouping_sets": lambda s, d: R.statistics(_rows(s, d)),
+    "stats_names": stats_names,
+    "counts_by_document": counts_by_document,
+    "batch_summary": batch_summary,
     "span_places": span_places,
     "mask_default": lambda s, d: _masked(Engine(OPEN), with_examples(s, d)),
-    "mask_core_label": lambda s, d: _masked(core_engine(template="[{label}]"), documents(s, d)),
-    "mask_shape": lambda s, d: _masked(Engine(OPEN.changed(template="{shape:x:2}")), with_examples(s, d)),
-    "mask_fill": lambda s, d: _masked(Engine(OPEN.changed(template="{fill:*}")), with_examples(s, d)),
-    "mask_hash": lambda s, d: _masked(Engine(OPEN.changed(template="{label}_{hash:12}")), with_examples(s, d)),
+    "mask_patterns": lambda s, d: _masked(patterns_engine(), with_examples(s, d)),
+    "mask_core_label": lambda s, d: _masked(patterns_engine(template="[{label}]"), with_examples(s, d)),
+    "mask_shape": lambda s, d: _masked(patterns_engine(template="{shape:x:2}"), with_examples(s, d)),
+    "mask_fill": lambda s, d: _masked(patterns_engine(template="{fill:*}"), with_examples(s, d)),
+    "mask_parts": lambda s, d: _masked(patterns_engine(template="{{{id}:{len}:{prefix:2}..{suffix:3}}}"), with_examples(s, d)),
+    "mask_hash": lambda s, d: _masked(patterns_engine(template="{label}_{hash:12}"), with_examples(s, d)),
     "mask_fake": lambda s, d: _masked(Engine(OPEN.changed(template="{fake}")), with_examples(s, d)),
-    "mask_shared": lambda s, d: M.mask_shared(core_engine(), documents(s, d), "doc_id", "doc_id").select("doc_id", "masked"),
+    "mask_shared": lambda s, d: M.mask_shared(patterns_engine(), with_examples(s, d), "doc_id", "doc_id").select("doc_id", "masked"),
+    "mask_golden": golden,
+    "names_golden": names_golden,
+    "settings_golden": settings_golden,
+    "files_read": files_read,
+    "files_masked": files_masked,
     "numbering_shared": numbering_shared,
     "numbering_per_doc": numbering_per_doc,
-    "allowlist_default": lambda s, d: candidate_rows(Engine(Config().only("email", "hostname")), documents(s, d)),
-    "allowlist_patterns": lambda s, d: candidate_rows(Engine(OPEN.only("email").changed(allow_patterns=(r".*@mail[0-4]\..*",), allow_values=("x@y.zz",))), documents(s, d)),
-    "overlap_raw": lambda s, d: candidate_rows(Engine(OPEN), with_examples(s, d)),
-    "overlap_resolved": lambda s, d: M.span_rows(Engine(OPEN), with_examples(s, d), ["doc_id"]).select("doc_id", "id", "start", "end", "original"),
+    "out_offsets": out_offsets,
+    "aligned_lines": aligned_lines,
+    "line_maps": line_maps,
+    "diagnosis": diagnosis,
+    "allowlist_default": allowlist_default,
+    "allowlist_patterns": lambda s, d: candidate_rows(Engine(OPEN.only("email").changed(allow_patterns=(r".*@mail[0-4]\..*",), allow_values=("ANN@site.org",))), with_examples(s, d)),
+    "exclusions": exclusions,
+    "overlap_raw": lambda s, d: candidate_rows(patterns_engine(), with_examples(s, d)),
+    "overlap_resolved": lambda s, d: _rows(s, d).select("doc_id", "id", "start", "end", "original"),
     "profile_strict": lambda s, d: _masked(Engine(resolve({"allowlist": {"domains": []}}, "strict")), with_examples(s, d)),
+    "profile_strict_patterns": lambda s, d: _masked(Engine(resolve({"allowlist": {"domains": []}}, "strict").only(*STRICT)), with_examples(s, d)),
     "profile_log_share": lambda s, d: _masked(Engine(resolve({"allowlist": {"domains": []}}, "log_share")), with_examples(s, d)),
-    "check_gate": lambda s, d: R.gate(_rows(s, d, core_engine())),
+    "check_gate": check_gate,
     "search_hits": search_hits,
-    "search_summary": lambda s, d: Q.summary(search_hits(s, d), "doc_id"),
+    "search_summary": search_summary,
+    "detection_filter": detection_filter,
     "keyword_groups": keyword_groups,
     "custom_rules": custom_rules,
     "pages_spans": pages_spans,
     "conversations_masked": conversations_masked,
     "customers_masked": customers_masked,
     "labels_spans": with_labels,
-    "json_report": lambda s, d: R.json_report(core_engine(), documents(s, d), "doc_id"),
-    "csv_report": lambda s, d: R.csv_rows(core_engine(), documents(s, d), "doc_id"),
-    "listing": lambda s, d: R.listing(_rows(s, d, core_engine()), "doc_id"),
-    "difference": lambda s, d: R.difference(M.mask(core_engine(), documents(s, d)), "doc_id"),
+    "json_report": lambda s, d: R.json_report(patterns_engine(), with_examples(s, d), "doc_id"),
+    "csv_report": lambda s, d: R.csv_rows(patterns_engine(template="[{label}]"), with_examples(s, d), "doc_id"),
+    "listing": lambda s, d: R.listing(_rows(s, d), "doc_id"),
+    "difference": lambda s, d: R.difference(M.mask(patterns_engine(template="[{label}]"), documents(s, d)), "doc_id"),
     "list_detectors": lambda s, d: list_detectors(s),
     "list_categories": lambda s, d: list_categories(s),
 }
+#: Patterns that the profile for strict masking runs.
+STRICT = tuple(x for x in PATTERNS if resolve({}, "strict").detector_enabled(x))
 
 ORACLES: dict[str, str] = {f"det_{d.id}": oracle.detector_sql(d.id, SOURCE_SQL) for d in CATALOG if oracle.expressible(d)}
-#: The core detectors but phone_intl in one table; their candidates do not overlap in the tables, so none has to give way.
+_ALL = oracle.Catalog(list(PATTERNS), SOURCE_SQL)
+_T, _S = "text", "s"
+_SNIPPET = (
+    """(CASE WHEN "start" > 30 THEN '…' ELSE '' END) || translate(substr(text, greatest("start" - 30, 0) + 1, least("end" + 30, length(text)) - greatest("start" - 30, 0)), chr(13) || chr(10) || chr(9), '   ') """
+    """|| (CASE WHEN "end" + 30 < length(text) THEN '…' ELSE '' END)"""
+)
+_HOST = r"regexp_extract(regexp_replace(regexp_replace(lower(value), '\A(?s:.*)@', ''), '\A(?s:.*?)://', ''), '\A([^/:?#]*)', 1)"
+_UNDER = " OR ".join(f"{_HOST} = '{h}' OR {_HOST} LIKE '%.{h}'" for h in DOMAINS)
+
+
+def _candidates(*ids: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({ORACLES['det_' + x]})" for x in ids)
+
+
 ORACLES |= {
-    "check_gate": "SELECT count(*) > 0 AS found, CAST(count(*) > 0 AS INTEGER) AS exit_code FROM (" + oracle.detector_sql("ipv4") + ")",
-    "customers_masked": "SELECT c_custkey, 'Customer#[CUST:' || right(c_name, 3) || ']' AS c_name FROM customer",
+    "stats_by_detector": _ALL.spans("id, count(*) AS n, count(DISTINCT doc_id) AS docs") + " GROUP BY id",
+    "stats_by_category": _ALL.spans("category, count(*) AS n") + " GROUP BY category",
+    "stats_grouping_sets": _ALL.spans("CASE WHEN id IS NOT NULL THEN 'detector' WHEN category IS NOT NULL THEN 'category' ELSE 'total' END AS kind, coalesce(id, category, 'total') AS name, count(*) AS n") + " GROUP BY GROUPING SETS ((id), (category), ())",
+    "counts_by_document": _ALL.spans("doc_id, id, count(*) AS n") + " GROUP BY doc_id, id",
+    "batch_summary": _ALL.with_() + " SELECT (SELECT count(*) FROM source) AS files, (SELECT count(*) FROM span) AS detections, (SELECT count(*) FROM source WHERE doc_id % 50 = 0) AS errors",
+    "span_places": _ALL.spans(f'doc_id, id, s AS "start", e AS "end", CAST(strlen(left(text, s)) AS INTEGER) AS byte_start, CAST(strlen(left(text, e)) AS INTEGER) AS byte_end, {oracle.line(_T, _S)} AS line, {oracle.column(_T, _S)} AS "column", conf AS confidence, v AS original'),
+    "mask_patterns": _ALL.masked("'<' || label || '_' || n || '>'"),
+    "mask_core_label": _ALL.masked("'[' || label || ']'"),
+    "mask_shape": _ALL.masked(oracle.shape("v", "x", 2)),
+    "mask_fill": _ALL.masked("repeat('*', length(v))"),
+    "mask_parts": _ALL.masked("'{' || id || ':' || length(v) || ':' || left(v, 2) || '..' || right(v, 3) || '}'"),
+    "mask_hash": _ALL.masked(f"label || '_' || left({oracle.hmac_hex('label || chr(58) || v')}, 12)"),
+    "mask_shared": _ALL.masked("'<' || label || '_' || n || '>'", "doc_id, masked", shared=True),
+    "numbering_shared": f"{_ALL.with_(_ALL.numbers(True))} SELECT DISTINCT label, norm AS norm_value, n FROM numbered",
+    "numbering_per_doc": f'{_ALL.with_(_ALL.numbers(False))} SELECT doc_id, s AS "start", label, norm AS norm_value, n FROM numbered',
+    "out_offsets": _ALL.with_("cut AS (SELECT *, '[' || label || ']' AS r FROM span)")
+    + ' SELECT doc_id, s AS "start", e AS "end", CAST(s + shift AS INTEGER) AS out_start, CAST(s + shift + length(r) AS INTEGER) AS out_end, r AS replacement '
+    "FROM (SELECT *, coalesce(sum(length(r) - (e - s)) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM cut)",
+    "aligned_lines": values_sql(ALIGNED_ROWS, "k INTEGER", "left INTEGER", "right INTEGER"),
+    "mask_golden": values_sql([(i, want) for i, (_, _, want) in enumerate(goldens.GOLDENS)], "row INTEGER", "masked VARCHAR"),
+    "names_golden": values_sql([(i, d, v, c) for i, (d, _, found) in enumerate(goldens.NAMES) for v, c in found], "row INTEGER", "id VARCHAR", "value VARCHAR", "confidence DOUBLE"),
+    "settings_golden": values_sql(goldens.SETTINGS, "case VARCHAR", "key VARCHAR", "value VARCHAR"),
+    "files_read": values_sql([(p, k, e, t, at, str(t is None).lower()) for p, k, e, t, _, at in goldens.FILES], "path VARCHAR", "kind VARCHAR", "encoding VARCHAR", "text VARCHAR", "places VARCHAR", "failed BOOLEAN"),
+    "files_masked": values_sql([(p, formats.output_name(p), m) for p, _, _, _, m, _ in goldens.FILES if m is not None], "path VARCHAR", "out_rel VARCHAR", "text VARCHAR"),
+    "line_maps": "WITH a AS (" + values_sql([(i, *r) for i, r in enumerate(ALIGNED_ROWS)], "i INTEGER", "k INTEGER", "l INTEGER", "r INTEGER") + "), "
+    "c AS (SELECT *, last_value(l IGNORE NULLS) OVER w AS cl, last_value(r IGNORE NULLS) OVER w AS cr FROM a WINDOW w AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) "
+    "SELECT k, 'left' AS side, l AS line, cr AS other FROM c WHERE l IS NOT NULL UNION ALL SELECT k, 'right', r, cl FROM c WHERE r IS NOT NULL",
+    "diagnosis": values_sql([("detectors on", "1"), ("custom rules", "1"), ("keyword groups", "0"), ("allowlist", "1 values, 0 patterns, 0 domains"), ("hash salt", "set"), ("warnings", "0")], "what VARCHAR", "value VARCHAR"),
+    "allowlist_default": f'SELECT * FROM ({_candidates("email", "hostname", "url")}) WHERE NOT ({_UNDER})',
+    "allowlist_patterns": f"SELECT * FROM ({_candidates('email')}) WHERE NOT regexp_matches(value, '\\A(?:.*@mail[0-4]\\..*)\\z') AND lower(value) <> 'ann@site.org'",
+    "exclusions": f"""SELECT doc_id, "start", value FROM ({_candidates("email", "ipv4")}) WHERE lower(value) NOT IN ('to mail1.example.com', 'ann@site.org', '10.20.30.40')""",
+    "overlap_raw": _ALL.candidates(),
+    "overlap_resolved": _ALL.spans('doc_id, id, s AS "start", e AS "end", v AS original'),
+    "profile_strict_patterns": oracle.Catalog(list(STRICT), SOURCE_SQL, 0.4).masked("'[' || label_ja || ']'", shared=None),
+    "check_gate": "SELECT input, n > 0 AS found, CAST(n > 0 AS INTEGER) AS exit_code FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{name}' AS input, (SELECT count(*) FROM ({' UNION ALL '.join('SELECT doc_id FROM (' + oracle.detector_sql(x, source) + ')' for x in SOME)})) AS n"
+        for name, source in (("documents", "SELECT doc_id, text FROM documents"), ("examples", EXAMPLE_SQL), ("conversations", "SELECT conv_id AS doc_id, text FROM conversations"), ("nations", "SELECT n_nationkey AS doc_id, n_name AS text FROM nation"))
+    ) + ")",
+    "search_hits": f'SELECT doc_id, "start", "end", {oracle.line("text", chr(34) + "start" + chr(34))} AS line, {oracle.column("text", chr(34) + "start" + chr(34))} AS "column", {_SNIPPET} AS snippet, k > 200 AS truncated '
+    f'FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY "start") AS i, count(*) OVER (PARTITION BY doc_id) AS k FROM ({SEARCH_SQL})) WHERE i <= 200',
+    "search_summary": r"SELECT CAST(sum(len(regexp_extract_all(text, '(?i)licen[cs]e'))) AS BIGINT) AS hits, count(*) AS files FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e')",
+    "detection_filter": _ALL.spans('doc_id, id, s AS "start", v AS original') + " WHERE regexp_matches(v, '(?i)corp')",
     "keyword_groups": r"SELECT doc_id, len(regexp_extract_all(text, '(?i)\b(?:apache license|license|the)\b')) AS n FROM documents WHERE regexp_matches(text, '(?i)\b(?:apache license|license|the)\b')",
-    "allowlist_default": "SELECT doc_id, 0 AS \"start\", 0 AS \"end\", 0.0::DOUBLE AS confidence, '' AS value FROM documents WHERE false",
+    "custom_rules": f'SELECT doc_id, "start", "end", confidence, value FROM ({oracle.pattern_sql("(?i)version (?<v>[0-9.]+)", "SELECT doc_id, text FROM documents")})',
+    "pages_spans": oracle.Catalog(list(PATTERNS), PAGES_SQL).with_() + " SELECT v AS value, count(*) AS n FROM cand GROUP BY v",
+    "conversations_masked": oracle.Catalog(list(PATTERNS), TURNS_SQL).masked("'[' || label || ']'"),
+    "customers_masked": "SELECT c_custkey, 'Customer#[CUST:' || right(c_name, 3) || ']' AS c_name FROM customer",
+    "labels_spans": _ALL.with_("per AS (SELECT doc_id, count(*) AS k FROM span GROUP BY doc_id)")
+    + " SELECT quality, toxic, count(*) AS docs, count(k) AS with_spans, CAST(coalesce(sum(k), 0) AS BIGINT) AS spans FROM labels LEFT JOIN per USING (doc_id) GROUP BY quality, toxic",
+    "csv_report": _ALL.spans(f"""doc_id AS file, {oracle.line(_T, _S)} AS line, {oracle.column(_T, _S)} AS "column", id, category, name, round(conf, 2) AS confidence, '[' || label || ']' AS replacement"""),
+    "listing": _ALL.spans(f"""doc_id, s AS "start", format('{{}}:{{}}:{{}}: {{}} [{{}}] {{:.2f}}', doc_id, {oracle.line(_T, _S)}, {oracle.column(_T, _S)}, id, name, conf) AS line_text"""),
+    "difference": "SELECT doc_id, CAST(i AS INTEGER) AS line, a AS old, b AS new FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS a, unnest(string_split(masked, chr(10))) AS b, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM ("
+    + oracle.Catalog(list(PATTERNS)).masked("'[' || label || ']'", "doc_id, text, masked") + ")) WHERE a <> b",
     "list_detectors": "SELECT * FROM (VALUES " + ", ".join(f"({i}::INTEGER, {_lit(d.id)}, {_lit(d.category)}, {_lit(d.label)}, {_lit(d.label_ja)}, {_lit(d.name_en)}, {_lit(d.name_ja)}, {d.priority}::INTEGER, {str(d.enabled).lower()}, {str(d.enabled).lower()})" for i, d in enumerate(CATALOG)) + ") AS t(det_index, id, category, label, label_ja, name_en, name_ja, priority, default_enabled, enabled)",
-    "search_summary": r"SELECT CAST(sum(least(len(regexp_extract_all(text, '(?i)licen[cs]e')), 200)) AS BIGINT) AS hits, count(*) AS files FROM documents WHERE regexp_matches(text, '(?i)licen[cs]e')",
-    "conversations_masked": "SELECT conv_id, turn, role, text AS masked FROM conversations",
+    "list_categories": "SELECT * FROM (VALUES " + ", ".join(f"({_lit(i)}, {_lit(en)}, {_lit(ja)}, true)" for i, en, ja in CATEGORIES) + ") AS t(id, name_en, name_ja, enabled)",
 }
 assert set(EXAMPLES) == set(BY_ID)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from maskwright.operators import mask as M
 from maskwright.plans.config import Config
 from maskwright.plans.engine import Engine
+from maskwright.plans.storage import stored
 from maskwright.sources import formats
 
 DOCUMENT = "text string, kind string, encoding string, bom boolean, warnings array<string>, properties array<struct<label:string,value:string>>, locations array<struct<offset:int,label:string>>, error string"
@@ -27,7 +28,7 @@ def globs(patterns: tuple[str, ...], name: Column) -> Column:
 
 
 def list_files(spark: SparkSession, root: str, config: Config | None = None, recursive: bool = True, out_dir: str | None = None) -> DataFrame:
-    """path, rel, content of the files that the settings include, without earlier outputs. rel orders documents."""
+    """path, rel, content of the files that the settings include, without earlier outputs, by rel."""
     c = config or Config()
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
     base = root.rstrip("/").removeprefix("file://")
@@ -38,7 +39,13 @@ def list_files(spark: SparkSession, root: str, config: Config | None = None, rec
     files = raw.select("path", rel.alias("rel"), "content", "length").filter(globs(c.include, name) & ~globs(c.exclude, name))
     if suffix:
         files = files.filter(~(stem.endswith(suffix) | name.contains(suffix + ".")))
-    return files.filter(~F.col("path").contains(out_dir.rstrip("/") + "/")) if out_dir else files
+    files = files.filter(~F.col("path").contains(out_dir.rstrip("/") + "/")) if out_dir else files
+    return files.orderBy("rel")
+
+
+def list_file(spark: SparkSession, path: str) -> DataFrame:
+    """path, rel, content, length of one file."""
+    return spark.read.format("binaryFile").load(path).select("path", F.substring_index("path", "/", -1).alias("rel"), "content", "length")
 
 
 def read_documents(files: DataFrame, forced: str | None = None) -> DataFrame:
@@ -76,9 +83,13 @@ def _fields() -> list[str]:
 
 
 def masked_files(files: DataFrame, engine: Engine, forced: str | None = None) -> DataFrame:
-    """rel, out_rel, masked binary, n, error: the masked bytes of each file."""
+    """rel, source, out_rel, masked binary, n, error: the masked bytes of each file."""
     c = engine.config
-    found = M.mask(engine, read_documents(files, forced))
+    opened = read_documents(files, forced)
+    if c.properties == "mask":  # values of properties go on behind the text, so that equal values have equal numbers
+        own = F.array_join(F.transform("properties", lambda x: F.replace(x["value"], F.lit("\n"), F.lit(" "))), "\n")
+        opened = opened.withColumn("text", F.when(F.size("properties") > 0, F.concat("text", F.lit("\n"), own)).otherwise(F.col("text")))
+    found = M.mask(engine, opened)
     pieces = F.transform("replacements", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["replacement"].alias("replacement")))
     properties = "clear" if c.properties == "ask" else c.properties
 
@@ -96,27 +107,43 @@ def masked_files(files: DataFrame, engine: Engine, forced: str | None = None) ->
         return pa.array([formats.output_name(p, c.suffix) for p in paths.to_pylist()])
 
     done = found.withColumn("__w", F.arrow_udf(write, "struct<masked: binary, error: string>").asNondeterministic()("path", "content", pieces, "error"))
-    return done.select("rel", F.arrow_udf(rename, "string")("rel").alias("out_rel"), F.col("__w.masked").alias("masked"), F.size("replacements").alias("n"), F.col("__w.error").alias("error"))
+    return done.select("rel", F.col("path").alias("source"), F.arrow_udf(rename, "string")("rel").alias("out_rel"), F.col("__w.masked").alias("masked"), F.size("replacements").alias("n"), F.col("__w.error").alias("error"))
 
 
 def write_files(masked: DataFrame, out_dir: str) -> DataFrame:
-    """Writes each masked file under out_dir, a folder that the executors share, and returns rel, out_path, n, error."""
+    """Writes each masked file under out_dir, in any file system that Spark reads, and returns rel, out_path, n, error. The
+    files are there when it returns; an error row has no file. A file that is read is never written over."""
+    spark = masked.sparkSession
     root = out_dir.rstrip("/")
-
-    def save(rels: pa.Array, contents: pa.Array) -> pa.Array:
-        import os
-
-        out = []
-        for r, b in zip(rels.to_pylist(), contents.to_pylist(), strict=True):
-            if b is None:
-                out.append(None)
-                continue
-            path = os.path.join(root, r)
-            os.makedirs(os.path.dirname(path), exist_ok=True)
-            with open(path + ".part", "wb") as f:
-                f.write(b)
-            os.replace(path + ".part", path)  # a task that runs again writes the same file
-            out.append(path)
-        return pa.array(out, pa.string())
-
-    return masked.withColumn("out_path", F.arrow_udf(save, "string").asNondeterministic()("out_rel", "masked")).select("rel", "out_path", "n", "error")
+    placed = F.when(F.col("masked").isNotNull() & (F.col("error").isNull()), F.concat(F.lit(root + "/"), F.col("out_rel")))
+    same = F.col("source").isNotNull() & (_plain(F.col("source")) == _plain(placed)) if "source" in masked.columns else F.lit(False)
+    rows = masked.withColumn("out_path", F.when(~F.coalesce(same, F.lit(False)), placed))
+    rows = rows.withColumn("error", F.coalesce("error", F.when(same, "the output would replace the input")))
+    held = stored(rows.select("rel", "out_path", "n", "error", F.when(F.col("out_path").isNotNull(), F.col("masked")).alias("masked")), "masked-files")
+    save(held.filter("out_path IS NOT NULL").select("out_path", "masked"))
+    return held.select("rel", "out_path", "n", "error")
+
+
+def _plain(path: Column) -> Column:
+    return F.regexp_replace(path, r"\A[a-z]+:/*", "/")
+
+
+def save(files: DataFrame) -> None:
+    """An action that writes files (out_path, masked) from the executors. Each goes to a name of its own first, so that a
+    task that runs again, or twice at once, leaves whole files."""
+    import os
+    import uuid
+
+    from pyarrow import fs
+
+    def write(rows) -> None:
+        for path, data in rows:
+            target = str(path)
+            system, target = fs.FileSystem.from_uri(target if "://" in target else "file://" + target.removeprefix("file:"))
+            part = f"{target}.{uuid.uuid4().hex}.part"
+            system.create_dir(os.path.dirname(target), recursive=True)
+            with system.open_output_stream(part) as f:
+                f.write(bytes(data))
+            system.move(part, target)
+
+    files.foreachPartition(write)

@@ -10,17 +10,14 @@ import io
 import re
 import struct
 import unicodedata
-import zipfile
 from dataclasses import dataclass, field
 from email.message import EmailMessage
 from html import unescape
-from xml.sax.saxutils import escape
 
-from maskwright.sources import encoding
+from maskwright.sources import encoding, office
 
-KINDS = {"eml": "eml", "docx": "docx", "xlsx": "xlsx", "pptx": "pptx", "pdf": "pdf", "msg": "msg"}
-OLE = b"\xd0\xcf\x11\xe0"
-PART_LIMIT = 256 << 20
+KINDS = {"eml": "eml", "docx": "docx", "docm": "docx", "xlsx": "xlsx", "xlsm": "xlsx", "pptx": "pptx", "pptm": "pptx", "pdf": "pdf", "msg": "msg"}
+NOT_IN_NAMES = re.compile(r'[\\"<>@,;:]')
 HEADERS = ("Subject", "From", "To", "Cc", "Reply-To", "Date")
 
 
@@ -33,6 +30,9 @@ class Document:
     warnings: list[str] = field(default_factory=list)
     properties: list[tuple[str, str]] = field(default_factory=list)
     locations: list[tuple[int, str]] = field(default_factory=list)
+    fields: list[tuple[str, int, int]] = field(default_factory=list)  # of a mail: header, body or attachment, and its text
+    property_nodes: list[tuple[str, int, int]] = field(default_factory=list)  # part and span of each property
+    phonetic: list[tuple[str, list, list]] = field(default_factory=list)  # part, spans of a string, spans of how it is read
     nodes: list[tuple[int, int, str, int, int]] = field(default_factory=list)  # text start and end, part, and its span there
 
 
@@ -66,6 +66,11 @@ class Builder:
         self.out.append(s)
         self.at += len(s)
 
+    def property(self, label: str, part: str, xml: str, span: tuple[int, int]) -> None:
+        if (v := unescape(xml[slice(*span)])).strip():
+            self.doc.properties.append((label, v))
+            self.doc.property_nodes.append((part, *span))
+
     def newline(self) -> None:
         if self.out and not self.out[-1].endswith("\n"):
             self.push("\n")
@@ -82,25 +87,37 @@ class Builder:
 
 
 def open_mail(data: bytes) -> Document:
+    """Headers, body and names of attachments; where each is in the text is kept, so that writing need not guess."""
     m = email.message_from_bytes(data, policy=email.policy.default)
     doc = Document("eml")
     b = Builder(doc)
+
+    def field_(kind: str, text: str) -> None:
+        doc.fields.append((kind, b.at, b.at + len(text)))
+        b.push(text)
+
     for h in HEADERS:
         if m[h]:
             b.place(h)
-            b.push(f"{h}: {m[h]}\n")
+            b.push(f"{h}: ")
+            field_(h, " ".join(str(m[h]).split()))
+            b.push("\n")
     body = m.get_body(("plain", "html"))
     if body is not None:
         b.place("body")
         text = body.get_content()
         if body.get_content_type() == "text/html":
             text = plain_html(text)
-        b.push(text.replace("\r\n", "\n"))
+            doc.warnings.append("the body is written as plain text")
+        field_("body", text.replace("\r\n", "\n"))
         b.newline()
     for i, part in enumerate(m.iter_attachments(), 1):
         b.place(f"attachment {i}")
-        b.push(f"Attachment: {part.get_filename() or f'attachment-{i}'}\n")
-        doc.warnings.append("attachments are not read")
+        b.push("Attachment: ")
+        field_("attachment", (part.get_filename() or f"attachment-{i}").replace("\n", " "))
+        b.push("\n")
+    if any(k == "attachment" for k, _, _ in doc.fields):
+        doc.warnings.append("attachments are not read and not written")
     return b.done()
 
 
@@ -110,136 +127,25 @@ def plain_html(text: str) -> str:
     return unescape(re.sub(r"<[^>]*>", "", text))
 
 
-def write_mail(data: bytes, masked: str) -> bytes:
-    """A new mail from the masked text: its headers and body; addresses that were masked go to an invalid domain."""
-    lines, out, headers = masked.split("\n"), EmailMessage(policy=email.policy.SMTP), {}
-    while lines and (m := re.match(rf"({'|'.join(HEADERS)}): (.*)", lines[0])):
-        headers[m[1]] = m[2]
-        lines.pop(0)
-    attachments = [x for x in lines if x.startswith("Attachment: ")]
-    for h in ("Subject", "Date"):
-        if h in headers:
-            out[h] = headers[h]
-    for h in ("From", "To", "Cc"):
-        if h in headers:
-            out[h] = f'"{re.sub(r"[^A-Za-z0-9_. -]", "", headers[h]) or "undisclosed"}" <undisclosed@masked.invalid>'
-    for i, _ in enumerate(attachments, 1):
-        out[f"X-Attachment-{i}"] = f"attachment-{i}"
-    out.set_content("\n".join(x for x in lines if not x.startswith("Attachment: ")), cte="base64")
+def write_mail(doc: Document, replacements: list[tuple[int, int, str]]) -> bytes:
+    """A new mail from the masked fields. Addresses go to an invalid domain; of attachments a number and the extension stay."""
+    out = EmailMessage(policy=email.policy.SMTP)
+    new = split_output(replacements, [(s, e) for _, s, e in doc.fields], doc.text)
+    fields = [(kind, text) for (kind, _, _), text in zip(doc.fields, new, strict=True)]
+    for kind, text in fields:
+        plain = " ".join(text.split())
+        if kind in ("Subject", "Date"):
+            out[kind] = plain
+        elif kind in HEADERS:
+            # what may end a display name, or begin an address, goes
+            out[kind] = f'"{NOT_IN_NAMES.sub(" ", plain).strip() or "undisclosed"}" <undisclosed@masked.invalid>'
+    for i, name in enumerate((t for k, t in fields if k == "attachment"), 1):
+        ext = re.search(r"\.([A-Za-z0-9]{1,5})\Z", name)
+        out[f"X-Removed-Attachment-{i}"] = f"attachment-{i}.{ext[1].lower() if ext else 'bin'}"
+    out.set_content("".join(t for k, t in fields if k == "body"), cte="base64")
     return out.as_bytes()
 
 
-# ---- office files ----
-
-TEXT = {"docx": ("w:t",), "pptx": ("a:t",)}
-LINES = {"docx": ("w:p", "w:br", "w:tab"), "pptx": ("a:p", "a:br")}
-TAG = re.compile(r"<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<[^>]*>", re.S)
-PROPERTIES = ("dc:creator", "cp:lastModifiedBy", "dc:title", "dc:subject", "dc:description", "cp:keywords", "Company", "Manager")
-
-
-def natural(name: str) -> list:
-    return [int(x) if x.isdigit() else x for x in re.split(r"(\d+)", name)]
-
-
-def elements(xml: str):
-    """(tag name, whether it closes, start, end) of each tag; comments, CDATA and instructions are passed over."""
-    for m in TAG.finditer(xml):
-        if m[0][:2] in ("<!", "<?"):
-            continue
-        name = re.match(r"</?([^\s/>]+)", m[0])
-        if name:
-            yield name[1], m[0][1] == "/", m[0].endswith("/>"), m.start(), m.end()
-
-
-def body_part(b: Builder, part: str, xml: str, kind: str) -> None:
-    start = None
-    for name, closing, single, s, e in elements(xml):
-        if name in TEXT[kind]:
-            if closing and start is not None:
-                b.push(unescape(xml[start:s]), part, (start, s))
-                start = None
-            elif not single and not closing:
-                start = e
-        elif name in LINES[kind]:
-            if name.endswith("tab"):
-                b.push("\t")
-            elif closing or single:
-                b.push("\n")
-
-
-def read_parts(data: bytes) -> dict[str, str]:
-    if data.startswith(OLE):
-        raise ValueError("legacy or encrypted office files can't be read")
-    try:
-        z = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile:
-        raise ValueError("not an office file") from None
-    parts = {}
-    for info in z.infolist():
-        if info.filename.endswith((".xml", ".rels")):
-            if info.file_size > PART_LIMIT:
-                raise ValueError(f"{info.filename} is too large")
-            parts[info.filename] = z.read(info).decode("utf-8", "replace")
-    return parts
-
-
-def open_office(kind: str, data: bytes) -> Document:
-    parts, doc = read_parts(data), Document(kind)
-    b = Builder(doc)
-    if kind == "xlsx":
-        _sheets(b, parts)
-    else:
-        want = r"word/(?:document|header\d*|footer\d*|footnotes|endnotes|comments)\.xml" if kind == "docx" else r"ppt/(?:slides/slide|notesSlides/notesSlide|comments/comment)\d+\.xml"
-        for name in sorted((p for p in parts if re.fullmatch(want, p)), key=lambda p: (p != "word/document.xml", natural(p))):
-            b.newline()
-            b.place(name.rsplit("/", 1)[-1].removesuffix(".xml"))
-            body_part(b, name, parts[name], kind)
-    for name in sorted(p for p in parts if p.endswith(".rels")):
-        for m in re.finditer(r'Target="((?:mailto:|https?://|file:)[^"]*)"', parts[name]):
-            b.newline()
-            b.place("link")
-            b.push(unescape(m[1]), name, m.span(1))
-    for name in ("docProps/core.xml", "docProps/app.xml", "docProps/custom.xml"):
-        for m in re.finditer(rf"<({'|'.join(PROPERTIES)}|vt:lpwstr)(?:\s[^>]*)?>([^<]+)</\1>", parts.get(name, "")):
-            doc.properties.append((m[1], unescape(m[2])))
-    b.newline()
-    return b.done()
-
-
-def _sheets(b: Builder, parts: dict[str, str]) -> None:
-    shared: list[list[tuple[int, int]]] = []
-    strings = parts.get("xl/sharedStrings.xml", "")
-    for m in re.finditer(r"<si>(.*?)</si>|<si/>", strings, re.S):
-        body = re.sub(r"<rPh\b.*?</rPh>", lambda x: " " * len(x[0]), m[1] or "", flags=re.S)
-        shared.append([(m.start(1) + t.start(1), m.start(1) + t.end(1)) for t in re.finditer(r"<t(?:\s[^>]*)?>([^<]*)</t>", body)])
-    names = re.findall(r'<sheet\b[^>]*\bname="([^"]*)"', parts.get("xl/workbook.xml", ""))
-    numbers = False
-    for i, part in enumerate(sorted((p for p in parts if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", p)), key=natural)):
-        b.newline()
-        b.place(unescape(names[i]) if i < len(names) else f"sheet {i + 1}")
-        for row in re.finditer(r"<row\b[^>]*>(.*?)</row>", parts[part], re.S):
-            for c in re.finditer(r"<c\b([^>]*?)(?:/>|>(.*?)</c>)", row[1], re.S):
-                at = row.start(1)
-                if 't="s"' in c[1] and (v := re.search(r"<v>(\d+)</v>", c[2] or "")):
-                    for s, e in shared[int(v[1])] if int(v[1]) < len(shared) else []:
-                        b.push(unescape(strings[s:e]), "xl/sharedStrings.xml", (s, e))
-                elif 't="inlineStr"' in c[1]:
-                    for t in re.finditer(r"<t(?:\s[^>]*)?>([^<]*)</t>", c[2] or ""):
-                        b.push(unescape(t[1]), part, (at + c.start(2) + t.start(1), at + c.start(2) + t.end(1)))
-                elif c[2] and "<v>" in c[2]:
-                    numbers = True
-                b.push("\t")
-            b.push("\n")
-    for part in sorted(p for p in parts if re.fullmatch(r"xl/(?:comments\d*|threadedComments/\w+|drawings/drawing\d+)\.xml", p)):
-        b.newline()
-        b.place("comments")
-        for t in re.finditer(r"<(?:a:)?(?:t|text)(?:\s[^>]*)?>([^<]+)</(?:a:)?(?:t|text)>", parts[part]):
-            b.push(unescape(t[1]), part, t.span(1))
-            b.push("\n")
-    if numbers:
-        b.doc.warnings.append("numeric cells are left as they are")
-
-
 def split_output(replacements: list[tuple[int, int, str]], ranges: list[tuple[int, int]], text: str) -> list[str]:
     """The masked content of each range: a replacement goes to the range that holds its start and is cut from the others."""
     out = []
@@ -256,27 +162,39 @@ def split_output(replacements: list[tuple[int, int, str]], ranges: list[tuple[in
     return out
 
 
+# ---- office files ----
+
+
+def open_office(kind: str, data: bytes) -> Document:
+    b = Builder(Document(kind))
+    office.read_office(b, kind, data)
+    b.newline()
+    return b.done()
+
+
+def property_text(properties: list[tuple[str, str]]) -> str:
+    """What is masked of properties: their values, one in a line."""
+    return "\n".join(v.replace("\n", " ") for _, v in properties)
+
+
 def write_office(data: bytes, doc: Document, replacements: list[tuple[int, int, str]], properties: str = "clear") -> bytes:
-    """The file with changed nodes only; other parts are copied. properties: mask, clear or keep."""
-    new = split_output(replacements, [(n[0], n[1]) for n in doc.nodes], doc.text)
-    edits: dict[str, dict[tuple[int, int], str]] = {}
-    for (s, e, part, a, z), text in zip(doc.nodes, new, strict=True):
-        if text != doc.text[s:e]:
-            edits.setdefault(part, {}).setdefault((a, z), escape(text, {'"': "&quot;"}))
-    source, out = zipfile.ZipFile(io.BytesIO(data)), io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        for info in source.infolist():
-            raw = source.read(info)
-            if info.filename in edits:
-                xml = raw.decode("utf-8", "replace")
-                for (a, e), text in sorted(edits[info.filename].items(), reverse=True):
-                    xml = xml[:a] + text + xml[e:]
-                raw = xml.encode()
-            elif properties == "clear" and info.filename.startswith("docProps/"):
-                xml = raw.decode("utf-8", "replace")
-                raw = re.sub(rf"(<({'|'.join(PROPERTIES)}|vt:lpwstr)(?:\s[^>]*)?>)[^<]+(</\2>)", r"\1\3", xml).encode()
-            z.writestr(info, raw)
-    return out.getvalue()
+    """The file with changed nodes only. properties: clear, keep, or mask: replacements then go on behind the text and a line
+    feed with those of property_text."""
+    edits = office.changed_nodes(doc, split_output(replacements, [(n[0], n[1]) for n in doc.nodes], doc.text))
+    if properties == "clear":
+        new = [""] * len(doc.properties)
+    elif properties == "mask":
+        ranges, at, text = [], len(doc.text) + 1, doc.text + "\n" + property_text(doc.properties)
+        for _, v in doc.properties:
+            ranges.append((at, at + len(v)))
+            at += len(v) + 1
+        new = split_output(replacements, ranges, text)
+    else:
+        new = [v for _, v in doc.properties]
+    for (part, a, z), (_, old), v in zip(doc.property_nodes, doc.properties, new, strict=True):
+        if v != old:
+            edits.setdefault(part, {})[a, z] = v
+    return office.write_parts(data, edits)
 
 
 # ---- Outlook messages ----
@@ -284,7 +202,7 @@ def write_office(data: bytes, doc: Document, replacements: list[tuple[int, int,
 
 def compound_streams(data: bytes) -> dict[str, bytes]:
     """Streams of a compound file by path."""
-    if not data.startswith(OLE):
+    if not data.startswith(office.OLE):
         raise ValueError("not a compound file")
     size = 1 << struct.unpack_from("<H", data, 30)[0]
     mini = 1 << struct.unpack_from("<H", data, 32)[0]
@@ -383,9 +301,9 @@ def write_document(path: str, data: bytes, replacements: list[tuple[int, int, st
     doc = open_document(path, data, forced)
     if doc.kind in ("docx", "xlsx", "pptx"):
         return write_office(data, doc, replacements, properties)
-    masked = split_output(replacements, [(0, len(doc.text))], doc.text)[0]
     if doc.kind == "eml":
-        return write_mail(data, masked)
+        return write_mail(doc, replacements)
+    masked = split_output(replacements, [(0, len(doc.text))], doc.text)[0]
     codec, mark = (doc.encoding, doc.bom) if output_encoding == "same" else encoding.label(output_encoding)
     return encoding.encode(masked, codec, mark)
 

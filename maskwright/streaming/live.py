@@ -1,17 +1,24 @@
 """Masking of streams: each line or row is a document.
 
-Templates without a number are projections: they stream in append mode without state. Numbers need state: `numbered`
-keeps, for each label, the values that have been seen, in Spark's state store."""
+Templates without a number are projections: they stream in append mode without state. Numbers need state, which is a
+table of (label, value, number) in the shared folder, a part of it for each micro-batch: `mask_numbered` looks the
+values of a batch up by a join and numbers those that are new after the ones before, so that no label and no value has
+to live in one task. A batch that runs again writes its part again and gets the same numbers.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from maskwright.operators import mask as M
 from maskwright.plans.engine import Engine
+from maskwright.plans.storage import stored
+
+NUMBERS = "label string, norm_value string, n int"
 
 
 def mask_stream(engine: Engine, stream: DataFrame, text_col: str = "value", out_col: str = "masked") -> DataFrame:
@@ -29,32 +36,48 @@ def windowed_counts(spans: DataFrame, time_col: str, length: str = "1 minute", l
     return spans.withWatermark(time_col, late).groupBy(F.window(time_col, length), "id").agg(F.count("*").alias("n"))
 
 
-def numbered(engine: Engine, stream: DataFrame, seq_col: str, text_col: str = "value") -> DataFrame:
-    """label, norm_value, n, seq: a number for each span's value, by first appearance in its label over the whole stream.
+def known_numbers(spark, folder: str, before: int) -> DataFrame:
+    """label, norm_value, n of the batches before one."""
+    table = spark.read.schema(NUMBERS + ", batch long").option("basePath", folder)
+    parts = [f"{folder}/batch={b}" for b in _batches(spark, folder) if b < before]
+    return (table.parquet(*parts) if parts else spark.createDataFrame([], NUMBERS + ", batch long")).select("label", "norm_value", "n")
+
+
+def _batches(spark, folder: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    return sorted(int(x.getPath().getName()[6:]) for x in system.listStatus(path) if x.getPath().getName().startswith("batch="))
+
 
-    State is one map for each (label, hash part) with values and their numbers; parts keep a label that holds most values
-    from living in one task, and number n counts within the part, so that a replacement is label, part and n."""
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+def number_batch(engine: Engine, df: DataFrame, batch: int, folder: str, seq_col: str, text_col: str = "value", out_col: str = "masked") -> DataFrame:
+    """A micro-batch with masked text. New values get numbers after all earlier ones of their label, by seq_col (unique, ascending) and place."""
+    spark = df.sparkSession
+    rows = M.span_rows(engine, df, [seq_col], text_col).select(seq_col, "start", "end", "det_index", "label", "original", "norm_value")
+    rows = stored(rows, "stream-spans")
+    known = known_numbers(spark, folder, batch)
+    fresh = M.numbering(rows.join(known, ["label", "norm_value"], "left_anti"), seq_col)
+    last = known.groupBy("label").agg(F.max("n").alias("last"))
+    fresh = fresh.join(last, "label", "left").select("label", "norm_value", (F.col("n") + F.coalesce("last", F.lit(0))).cast("int").alias("n"))
+    fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch}")
+    here = rows.select("label", "norm_value").distinct()
+    numbers = known.join(here, ["label", "norm_value"], "left_semi").unionByName(spark.read.schema(NUMBERS).parquet(f"{folder}/batch={batch}"))
+    return M.with_numbers(engine, df, rows, numbers, seq_col, text_col, out_col)
 
-    rows = M.span_rows(engine, stream, [seq_col], text_col).select(F.col(seq_col).alias("seq"), "start", "label", "norm_value", F.pmod(F.xxhash64("norm_value"), F.lit(16)).cast("int").alias("part"))
 
-    def step(key: tuple, parts: Iterator, state: GroupState):
-        import pandas as pd
+def mask_numbered(engine: Engine | Callable[[], Engine], stream: DataFrame, folder: str, seq_col: str, write: Callable[[DataFrame, int], None], text_col: str = "value") -> DataStreamWriter:
+    """A writer of masked text whose numbers go on from batch to batch and from run to run: equal values have equal numbers in
+    the whole stream. folder is shared by driver and executors; write gets each masked batch. engine may be asked for anew."""
 
-        names, numbers = state.get if state.exists else ([], [])
-        seen = dict(zip(names, numbers, strict=True))
-        frame = pd.concat(list(parts)).sort_values(["seq", "start"])
-        out = []
-        for seq, start, value in zip(frame["seq"], frame["start"], frame["norm_value"], strict=True):
-            out.append((key[0], int(key[1]), value, seen.setdefault(value, len(seen) + 1), int(seq), int(start)))
-        state.update((list(seen), list(seen.values())))
-        yield pd.DataFrame(out, columns=["label", "part", "norm_value", "n", "seq", "start"])
+    def step(df: DataFrame, batch: int) -> None:
+        df = stored(df, "stream-batch")  # a source may not give the same rows twice
+        own = engine() if callable(engine) else engine
+        write(number_batch(own, df, batch, folder.rstrip("/"), seq_col, text_col), batch)
 
-    return rows.groupBy("label", "part").applyInPandasWithState(
-        step, "label string, part int, norm_value string, n int, seq long, start int", "names array<string>, numbers array<int>", "append", GroupStateTimeout.NoTimeout
-    )
+    return stream.writeStream.foreachBatch(step)
 
 
-def reload_each_batch(stream: DataFrame, engine: Callable[[], Engine], write: Callable[[DataFrame, int], None], text_col: str = "value"):
+def reload_each_batch(stream: DataFrame, engine: Callable[[], Engine], write: Callable[[DataFrame, int], None], text_col: str = "value") -> DataStreamWriter:
     """A writer whose engine is asked for anew in each micro-batch, so that changed settings take effect."""
     return stream.writeStream.foreachBatch(lambda df, i: write(mask_stream(engine(), df, text_col), i))

@@ -162,7 +162,7 @@ def test_reports(spark, tmp_path):
 def test_alignment_over_removed_lines(spark):
     engine = Engine(OPEN.only("private_key"))
     df = spark.createDataFrame([(1, "a\n-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----\nb")], "i long, text string")
-    rows = M.mask(engine, df).select(F.explode(R.aligned(F.col("text"), F.col("replacements"))).alias("x")).select("x.*").collect()
+    rows = M.mask(engine, df).select(F.explode(R.aligned(F.col("text"), F.col("masked"), F.col("replacements"))).alias("x")).select("x.*").collect()
     assert [tuple(r) for r in rows] == [(1, 1), (2, 2), (3, None), (4, None), (5, 3)]
 
 
