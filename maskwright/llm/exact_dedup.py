@@ -73,12 +73,11 @@ def decisions(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
 
 
 def keep(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with their columns."""
-    kept = index.rows().select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep"), F.col("n_keep").alias("__n"))
-    held = docs.join(kept, (digest_of(text_col) == F.col("__digest")) & F.col(id_col).eqNullSafe(F.col("__keep")))
-    once = held.filter("__n = 1").select(*docs.columns)
-    more = held.filter("__n > 1").dropDuplicates(["__digest"]).select(*docs.columns)
-    return once.unionByName(more)
+    """The rows of docs that stay, with their columns, whatever their names."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"), digest_of(text_col).alias("digest"))
+    held = rows.join(index.rows().select("digest", F.col("keep_id").alias("keep"), "n_keep"), "digest").filter(F.col("id").eqNullSafe(F.col("keep")))
+    more = held.filter("n_keep > 1").dropDuplicates(["digest"])
+    return held.filter("n_keep = 1").unionByName(more).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

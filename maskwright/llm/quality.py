@@ -19,7 +19,8 @@ the texts is one shard, and the number of shards follows from the number of n-gr
 
 Defined cases: an empty or null text has perplexity null and is kept; null languages form a language of their own;
 labels that are null or repeated count once (trusted if any row says so); without trusted text all documents are kept
-with perplexity null and without threshold. Repeated rows are scored like any other. `classify` carries all columns of docs.
+with perplexity null and without threshold. Repeated rows are scored like any other; empty tables give no rows; long
+texts are scored whole. `keep` carries all columns of docs.
 """
 
 import logging
@@ -29,7 +30,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import few, mix, pieces, read, text_buffer, written
+from maskwright.llm.common import few, give_back, lean, mix, pieces, read, text_buffer, written
 
 ORDER, QUANTILE = 5, 0.99
 #: A new text like n others lies over all of them with a chance of 1 / (n + 1); with fewer than this that is over a tenth.
@@ -104,7 +105,7 @@ def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
             end = a + 100_000
             yield pa.RecordBatch.from_arrays([pa.array(g[a:end]), pa.array(n[a:end, 0].copy()), pa.array(n[a:end, 1].copy())], ["gram", "n0", "n1"])
 
-    found = docs.select("text", "__half").mapInArrow(run, "gram long, n0 long, n1 long")
+    found = docs.select("text", "__half").mapInArrow(lean(run), "gram long, n0 long, n1 long")
     return found.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
@@ -220,6 +221,7 @@ def score(docs: DataFrame, tables: list[tuple[DataFrame, Column]], order: int =
                         sums[at:end] = np.diff(np.concatenate(([0.0], np.cumsum(found, dtype=np.float64)))[own])
                         at = end
                     yield pa.array(sums)
+                give_back()
 
             total = total + summed(text)
     bytes_ = F.octet_length("text")
@@ -296,11 +298,11 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
 
 
 def keep(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, least_trusted: int = LEAST_TRUSTED) -> DataFrame:
-    """The rows of docs that stay, with their columns."""
-    trusted = with_trust(docs, labels)
+    """The rows of docs that stay, with their columns, whatever their names."""
+    trusted = with_trust(docs.select(F.struct("*").alias("row"), "doc_id", "lang", "text"), labels)
     table = models(trusted, order)
     limits = limits_of(trusted, table, order, quantile, least_trusted)
-    return judged(scored(trusted, table, order), limits).filter("kept").select(*docs.columns)
+    return judged(scored(trusted, table, order), limits).filter("kept").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
