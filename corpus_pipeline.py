@@ -1,7 +1,14 @@
 """From raw documents to encoded training data: quality, exact copies, near copies, mixture, tokens.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs. Near copies
-are texts whose five-word shingles have a Jaccard similarity of 0.8 or more; of each group the smallest doc_id stays.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of docs, whatever their
+names. Defined cases, in every stage: an empty table gives an empty table; nulls may be in any column.
+
+* quality: a null or empty text stays, and so does a language with too few trusted texts; repeated rows are judged alike.
+* exact: null and empty texts are one text; of equal texts the largest doc_id stays (null is the smallest), once.
+* near: texts whose five-word shingles have a Jaccard similarity of 0.8 or more are linked, and of what links connect the
+  smallest doc_id stays (null is the largest). Rows that share a doc_id are one. A text without words is linked with nothing.
+* mix: null sources are a source; a document without words is emitted as its source's rate says; repeated rows share a draw.
+* encode: a null or empty text has no ids; every row of docs gives a row.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_join(docs, words=5, percent=80)
     stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["__stay"]), "left_semi")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
