@@ -48,11 +48,12 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     by_ratio = running(weighed, [F.col("ratio"), F.col("source").asc_nulls_last()], "mix-ratios", capped=F.col("cap"), passed=F.col("weight"))
     all_ = weighed.agg(F.sum("source_size").alias("words"), F.sum("weight").alias("weight")).first()  # two numbers
     left = by_ratio.withColumns({"left_words": F.lit(all_["words"]) - F.col("capped"), "left_weight": F.lit(all_["weight"]) - F.col("passed")})
-    # the first source, in order of ratio, whose share of what is left is under its cap sets the level
+    # the first source, in order of ratio, whose share of what is left is under its cap sets the level; of equal ratios it is
+    # the one before which the most is left
     open_ = left.filter(F.col("cap") * F.col("left_weight") >= F.col("left_words") * F.col("weight"))
-    level = open_.agg(F.min(F.struct("ratio", "left_words", "left_weight")).alias("level")).first()["level"]  # three numbers
+    level = open_.agg(F.min(F.struct("ratio", (-F.col("left_words")).alias("w"), (-F.col("left_weight")).alias("g"))).alias("level")).first()["level"]  # three numbers
     cap = F.col("cap").cast("double")
-    target = F.least(cap, F.col("weight") * F.lit(level["left_words"]) / F.lit(level["left_weight"])) if level else cap
+    target = F.least(cap, F.col("weight") * F.lit(-level["w"]) / F.lit(-level["g"])) if level else cap
     rate = F.when(F.col("source_size") > 0, F.least(F.lit(float(most)), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))
     return weighed.withColumn("target", target).select("source", "source_size", "target", rate.alias("rate"))
 
@@ -97,7 +98,7 @@ o AS (SELECT *, source_size::DOUBLE / weight AS ratio,
         CAST(sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_words,
         CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS left_weight
       FROM w),
-f AS (SELECT left_words AS lw, left_weight AS lg FROM o WHERE cap * left_weight >= left_words * weight ORDER BY ratio, left_words, left_weight LIMIT 1),
+f AS (SELECT left_words AS lw, left_weight AS lg FROM o WHERE cap * left_weight >= left_words * weight ORDER BY ratio, left_words DESC, left_weight DESC LIMIT 1),
 t AS (SELECT source, source_size, least(cap::DOUBLE, (weight * lw)::DOUBLE / lg) AS target FROM o, f),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0.0 END AS rate FROM t)
 SELECT s.doc_id, s.size, r.source_size, r.target,
