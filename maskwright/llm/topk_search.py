@@ -54,7 +54,8 @@ def matrix(column, wide: int | None = None) -> np.ndarray:
 
 
 def kind_for(q: np.ndarray, c: np.ndarray):
-    most = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(q.shape[1], c.shape[1])
+    with np.errstate(over="ignore"):
+        most = np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(q.shape[1], c.shape[1])
     return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
@@ -62,6 +63,12 @@ def whole(m: np.ndarray, kind):
     return np.array([[int(x) for x in row] for row in m], object).reshape(m.shape) if kind is object else np.ascontiguousarray(m, kind)
 
 
+def as_float(m: np.ndarray) -> np.ndarray:
+    """Whole numbers of any size as doubles, cut to their range."""
+    most = int(LARGEST)
+    return np.array([[float(max(-most, min(most, x))) for x in row] for row in m], np.float64).reshape(m.shape)
+
+
 def sliced(q: np.ndarray, c: np.ndarray, slices: int):
     """The scores of each slice: a matrix of queries and candidates for each."""
     wide = min(q.shape[1], c.shape[1])
@@ -141,7 +148,7 @@ def search_block(candidates: DataFrame, qids: np.ndarray, queries: np.ndarray, k
                 enough = np.zeros((len(t), len(ids)), bool)
                 bound = np.zeros((len(t), len(ids)), np.float32)
                 for p in parts:
-                    f = p.astype(np.float64) if p.dtype == object else p
+                    f = as_float(p) if p.dtype == object else p
                     known = f >= share
                     enough |= known
                     bound += np.where(known, f, share.astype(np.float32) + np.float32(1e-5) * np.abs(share).astype(np.float32))

@@ -27,7 +27,7 @@ ROWS = [(1, "Secret: abcdefgh and words"), (1, "Secret: abcdefgh and words"), (2
 
 @pytest.fixture(scope="module")
 def secret_model(spark):
-    return secret_scan.train(spark.createDataFrame(secret_scan.labelled_samples(1000), "text string, label int"))
+    return secret_scan.train(spark.createDataFrame(secret_scan.labelled_samples(), "text string, label int"))
 
 
 def test_secrets(spark, secret_model):
