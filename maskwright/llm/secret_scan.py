@@ -6,7 +6,8 @@ reported as `markov` unless it overlaps a base span or has no letter (numbers ar
 
 The models are bigram counts over 66 symbols with additive smoothing, trained from labelled samples (text, label) by
 one aggregation; they have 66 x 66 cells whatever the number of samples. The samples (2 x SAMPLES, a documented bound)
-are made here: random strings over six alphabets, and identifiers of two to six of 145 common words in six spellings. Texts are read in Arrow batches. Vectorised
+are made here: random strings over six alphabets, identifiers of two to six of 145 common words in six
+spellings, and filling. Texts are read in Arrow batches. Vectorised
 byte classes find the few rows that can hold a span at all (necessary conditions only), and the patterns then run over
 the whole of those texts.
 
@@ -65,7 +66,7 @@ def labelled_samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int]]:
     rng = random.Random(seed)
     kinds = ["0123456789abcdef", "0123456789ABCDEF", SYMBOLS[1:63], SYMBOLS[1:63], SYMBOLS[1:65], SYMBOLS[1:63] + "_-"]
     out = [("".join(rng.choices(rng.choice(kinds), k=rng.randint(16, 64))), 1) for _ in range(n)]
-    for _ in range(n):
+    for i in range(n):
         parts = [rng.choice(WORDS) for _ in range(rng.randint(2, 6))]
         how = rng.randrange(6)
         text = (
@@ -74,6 +75,9 @@ def labelled_samples(n: int = SAMPLES, seed: int = 11) -> list[tuple[str, int]]:
         )
         if rng.random() < 0.4:
             text += rng.choice(["", "_", "-"]) + str(rng.choice([rng.randrange(100), rng.randrange(1990, 2040), 2000_01_01 + rng.randrange(300_000)]))
+        if i % 20 == 0:  # filling: one sign over and over
+            out.append((SYMBOLS[1 + i // 20 % 62] * rng.randint(16, 40), 0))
+            continue
         out.append((text.upper() if rng.random() < 0.1 else text, 0))
     return out
 
