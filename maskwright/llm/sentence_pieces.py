@@ -36,7 +36,7 @@ SPACE, NONE, ABSENT = "▁", np.int32(2**31 - 1), 2**40
 LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Longest cut for the matrix; most cuts and characters of cuts that are remembered; bytes of text worked on at once.
-MATRIX_CHARS, CACHE, CACHE_CHARS, SLICE_BYTES = 40, 150_000, 2_000_000, 500_000
+MATRIX_CHARS, CACHE, CACHE_CHARS, SLICE_BYTES = 40, 300_000, 4_000_000, 1_000_000
 
 
 def proto_fields(data: bytes):
