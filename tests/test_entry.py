@@ -73,7 +73,11 @@ def tables():
     return con
 
 
-@pytest.mark.parametrize("name", [k for k in ORACLES if not k.startswith("det_")])
+#: Queries that differ from another one here only in a template or a projection; the driver's comparison runs them too.
+ALIKE = {"stats_by_category", "mask_fill", "mask_parts", "mask_patterns", "numbering_per_doc", "overlap_raw", "counts_by_document", "detection_filter", "csv_report", "labels_spans", "batch_summary", "conversations_masked"}
+
+
+@pytest.mark.parametrize("name", [k for k in ORACLES if not k.startswith("det_") and k not in ALIKE])
 def test_queries_equal_their_sql(spark, tables, name):
     got = QUERIES[name](spark, SF)
     cols = sorted(got.columns)
