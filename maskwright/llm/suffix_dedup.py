@@ -20,7 +20,8 @@ occurrence being a run of windows that share it (about one for every 39 bytes).
    again. What is still over the bound is cut into single windows, where the whole window is the anchor and the first
    occurrence is a minimum by partial sums. Rows follow the number of occurrences, and every way gives the same bytes.
 
-Each text is shuffled once: its exchange is used again when the marks come back. Hashes of classes and windows are 64
+Each text is shuffled twice, for the bytes around occurrences and when the marks come back, but never both at once: every
+step ends in a table, and what is behind it leaves the disk before the next begins. Hashes of classes and windows are 64
 bits beside the 64 of their anchor.
 
 Defined cases: null is empty; texts under `length` bytes lose nothing. Rows that share doc_id and text are one document:
@@ -36,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from maskwright.llm.common import Prefix, lean, mix, pieces, read, text_buffer, text_of, written
+from maskwright.llm.common import Prefix, discard, lean, mix, pieces, read, text_buffer, text_of, written
 
 #: Most classes (of under 200 bytes each) that meet in one suffix array, and windows of a part of an occurrence.
 LENGTH, GRAM, GROUP, PART = 100, 24, 4_000, 8
@@ -93,6 +94,15 @@ def occurrences(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return docs.select("did", "th", "text").mapInArrow(lean(run), "anchor long, around long, did long, loc long, shape int")
 
 
+def step(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """written(), after which the tables that nothing else will read are deleted, and the files of its shuffles too. Spark
+    deletes those when the driver's JVM collects their plan, which may be after the whole query."""
+    table = written(df, name)
+    discard(*done)
+    df.sparkSession._jvm.System.gc()
+    return table
+
+
 # ---- longest previous factors ----
 
 
@@ -236,14 +246,15 @@ def parts_of(batches, length: int, part: int, whole: bool):
 
 
 def classed(held: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of occurrences: did, loc, windows of those that are not the first of their class; and anchor, did, loc, shape of the
-    firsts where an anchor has several classes, with their number."""
-    classes = written(held.groupBy("anchor", "around").agg(F.min(F.struct("did", "loc")).alias("first"), F.max("shape").alias("shape"), F.count("*").alias("n")), f"{name}-classes")
+    """Of occurrences, two tables: did, loc, windows of those that are not the first of their class; and anchor, did, loc,
+    shape of the firsts where an anchor has several classes, with their number."""
+    classes = step(held.groupBy("anchor", "around").agg(F.min(F.struct("did", "loc")).alias("first"), F.max("shape").alias("shape"), F.count("*").alias("n")), f"{name}-classes")
     again = classes.filter("n > 1").select("anchor", "around", "first")
     copies = held.join(again, ["anchor", "around"]).filter((F.col("did") != F.col("first.did")) | (F.col("loc") != F.col("first.loc")))
-    many = written(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1"), f"{name}-groups")
-    firsts = classes.join(many, "anchor").select("anchor", "first.did", "first.loc", "shape", "classes")
-    return copies.select("did", "loc", F.col("shape").bitwiseAND(255).alias("windows")), firsts
+    copies = step(copies.select("did", "loc", F.col("shape").bitwiseAND(255).alias("windows")), f"{name}-copies")
+    many = step(classes.groupBy("anchor").agg(F.count("*").alias("classes")).filter("classes > 1"), f"{name}-groups")
+    firsts = step(classes.join(many, "anchor").select("anchor", "first.did", "first.loc", "shape", "classes"), f"{name}-firsts", classes, many)
+    return copies, firsts
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,11 +265,11 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.hash(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
     found = occurrences(base, length, gram)
-    repeated = written(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-anchors")
-    held = written(found.join(repeated, "anchor"), "suffix-occurrences")
+    repeated = step(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor"), "suffix-anchors")
+    held = step(found.join(repeated, "anchor"), "suffix-occurrences", repeated)
     copies, firsts = classed(held, "suffix")
+    discard(held)
     th = F.expr("cast((loc & 4294967295) - if((loc & 2147483648) != 0, 4294967296, 0) as int)")  # the low 32 bits
-    wanted = firsts.withColumn("th", th)
     texts = base.repartition(n, "did", "th")
 
     def cut(batches):
@@ -268,34 +279,33 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             out = []
             for d, asks, t in zip(did.tolist(), rows, text, strict=True):
                 b = t.encode()
-                out += [(x["anchor"], d, x["loc"], x["shape"], b[(s := x["loc"] >> 32) : s + (x["shape"] & 255) - 1 + length]) for x in asks]
+                out += [(x["anchor"], d, x["loc"], x["shape"], x["classes"], b[(s := x["loc"] >> 32) : s + (x["shape"] & 255) - 1 + length]) for x in asks]
             for a in range(0, len(out), 5_000):
                 cols = zip(*out[a : a + 5_000], strict=True)
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "did", "loc", "shape", "bytes"])
-
-    def contexts(rows: DataFrame) -> DataFrame:
-        asked = rows.groupBy("did", "th").agg(F.collect_set(F.struct("anchor", "loc", "shape")).alias("asked")).join(texts, ["did", "th"])
-        return asked.select("did", "asked", "text").mapInArrow(lean(cut), "anchor long, did long, loc long, shape int, bytes binary")
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["anchor", "did", "loc", "shape", "classes", "bytes"])
 
+    asked = firsts.withColumn("th", th).groupBy("did", "th").agg(F.collect_set(F.struct("anchor", "loc", "shape", "classes")).alias("asked"))
+    contexts = asked.join(texts, ["did", "th"]).select("did", "asked", "text").mapInArrow(lean(cut), "anchor long, did long, loc long, shape int, classes long, bytes binary")
+    contexts = step(contexts, "suffix-contexts", firsts)
     kind = lambda rows, k: rows.select("did", "loc", "windows", F.lit(k).alias("kind"))
-    few = contexts(wanted.filter(F.col("classes") <= group))
-    marks = kind(copies, GONE)
-    crowd = wanted.filter(F.col("classes") > group)
+    few = contexts.filter(F.col("classes") <= group).drop("classes")
+    marks, done = kind(copies, GONE), [contexts]
+    crowd = contexts.filter(F.col("classes") > group)
     if not crowd.isEmpty():
-        crowd = written(contexts(crowd), "suffix-crowd")
         cut_up = lambda rows, part, whole: rows.select("anchor", "did", "loc", "shape", "bytes").mapInArrow(
             lean(lambda batches: parts_of(batches, length, part, whole)), "anchor long, around long, did long, loc long, shape int" + ", bytes binary" * whole
         )
-        parts = written(cut_up(crowd, PART, True), "suffix-parts")
+        parts = step(cut_up(crowd, PART, True), "suffix-parts")
         copies, firsts = classed(parts.drop("bytes"), "suffix-part")
-        firsts = written(parts.select("anchor", "did", "loc", "bytes").join(firsts, ["anchor", "did", "loc"]), "suffix-part-firsts")
+        firsts = step(parts.select("anchor", "did", "loc", "bytes").join(firsts, ["anchor", "did", "loc"]), "suffix-part-contexts", parts, firsts)
         few = few.unionByName(firsts.filter(F.col("classes") <= group).drop("classes"))
         # of parts that are still crowded all windows go but the first of each; those are few, and no row is joined to its first
         rest = firsts.filter(F.col("classes") > group)
         first = cut_up(rest, 1, False).groupBy("anchor", "around").agg(F.min(F.struct("did", "loc")).alias("first")).select("first.did", "first.loc", F.lit(1).alias("windows"))
-        marks = marks.unionByName(kind(copies, GONE)).unionByName(kind(rest.withColumn("windows", F.col("shape").bitwiseAND(255)), CROWDED)).unionByName(kind(first, FIRST))
-    marks = marks.unionByName(kind(later_copies(few.repartition(n, "anchor"), length), GONE))
+        rest = kind(rest.withColumn("windows", F.col("shape").bitwiseAND(255)), CROWDED).unionByName(kind(first, FIRST))
+        marks, done = marks.unionByName(kind(copies, GONE)).unionByName(step(rest, "suffix-rest")), [*done, firsts]
+    marks = marks.unionByName(kind(step(later_copies(few.repartition(n, "anchor"), length), "suffix-later", *done), GONE))
     by_doc = (
         marks.withColumn("th", th)
         .groupBy("did", "th").agg(F.collect_set(F.struct(F.shiftright("loc", 32).alias("start"), "windows", "kind")).alias("marks"))
@@ -324,8 +334,7 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    # as everywhere else, did and th and text are read: three equal exchanges are one
-    final = texts.join(by_doc, ["did", "th"], "left").select("did", "text", "marks", "th")
+    final = texts.join(by_doc, ["did", "th"], "left").select("did", "text", "marks")
     return final.mapInArrow(lean(remove), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 

@@ -3,13 +3,14 @@
 import hashlib
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from maskwright.llm import exact_dedup, line_dedup, ngram_join, suffix_dedup
-from maskwright.llm.common import new_path
+from maskwright.llm.common import new_path, shared_dir
 from maskwright.llm.components import components
 
 SPACES = " \t\n\x0b\x0c\r"
@@ -123,6 +124,20 @@ def test_suffix_dedup_repeated_rows_and_none(spark):
     assert suffix_dedup.suffix_dedup(frame(spark, [(1, text)]).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("group", [4000, 2])
+def test_suffix_dedup_keeps_only_marks_on_disk(spark, group):
+    """Occurrences, classes and contexts leave the shared folder with the step that read them last."""
+    rng = random.Random(8)
+    line = "".join(rng.choices("abcdefghij ", k=130))
+    rows = [(i, "".join(rng.choices("pq", k=20)) + line + "".join(rng.choices("rs", k=20))) for i in range(12)] + [(20, "k" * 300), (21, "k" * 300)]
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(folder.glob("suffix-*"))
+    got = suffix_dedup.suffix_dedup(frame(spark, rows), group=group).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    left = {x.name.rsplit("-", 1)[0] for x in set(folder.glob("suffix-*")) - before}
+    assert left == {"suffix-copies", "suffix-later"} | ({"suffix-part-copies", "suffix-rest"} if group == 2 else set())
+    assert sorted(map(tuple, got.collect()), key=str) == brute_suffix(rows)
+
+
 def test_longest_previous():
     rng = random.Random(2)
     text = bytes(rng.choices(b"ab", k=400)) + b"q" * 200
