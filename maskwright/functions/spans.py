@@ -32,9 +32,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def clean(text: Column) -> Column:
-    """The text without the marks that spans() inserts; null becomes empty."""
+    """The text without the marks that spans() inserts; null becomes empty. Marks are looked for in bytes, without decoding the text."""
     t = F.coalesce(text, F.lit(""))
-    return F.when(t.rlike(f"[{OPEN}{VALUE}{CLOSE}]"), F.translate(t, OPEN + VALUE + CLOSE, "�" * 3)).otherwise(t)
+    return F.when(t.contains(OPEN) | t.contains(VALUE) | t.contains(CLOSE), F.translate(t, OPEN + VALUE + CLOSE, "�" * 3)).otherwise(t)
 
 
 def three_groups(pattern: str) -> str:
@@ -88,7 +88,7 @@ def pattern_sql(column: str, pattern: str, conf: float, det: int = 0) -> str:
     begins = f"aggregate({sums}, named_struct('at', length(p[0]), 'out', cast(array() AS array<int>)), (acc, n) -> named_struct('at', acc.at + n, 'out', array_append(acc.out, acc.at)), acc -> acc.out)"
     chunks = f"transform(sequence(0, (size(p) - 2) div {CHUNK}), i -> slice(p, cast(i * {CHUNK} + 2 AS int), {CHUNK}))"
     many = f"transform(array({chunks}), cs -> flatten(zip_with(cs, {begins}, (c, a) -> {fold})))[0]"
-    return f"transform(array(split({marked}, '{OPEN}', -1)), p -> CASE WHEN size(p) = 1 THEN {none} ELSE {many} END)[0]"
+    return f"transform(array({marked}), m -> CASE WHEN contains(m, '{OPEN}') THEN transform(array(split(m, '{OPEN}', -1)), p -> {many})[0] ELSE {none} END)[0]"
 
 
 def pattern_spans(column: str, pattern: str, conf: float) -> Column:

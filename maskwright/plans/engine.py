@@ -8,8 +8,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, replace
+from functools import cache, reduce
+from re import _parser
 
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,16 +20,62 @@ from maskwright.functions import spans as S
 from maskwright.functions import template as T
 from maskwright.functions.validators import REFINERS, VALIDATORS
 from maskwright.operators import names
-from maskwright.plans.catalog import AFTER, BEFORE, BOOST, CATALOG, CATEGORIES, LEXICAL, Detector, java_pattern
+from maskwright.plans.catalog import AFTER, BEFORE, BOOST, CATALOG, CATEGORIES, DIGITS, HYPHENS, LEXICAL, PREFECTURES, Detector, java_pattern
 from maskwright.plans.config import Config
 
 #: The columns that detectors read: the text, and what their conditions share.
 TEXT, GATES = "__text", "__gates"
 #: A resolved span: det is the index into the engine's detectors.
 RESOLVED = "array<struct<start:int,end:int,conf:double,det:int>>"
+#: Letters of western Europe, white space and punctuation, which most of a prose text is made of.
+PLAIN = "".join(map(chr, [*range(9, 14), 32, *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)])) + ".,;!)\"'«»¡¿"
+#: One of the signs of each.
+SIGNS = {f"sign{i}": own for i, own in enumerate((":", "/", "\\", "=", "_", "-", ":=", "?&", ":-"))}
+#: Kinds of characters: whether one is of it, and how a text is tested for one. The tests read `rare`, which is the first.
+KINDS: dict[str, tuple[Callable[[str], bool], str]] = {
+    "rare": (lambda c: c not in PLAIN, f"{TEXT} RLIKE {S.sql_text('[^' + re.escape(PLAIN) + ']')}"),
+    "digit": (lambda c: c in "0123456789０１２３４５６７８９", f"{TEXT} RLIKE '[0-9０-９]'"),
+    "wide": (lambda c: c >= "\u2e80", f"octet_length({TEXT}) > length({TEXT}) AND {TEXT} RLIKE '[\u2e80-\U0010ffff]'"),
+    **{k: (lambda c, own=own: c in own, " OR ".join(f"contains({TEXT}, {S.sql_text(x)})" for x in own)) for k, own in SIGNS.items()},
+}
+
+
+@cache
+def kinds_of(patterns: tuple[tuple[str, float], ...]) -> tuple[str, ...]:
+    """Kinds of which every match of a detector's patterns holds a character, read off their parse trees."""
+    trees = []
+    for p, _ in patterns:
+        for own, one in (("{DC}", DIGITS), ("{HC}", HYPHENS), ("{PREF}", PREFECTURES), (r"\p{Han}", "一"), (r"\p{Katakana}", "ア"), (r"\p{Hiragana}", "あ")):
+            p = p.replace(own, one)
+        trees.append(_parser.parse(p))
+    found = [k for k, (held, _) in KINDS.items() if not any(_without(t, held) for t in trees)]
+    return tuple(k for k in found if not any(o in found and set(SIGNS[o]) < set(SIGNS[k]) for o in SIGNS if k in SIGNS))
+
+
+def _without(tree, held: Callable[[str], bool]) -> bool:
+    """Whether a pattern may match a text that has no character of a kind. Where a node is not known, it may."""
+    for op, arg in tree:
+        if op is _parser.LITERAL:
+            may = not held(chr(arg))
+        elif op is _parser.IN:
+            may = any(o is _parser.LITERAL and not held(chr(a)) or o is _parser.RANGE and any(not held(chr(c)) for c in range(a[0], a[1] + 1)) or o not in (_parser.LITERAL, _parser.RANGE) for o, a in arg)
+        elif op is _parser.BRANCH:
+            may = any(_without(x, held) for x in arg[1])
+        elif op is _parser.SUBPATTERN:
+            may = _without(arg[-1], held)
+        elif op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT):
+            may = arg[0] == 0 or _without(arg[2], held)
+        else:
+            may = True
+        if not may:
+            return False
+    return True
+
+
 @dataclass(frozen=True)
 class Need:
-    """A necessary condition for a detector: digits anywhere, text beyond ASCII, one of some literals, a pattern.
+    """A necessary condition for a detector beside the kinds of characters of its patterns: a digit, a character from East Asia on,
+    a dot before a letter or digit, one of some literals, a pattern.
 
     Literals are looked for in UTF-8 bytes; a pattern makes Spark decode the text, so it comes last."""
 
@@ -36,11 +83,15 @@ class Need:
     exact: tuple[str, ...] = ()  # in the text as it is
     digit: bool = False
     wide: bool = False
+    dotted: bool = False
     pattern: str | None = None
 
-    def sql(self) -> str | None:
-        tests = [f"{GATES}.digit"] * self.digit + [f"{GATES}.wide"] * self.wide
+    def sql(self, kinds: tuple[str, ...] = ()) -> str | None:
+        flags = [k for k in KINDS if k in kinds or getattr(self, k, False) is True]
+        tests = [f"{GATES}.{k}" for k in flags if k != "rare" or len(flags) == 1] + [f"{GATES}.dotted"] * self.dotted
         any_of = [f"contains({GATES}.low, {S.sql_text(w)})" for w in self.words] + [f"contains({TEXT}, {S.sql_text(w)})" for w in self.exact]
+        if any_of and not flags:  # plain texts, which are most, were searched for all such literals at once
+            tests.append(f"{GATES}.{'hinted' if self.exact else 'worded'}")
         if any_of:
             tests.append("(" + " OR ".join(any_of) + ")")
         if self.pattern:
@@ -48,42 +99,58 @@ class Need:
         return " AND ".join(tests) or None
 
 
-def gates_of(text: Column) -> Column:
-    """What the conditions share, computed once for each text."""
-    return F.struct(
-        F.lower(text).alias("low"), text.rlike("[0-9０-９]").alias("digit"), (F.octet_length(text) > F.length(text)).alias("wide")
+def any_literal(words: list[str], either_case: bool = False) -> str:
+    """A pattern for literals that looks at their first characters before it tries one after the other."""
+    cased = lambda c: f"[{c.upper()}{c}]" if either_case and c.isascii() and c.isalpha() else re.escape(c)
+    firsts = "".join(sorted({x for w in words for x in ((w[0].upper(), w[0].lower()) if either_case else w[0])}))
+    return f"(?=[{re.escape(firsts)}])(?:" + "|".join("".join(map(cased, w)) for w in words) + ")"
+
+
+def gates_of(hints: list[str], words: list[str]) -> Column:
+    """What the conditions share, computed once for each text: the kinds of its characters, the text in lower case if a condition
+    may read it, and whether literals of detectors are there that plain texts may hold too (hints: as they are, words: in either case)."""
+    kinds = ", ".join(f"'{k}', {'r' if k == 'rare' else f'r AND ({test})'}" for k, (_, test) in KINDS.items())
+    has = lambda words, pattern: f"{TEXT} RLIKE {S.sql_text(pattern)}" if words else "false"
+    return F.expr(
+        f"transform(array({KINDS['rare'][1]}), r -> transform(array({has(words, any_literal(words, True) if words else '')}), w -> named_struct({kinds}, 'worded', r OR w, "
+        f"'hinted', {has(hints, any_literal(hints) if hints else '')}, 'dotted', {TEXT} RLIKE '[.][0-9A-Za-z]', 'low', CASE WHEN r OR w THEN lower({TEXT}) ELSE '' END))[0])[0]"
     )
 
 
+MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+#: A digit and what stands beside it in all forms of dates.
+DATED = rf"[{DIGITS}](?:[/\-.年][ 　]?[{DIGITS}]|(?s:.){MONTHS})|[{DIGITS}元]年|(?=[JFMASOND]){MONTHS}[a-z]*[.]?(?s:.)[0-9]"
+FOURS = rf"[{DIGITS}]{{4}}[ 　{HYPHENS}]?[{DIGITS}]{{4}}"
 #: Without what these ask for there is no match of the detector.
 NEEDS = {
     "email": Need(("@", "＠", "%40", "(at)", "(at]", "[at)", "[at]")),
-    "phone_jp": Need(digit=True),
+    "phone_jp": Need(digit=True, pattern=rf"(?:\+81|[0０][{DIGITS}])[{DIGITS}()（） 　{HYPHENS}]{{4}}"),
     "phone_intl": Need(("+",), digit=True),
     "postal_code_jp": Need(digit=True, pattern=rf"〒|郵便番号|[0-9０-９]{{3}}[{S.DASHES}][0-9０-９]{{4}}"),
     "address_jp": Need(("都", "道", "府", "県"), wide=True),
     "address_jp_city": Need(("市", "区", "町", "村", "郡"), wide=True),
     "address_en": Need(digit=True, pattern=r"[0-9](?:\s[A-Z]|-[0-9])"),
-    "date": Need(digit=True),
+    "birthdate": Need(digit=True, pattern=DATED),
+    "date": Need(digit=True, pattern=DATED),
     "age": Need(("歳", "才", "age"), digit=True),
     "employee_id": Need(("社員", "従業員", "職員", "スタッフ", "emp")),
-    "my_number": Need(digit=True, pattern="[0-9０-９]{4}"),
+    "my_number": Need(digit=True, pattern=FOURS),
     "corporate_number": Need(digit=True, pattern="[0-9０-９]{13}"),
     "residence_card_jp": Need(digit=True, pattern="[A-Z]{2}[0-9]{8}"),
     "health_insurance_jp": Need(("記号", "番号"), wide=True),
     "bank_account_jp": Need(("口座", "普通", "当座", "貯蓄", "支店番号", "店番"), wide=True),
     "us_ssn": Need(("-",), digit=True, pattern="[0-9]-[0-9]{2}-[0-9]"),
     "iban": Need(digit=True, pattern="[A-Z]{2}[0-9]{2}"),
-    "credit_card": Need(digit=True, pattern="[0-9０-９]{4}"),
+    "credit_card": Need(digit=True, pattern=FOURS),
     "card_cvv": Need(("cvv", "cvc", "セキュリティコード", "security code"), digit=True),
-    "money": Need(digit=True, pattern="[¥￥＄$€£円]|ドル|USD|JPY|EUR"),
-    "ipv4": Need(digit=True, pattern=r"[0-9]\.[0-9]"),
-    "ipv6": Need((":",), pattern=":[0-9A-Fa-f:]*[0-9A-Fa-f:]"),
-    "mac_address": Need(pattern=r"[0-9A-Fa-f]{2}[:\-][0-9A-Fa-f]{2}[:\-]|[0-9A-Fa-f]{4}\.[0-9A-Fa-f]{4}\."),
+    "money": Need(exact=("¥", "￥", "＄", "$", "€", "£", "円", "ドル", "USD", "JPY", "EUR"), digit=True),
+    "ipv4": Need(digit=True, dotted=True, pattern=r"[0-9]\.[0-9]"),
+    "ipv6": Need((":",), pattern=":[0-9A-Fa-f]{0,4}:"),
+    "mac_address": Need(pattern=r"(?=[:\-.])(?:[:\-][0-9A-Fa-f]{2}[:\-]|\.[0-9A-Fa-f]{4}\.)"),
     "url": Need(("://",)),
     "url_credentials": Need(("://",)),
     "url_secret_params": Need(("?", "&")),
-    "hostname": Need(("." ,), pattern=r"(?i)[a-z0-9]\.(?:com|net|org|jp|io|dev|app|cloud|ai|biz|info|co|us|uk|de|cn|kr|tw|local|internal|intranet|corp|lan|home|test|aws|gcp)"),
+    "hostname": Need(dotted=True, pattern=r"(?i)\.(?:com|net|org|jp|io|dev|app|cloud|ai|biz|info|co|us|uk|de|cn|kr|tw|local|internal|intranet|corp|lan|home|test|aws|gcp)"),
     "windows_user_path": Need((":\\", ":/")),
     "unix_home_path": Need(exact=("/home/", "/Users/")),
     "unc_path": Need(("\\\\",)),
@@ -111,13 +178,17 @@ NEEDS = {
     "basic_auth": Need(("basic",)),
     "password_kv": Need(("passw", "pass_", "passp", "pwd", "secret", "api", "token", "private")),
     "password_ja": Need(("パス", "暗証番号", "ＰＷ", "ｐｗ", "ﾊﾟｽﾜｰﾄﾞ"), wide=True),
-    "high_entropy": Need(pattern=r"[A-Za-z0-9+/_\-]{20}"),
-    "lat_lon": Need(digit=True, pattern=r"[0-9]\.[0-9]{4}"),
+    "high_entropy": Need(digit=True, pattern=r"[0-9](?:(?=[A-Za-z0-9+/_\-]{10})|(?<=[A-Za-z0-9+/_\-]{10}[0-9]))"),  # as its validator asks for a digit, ten of the others are on one side
+    "lat_lon": Need(digit=True, dotted=True, pattern=r"[0-9]\.[0-9]{4}"),
     "jp_plate": Need(digit=True, wide=True),
     "company_en": Need(exact=("Inc", "Corp", "LLC", "Ltd", "Limited", "GmbH", "K.K", "PLC", "LLP")),
 }
 
 
+#: What has to follow at the place where a match begins, so that a word is read once and not again from each way to divide it.
+AHEAD = {"hostname": r"(?=[a-z0-9\-]++\.[a-z0-9])"}
+
+
 @dataclass(frozen=True)
 class Active:
     """A detector that runs, with what the settings give it. spec is None for custom rules and keywords."""
@@ -204,7 +275,7 @@ class Engine:
             if c.detector_enabled(d.id):
                 own, cat = c.detectors.get(d.id, {}), c.categories.get(d.category, {})
                 t = self._template(own.get("template"), d.id) or self._template(cat.get("template"), d.category) or default
-                patterns = tuple((java_pattern(p), conf) for p, conf in d.patterns)
+                patterns = tuple((re.sub(r"\A(\(\?[a-z]+\))?", lambda m: m[0] + AHEAD.get(d.id, ""), java_pattern(p)), conf) for p, conf in d.patterns)
                 self.detectors.append(Active(d.id, d.category, own.get("label", d.label), d.label_ja, d.name_en, int(own.get("priority", d.priority)), float(own.get("min_confidence", c.min_confidence)), t, d, patterns, d.boundary))
         for r in c.rules:
             if r.enabled and r.pattern and c.category_enabled(r.category):
@@ -232,6 +303,21 @@ class Engine:
 
     # ---- detection ----
 
+    def _kinds(self, d: Active) -> tuple[str, ...]:
+        return kinds_of(d.spec.patterns) if d.spec else ()
+
+    def _need(self, d: Active) -> Need:
+        if not d.spec:
+            return Need()
+        own = NEEDS.get(d.id, Need())
+        return replace(own, words=d.spec.context) if d.spec.required and not d.spec.validator else own
+
+    def _gates(self) -> Column:
+        """Of detectors that plain texts may hold too, the literals are looked for in all texts, together."""
+        own = [n for d in self.detectors if d.patterns and not self._kinds(d) and not (n := self._need(d)).digit and not n.wide]
+        words = sorted({w for n in own for w in n.words if not set(w) - set(PLAIN)})
+        return gates_of(sorted({w for n in own for w in n.exact}), words)
+
     def _raw(self) -> str:
         """SQL for what the patterns match, with the index of their detector. A detector whose condition a text does not meet is
         not looked for in it."""
@@ -241,10 +327,7 @@ class Engine:
                 continue
             found = ", ".join(S.pattern_sql(TEXT, p, conf, i) for p, conf in d.patterns)
             found = f"concat({found})" if len(d.patterns) > 1 else found
-            need = NEEDS.get(d.id) if d.spec else None
-            if d.spec and d.spec.required and not d.spec.validator:
-                need = Need(d.spec.context)
-            test = need.sql() if need else None
+            test = self._need(d).sql(self._kinds(d))
             out.append(f"CASE WHEN {test} THEN {found} ELSE cast(array() AS {S.FOUND}) END" if test else found)
         return f"flatten(array({', '.join(out)}))" if out else f"cast(array() AS {S.FOUND})"
 
@@ -364,7 +447,7 @@ class Engine:
     def detect(self, df: DataFrame, text_col: str = "text", extra_col: str | None = None, spans_col: str = "spans", resolve: bool = True) -> DataFrame:
         """df with spans: array<struct<start, end, conf, det>>. extra_col: array<string> of lower-case values to leave out."""
         text = F.col(TEXT)
-        own = S.once(S.once(df, TEXT, S.clean(F.col(text_col))), GATES, gates_of(text))
+        own = S.once(S.once(df, TEXT, S.clean(F.col(text_col))), GATES, self._gates())
         named = self._names(text)
         if named is not None:
             own = own.withColumn("__names", named)
