@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Files of up to so many bytes are dealt to all cores: they often are one row group, which one task would read.
-SMALL = 256 << 20
+#: Bytes of a table that a task works on at most.
+PART = 16 << 20
 
 
 def size_of(spark: SparkSession, path: str) -> int:
@@ -15,8 +15,10 @@ def size_of(spark: SparkSession, path: str) -> int:
 
 
 def read_table(spark: SparkSession, path: str, *columns: str) -> DataFrame:
-    """Columns of a Parquet table. A small one goes through an exchange of its bytes, so that work on its texts has more tasks
-    than it has row groups; a large one is read where it lies."""
+    """Columns of a Parquet table, in tasks for all cores and of up to PART bytes of it each. Unless it has as many files as that, its rows
+    go through an exchange, so that a task's work does not grow with the table: a row group is one task's, however it is split."""
     df = spark.read.parquet(path)
     df = df.select(*columns) if columns else df
-    return df.repartition(spark.sparkContext.defaultParallelism) if size_of(spark, path) <= SMALL else df
+    cores = spark.sparkContext.defaultParallelism
+    tasks = cores * max(1, -(-size_of(spark, path) // (PART * cores)))  # so that all cores end together
+    return df if len(df.inputFiles()) >= tasks and df.rdd.getNumPartitions() >= tasks else df.repartition(tasks)

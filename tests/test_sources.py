@@ -237,3 +237,15 @@ def test_stream(spark, tmp_path):
     q = stream.select("masked").writeStream.format("memory").queryName("masked_lines").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r[0] for r in spark.table("masked_lines").collect()) == ["ip [IPV4]", "mail [EMAIL]", "none"]
+
+
+def test_a_table_in_tasks_of_bounded_size(spark, monkeypatch):
+    """One row group is dealt to as many tasks as its bytes ask for, and to all cores at least."""
+    from maskwright.sources import tables
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    assert tables.read_table(spark, path, "doc_id").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(tables, "PART", 1 << 20)
+    got = tables.read_table(spark, path, "doc_id")
+    sizes = got.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert len(sizes) == 16 and sum(sizes) == 10_000 and max(sizes) < 2 * min(sizes)
