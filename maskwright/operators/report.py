@@ -127,13 +127,14 @@ def aligned(text: Column, masked: Column, spans: Column) -> Column:
         row = lambda i: F.struct(F.when(l + i <= l_end, l + i).cast("int").alias("left"), F.when(r + i <= r_end, r + i).cast("int").alias("right"))
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), row)).otherwise(F.array().cast(kind))
 
-    def rows(blocks):
+    def rows(lines):
+        blocks, left, right = lines["blocks"], lines["left"], lines["right"]  # counted once, not for each line
         before = lambda i, end: F.when(i == 0, 0).otherwise(F.get(blocks, i - 1)[end])
         own = F.transform(blocks, lambda x, i: F.concat(pairs(before(i, "l_end"), x["l"], before(i, "r_end"), x["r"]), pairs(x["l"], x["l_end"], x["r"], x["r_end"])))
         last = F.size(blocks)
-        return F.concat(F.flatten(own), pairs(before(last, "l_end"), count(text), before(last, "r_end"), count(masked)))
+        return F.concat(F.flatten(own), pairs(before(last, "l_end"), left, before(last, "r_end"), right))
 
-    return S.let(_blocks(text, spans), rows)
+    return S.let(F.struct(_blocks(text, spans).alias("blocks"), count(text).alias("left"), count(masked).alias("right")), rows)
 
 
 def line_maps(masked: DataFrame, key: str, text_col: str = "text", out_col: str = "masked", spans_col: str = "replacements") -> DataFrame:

@@ -168,3 +168,9 @@ def test_alignment_over_removed_lines(spark):
 
 def test_list_detectors(spark):
     assert list_detectors(spark, OPEN.only("email")).where("enabled").select("id").collect()[0][0] == "email"
+
+
+def test_lines_are_counted_once(spark):
+    """Not for each line: the lines of a text and of its masked form are each counted in one place of the expression."""
+    said = R.aligned(F.col("t"), F.col("m"), F.col("s"))._jc.toString()
+    assert said.count("replace(t, ") == said.count("replace(m, ") == 1
